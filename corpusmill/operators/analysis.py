@@ -77,8 +77,11 @@ def documents_of_topic(
 
 
 def query_vector(theta: DataFrame, doc: int, key: str = "doc_id", column: str = "probs") -> Column:
-    """One document's vector as a scalar, so that no join is needed to use it."""
-    return theta.where(F.col(key) == doc).select(column).scalar()
+    """One document's vector as a literal: a lookup of one row with K numbers."""
+    row = theta.where(F.col(key) == doc).select(column).first()
+    if row is None:
+        raise ValueError(f"no document {doc}")
+    return vectors.literal_vector(row[0])
 
 
 def rank_similar(

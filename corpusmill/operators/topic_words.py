@@ -95,60 +95,35 @@ def compare_topics(phi: DataFrame, topic_a: int, topic_b: int, n: int = 10) -> D
     return ranked.groupBy("rank").agg(*side(topic_a, "a"), *side(topic_b, "b"))
 
 
-def _topics_by_term(phi: DataFrame) -> DataFrame:
-    """One row per term with its (topic_id, weight) entries, one per topic."""
-    return phi.groupBy("term").agg(
-        F.array_sort(F.collect_list(F.struct("topic_id", "weight"))).alias("w")
-    )
-
-
 def topic_distances(phi: DataFrame) -> DataFrame:
     """Jensen-Shannon distance of all pairs of topics, both ways, zero to itself.
 
-    One shuffle brings the topics of a term together; the shares per pair are
-    summed on the map side. Weights must sum to 1 per topic. A term that a topic
-    lacks counts as weight 0.
+    One shuffle brings the weights of a term together as K columns; the shares
+    per pair of topics are summed on the map side. Weights must sum to 1 per
+    topic; a term that a topic lacks counts as weight 0.
     """
-    topics = phi.select("topic_id").distinct()
-    listed = topics.agg(F.array_sort(F.collect_list("topic_id"))).scalar()
-    weights = F.map_from_entries("w")
-    dense = _topics_by_term(phi).select(
-        F.transform(
-            listed,
-            lambda t: F.struct(
-                t.alias("t"), F.coalesce(F.get(F.map_values(F.map_filter(weights, lambda k, v: k == t)), F.lit(0)), F.lit(0.0)).alias("x")
-            ),
-        ).alias("d")
-    )
-    pairs = F.flatten(
-        F.transform(
-            "d",
-            lambda a: F.transform(
-                F.filter("d", lambda b: b["t"] > a["t"]),
-                lambda b: F.struct(
-                    a["t"].alias("topic_a"),
-                    b["t"].alias("topic_b"),
-                    js_term(a["x"], b["x"]).alias("share"),
-                ),
-            ),
-        )
-    )
-    half = (
-        dense.select(F.inline(pairs))
-        .groupBy("topic_a", "topic_b")
-        .agg(F.sqrt(F.greatest(F.sum("share"), F.lit(0.0))).alias("distance"))
-    )
-    both = F.array(
-        F.struct(F.col("topic_a").alias("a"), F.col("topic_b").alias("b")),
-        F.struct(F.col("topic_b").alias("a"), F.col("topic_a").alias("b")),
-    )
-    mirrored = half.select(F.inline(both), "distance").select(
-        F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), "distance"
+    topics = sorted(r["topic_id"] for r in phi.select("topic_id").distinct().collect())
+    dense = phi.groupBy("term").agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("topic_id") == t, F.col("weight"))), F.lit(0.0)).alias(f"w{t}")
+            for t in topics
+        ]
     )
-    diagonal = topics.select(
-        F.col("topic_id").alias("topic_a"), F.col("topic_id").alias("topic_b"), F.lit(0.0).alias("distance")
+    pairs = [(a, b) for a in topics for b in topics if a < b]
+    shares = dense.agg(
+        *[F.sum(js_term(F.col(f"w{a}"), F.col(f"w{b}"))).alias(f"s{a}_{b}") for a, b in pairs]
     )
-    return mirrored.unionByName(diagonal)
+
+    def entry(a: int, b: int, distance: Column) -> Column:
+        return F.struct(
+            F.lit(a).alias("topic_a"), F.lit(b).alias("topic_b"), distance.alias("distance")
+        )
+
+    entries = [entry(t, t, F.lit(0.0)) for t in topics]
+    for a, b in pairs:
+        distance = F.sqrt(F.greatest(F.col(f"s{a}_{b}"), F.lit(0.0)))
+        entries += [entry(a, b, distance), entry(b, a, distance)]
+    return shares.select(F.inline(F.array(*entries)))
 
 
 def term_relevance(

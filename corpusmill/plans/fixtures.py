@@ -146,22 +146,29 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "merged", build)
 
 
+def plain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored (doc_id, topic, tokens) with stopwords kept; the topic is the number
+    of the source modulo six."""
+
+    def build() -> DataFrame:
+        docs = Preprocessor(Settings(), ()).tokenize(
+            documents(spark, sf_dir).select("doc_id", "source", "text")
+        )
+        topic = (F.substring("source", 4, 9).cast("int") % TOPICS).alias("topic")
+        return materialize(docs.select("doc_id", topic, "tokens"), "plain-tokens")
+
+    return stored(spark, sf_dir, "plain-tokens", build)
+
+
 def phi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored dense (topic_id, term, weight): smoothed term shares per source group.
 
-    The topic of a document is the number of its source modulo six. One shuffle
-    on the term; the six topics are columns until the end, so no cross join is
-    needed for the zeros. Stopwords are kept here.
+    One shuffle on the term; the six topics are columns until the end, so no
+    cross join is needed for the zeros.
     """
 
     def build() -> DataFrame:
-        prep = Preprocessor(Settings(), ())
-        docs = materialize(
-            prep.tokenize(documents(spark, sf_dir).select("doc_id", "source", "text")).select(
-                (F.substring("source", 4, 9).cast("int") % TOPICS).alias("topic"), "tokens"
-            ),
-            "phi-tokens",
-        )
+        docs = plain_tokens(spark, sf_dir)
         n = [F.sum(F.when(F.col("topic") == k, F.col("n")).otherwise(0)) for k in range(TOPICS)]
         counts = (
             docs.select("topic", F.inline(vocabulary.term_runs(F.col("tokens"))))

@@ -1 +1,78 @@
+"""Streaming queries, run once over what is there."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from corpusmill.plans import fixtures as fx, sql
+from corpusmill.plans.registry import query
+from corpusmill.runtime import scratch_path
+from corpusmill.streaming import flows
+
+
+def _stream(spark, sf_dir, name: str) -> DataFrame:
+    schema = fx.table(spark, sf_dir, name).schema
+    return flows.read_new_files(spark, f"{sf_dir}/{name}.parquet", schema)
+
+
+@query(
+    "t1_first_arrivals",
+    "select count(*) as n, count(distinct text) as texts from (select distinct text from documents)",
+)
+def t1(spark, sf_dir) -> DataFrame:
+    """The text is the identity of a record, so that there are copies to drop."""
+    arrived = _stream(spark, sf_dir, "documents").withColumns(
+        {
+            "identifier": F.sha2("text", 256),
+            "ts": F.timestamp_seconds(F.lit(1_704_067_200)),
+        }
+    )
+    first = flows.first_arrivals(arrived).select("doc_id", "text", "ts")
+    path = scratch_path(spark, "arrivals")
+    flows.run_available(first, path, scratch_path(spark, "state"))
+    stored = spark.read.schema(first.schema).parquet(path)
+    return stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("texts"))
+
+
+@query("t2_score_new_documents")
+def t2(spark, sf_dir) -> DataFrame:
+    model, prep = fx.model(spark, sf_dir), fx.fitted_preprocessor(spark, sf_dir)
+    arriving = _stream(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "scores")
+    flows.run_batches(
+        arriving, lambda batch: model.theta(prep.transform(batch)), path, scratch_path(spark, "state")
+    )
+    return spark.read.parquet(path).select("doc_id", F.transform("probs", lambda p: F.round(p, 6)).alias("probs"))
+
+
+@query(
+    "t3_windowed_trend",
+    """with w as (select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value
+      from events group by 1, 2)
+    select window_start, event_type, n, mean_value from w
+    where window_start + interval 1 day <= (select max(ts) - interval 1 hour from events)""",
+)
+def t3(spark, sf_dir) -> DataFrame:
+    """Windows that the watermark has closed."""
+    events = _stream(spark, sf_dir, "events").withColumn("ts", flows.utc_instant("ts"))
+    trend = flows.windowed_means(events, ["event_type"], "value")
+    path = scratch_path(spark, "trend")
+    flows.run_available(trend, path, scratch_path(spark, "state"))
+    closed = spark.read.schema(trend.schema).parquet(path)
+    return closed.select(
+        flows.utc_wall_clock("window_start").alias("window_start"),
+        "event_type",
+        "n",
+        F.round("mean_value", 6).alias("mean_value"),
+    )
+
+
+@query(
+    "t4_running_counts",
+    "select lang, count(*) as n from documents group by 1",
+)
+def t4(spark, sf_dir) -> DataFrame:
+    counts = flows.running_counts(_stream(spark, sf_dir, "documents"), "lang")
+    path = scratch_path(spark, "counts")
+    flows.run_batches(counts, lambda batch: batch, path, scratch_path(spark, "state"), "complete")
+    return flows.latest_batch(spark, path)

@@ -1 +1,158 @@
+"""Queries that fit a topic model. Spark ML's random start has no SQL equivalent,
+so these are checked by properties in the tests."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from corpusmill.operators import analysis, topics
+from corpusmill.plans import fixtures as fx
+from corpusmill.plans.registry import query
+from corpusmill.runtime import materialize, scratch_path
+from corpusmill.settings import Settings
+from corpusmill.sources import tables
+
+
+def _theta(spark, sf_dir) -> DataFrame:
+    """Topic probabilities of the whole corpus, stored."""
+
+    def build() -> DataFrame:
+        return materialize(fx.model(spark, sf_dir).theta(fx.merged(spark, sf_dir)), "theta")
+
+    return fx.stored(spark, sf_dir, "model-theta", build)
+
+
+def _rounded_array(name: str = "probs", places: int = 6):
+    return F.transform(name, lambda x: F.round(x, places))
+
+
+@query("m15_train_lda")
+def m15(spark, sf_dir) -> DataFrame:
+    return fx.model(spark, sf_dir).phi(spark)
+
+
+@query("m16_model_topics")
+def m16(spark, sf_dir) -> DataFrame:
+    return topics.topic_table(fx.model(spark, sf_dir), spark, 20)
+
+
+@query("m17_model_coherence")
+def m17(spark, sf_dir) -> DataFrame:
+    return topics.coherence_by_topic(fx.model(spark, sf_dir), fx.merged(spark, sf_dir))
+
+
+@query("m19_topic_count_search")
+def m19(spark, sf_dir) -> DataFrame:
+    few = Settings().with_(passes=3)
+    best, results = topics.search_topic_counts(fx.merged(spark, sf_dir), (3, 5), few)
+    path = scratch_path(spark, "coherence-csv")
+    tables.write_csv(results, path)
+    stored = tables.read_csv(spark, path, tables.COHERENCE_SCHEMA)
+    return stored.withColumn("is_best", F.col("num_topics") == best)
+
+
+@query("s10_search_results_store")
+def s10(spark, sf_dir) -> DataFrame:
+    """Coherence of the stored model, written and read back."""
+    path = scratch_path(spark, "coherence-csv")
+    score = topics.coherence_by_topic(fx.model(spark, sf_dir), fx.merged(spark, sf_dir)).agg(
+        F.lit(fx.model(spark, sf_dir).num_topics).alias("num_topics"), F.avg("coherence").alias("coherence")
+    )
+    tables.write_csv(score, path)
+    return topics.best_topic_count(tables.read_csv(spark, path, tables.COHERENCE_SCHEMA))
+
+
+@query("m20_topics_of_documents")
+def m20(spark, sf_dir) -> DataFrame:
+    return analysis.notable_topics(_theta(spark, sf_dir), 0.0)
+
+
+@query("m21_document_topic_matrix")
+def m21(spark, sf_dir) -> DataFrame:
+    return _theta(spark, sf_dir).select("doc_id", _rounded_array().alias("probs"))
+
+
+@query("m22_infer_new_texts")
+def m22(spark, sf_dir) -> DataFrame:
+    """The conversation turns are the new texts."""
+    turns = fx.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text"
+    )
+    out = fx.model(spark, sf_dir).infer(turns, "text", fx.fitted_preprocessor(spark, sf_dir), 5)
+    best = F.get("topics", F.lit(0))
+    return out.select(
+        "doc_id", "num_tokens", best["topic_id"].alias("topic_id"), best["probability"].alias("probability"),
+        F.array_join(best["top_words"], " ").alias("top_words"),
+    )
+
+
+@query("m22_infer_plain_split")
+def m22_plain(spark, sf_dir) -> DataFrame:
+    items = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    out = fx.model(spark, sf_dir).infer(items, "text", None, 3)
+    return out.select("doc_id", "num_tokens", F.get("topics", F.lit(0))["topic_id"].alias("topic_id"))
+
+
+@query("v3_similar_to_text")
+def v3(spark, sf_dir) -> DataFrame:
+    """Documents closest to the first benchmark item; nothing is excluded."""
+    text = fx.table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
+    tokens = fx.fitted_preprocessor(spark, sf_dir).transform(
+        text.select(F.col("item_id").alias("doc_id"), "text")
+    )
+    vector = fx.model(spark, sf_dir).theta(tokens).first()["probs"]
+    from corpusmill.functions.vectors import literal_vector
+
+    best = analysis.rank_similar(_theta(spark, sf_dir), literal_vector(vector), 10)
+    docs = fx.documents(spark, sf_dir).select("doc_id", "lang", "source")
+    return docs.join(F.broadcast(best), "doc_id")
+
+
+@query("a25_model_summary")
+def a25(spark, sf_dir) -> DataFrame:
+    return topics.summary(fx.model(spark, sf_dir), spark).drop(
+        "training_time_seconds", "coherence_time_seconds"
+    )
+
+
+@query("v7_overview_counts")
+def v7(spark, sf_dir) -> DataFrame:
+    model = fx.model(spark, sf_dir)
+    path = scratch_path(spark, "labels")
+    info = topics.topic_table(model, spark, 20)
+    tables.write_labels(info.where("topic_id % 2 = 0").select("topic_id", "label"), path)
+    labelled = tables.read_labels(spark, path).agg(F.count(F.lit(1))).scalar()
+    return topics.summary(model, spark).select(
+        "num_topics", "num_documents", "vocabulary_size", labelled.alias("labelled_topics")
+    )
+
+
+@query("v8_bound_documents")
+def v8(spark, sf_dir) -> DataFrame:
+    bound = topics.BoundTheta(fx.model(spark, sf_dir), fx.merged(spark, sf_dir))
+    return analysis.dominant_counts(bound.theta)
+
+
+@query("s14_model_store")
+def s14(spark, sf_dir) -> DataFrame:
+    """Largest difference of the probabilities after a reload: zero."""
+    path = scratch_path(spark, "model")
+    tables.save_model(fx.model(spark, sf_dir), spark, path)
+    again = tables.load_model(spark, path).theta(fx.merged(spark, sf_dir))
+    both = _theta(spark, sf_dir).join(again.withColumnRenamed("probs", "again"), "doc_id")
+    gap = F.array_max(F.zip_with("probs", "again", lambda a, b: F.abs(a - b)))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(gap), 9).alias("largest_gap"))
+
+
+@query("s15_preprocessor_store")
+def s15(spark, sf_dir) -> DataFrame:
+    """Documents whose tokens differ after a reload: none."""
+    path = scratch_path(spark, "preprocessor")
+    tables.save_preprocessor(fx.fitted_preprocessor(spark, sf_dir), spark, path)
+    again = tables.load_preprocessor(spark, path).merge(fx.tokenized(spark, sf_dir))
+    both = fx.merged(spark, sf_dir).join(
+        again.select("doc_id", F.col("tokens").alias("again")), "doc_id"
+    )
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("tokens") != F.col("again")).alias("different")
+    )

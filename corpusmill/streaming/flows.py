@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -20,11 +20,39 @@ def read_new_files(
     return reader.parquet(f"{path.rstrip('/')}*")
 
 
+def utc_instant(column: str) -> Column:
+    """A time without zone, read as UTC, as the instant that watermarks need."""
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column))
+    return local.cast("timestamp")
+
+
+def utc_wall_clock(column: str) -> Column:
+    """The inverse of `utc_instant`."""
+    wall = F.col(column).cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall)
+
+
 def first_arrivals(
-    stream: DataFrame, key: str = "identifier", time: str = "ts", delay: str = "1 day"
+    stream: DataFrame,
+    key: str = "identifier",
+    time: str = "ts",
+    delay: str = "1 day",
+    splits: int = 16,
 ) -> DataFrame:
-    """The first record per key to arrive; state is kept for `delay` only."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    """The first record per key to arrive; state is kept for `delay` only.
+
+    Copies are dropped in two steps. The first one also keys on the input
+    partition, so that the copies of a hot key are spread over `splits` tasks and
+    at most that many rows per key reach the second step.
+    """
+    split = F.spark_partition_id() % splits
+    return (
+        stream.withWatermark(time, delay)
+        .withColumn("_split", split)
+        .dropDuplicatesWithinWatermark([key, "_split"])
+        .drop("_split")
+        .dropDuplicatesWithinWatermark([key])
+    )
 
 
 def running_counts(stream: DataFrame, column: str) -> DataFrame:
