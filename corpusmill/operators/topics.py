@@ -128,16 +128,19 @@ class TopicModel:
         )
 
 
-def features(docs: DataFrame, vectorizer: CountVectorizerModel, n_docs: int, column: str = "tokens") -> DataFrame:
+def features(
+    docs: DataFrame, vectorizer: CountVectorizerModel, n_docs: int, column: str = "tokens"
+) -> DataFrame:
     """Bag of words in a layout that depends on the data only, so that a seed repeats.
 
     About 2,000 documents per partition, at least 8 and at most 20,000 partitions.
+    The vectors are stored first: every update of a fit starts from these files,
+    and its tasks do not carry the plan that made the tokens.
     """
     parts = min(20_000, max(8, math.ceil(n_docs / 2000)))
+    vectors = vectorizer.setInputCol(column).transform(docs).select("doc_id", "features")
     return (
-        vectorizer.setInputCol(column)
-        .transform(docs)
-        .select("doc_id", "features")
+        materialize(vectors, "features")
         .repartition(parts, "doc_id")
         .sortWithinPartitions("doc_id")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusmill import fixed_values as fixed
 from corpusmill.operators import topics, vocabulary
 from corpusmill.operators.preprocess import Preprocessor
-from corpusmill.runtime import materialize, scratch_path
+from corpusmill.runtime import materialize, scratch_path, spread
 from corpusmill.settings import Settings
 
 TOPICS = 6
@@ -43,6 +43,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores for work on their texts."""
+    return spread(documents(spark, sf_dir), "doc_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records with an ingest order, exact copies and changed copies.
 
@@ -70,7 +75,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(month_day)
     )
     gap = F.when(d % 7 == 0, "; ; ").otherwise("; ")
-    rows = documents(spark, sf_dir).select(
+    rows = texts(spark, sf_dir).select(
         "doc_id",
         text_of("oai:corpus:", d).alias("identifier"),
         title.alias("title"),
@@ -123,7 +128,7 @@ def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored (doc_id, lang, source, tokens) of documents with 30 tokens or more."""
 
     def build() -> DataFrame:
-        docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
+        docs = texts(spark, sf_dir).select("doc_id", "lang", "source", "text")
         return materialize(preprocessor().tokenize(docs).drop("text"), "tokens")
 
     return stored(spark, sf_dir, "tokens", build)
@@ -152,7 +157,7 @@ def plain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         docs = Preprocessor(Settings(), ()).tokenize(
-            documents(spark, sf_dir).select("doc_id", "source", "text")
+            texts(spark, sf_dir).select("doc_id", "source", "text")
         )
         topic = (F.substring("source", 4, 9).cast("int") % TOPICS).alias("topic")
         return materialize(docs.select("doc_id", topic, "tokens"), "plain-tokens")

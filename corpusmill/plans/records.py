@@ -494,7 +494,7 @@ MARGIN_SQL = f"""guess as (select doc_id, text, case when coalesce(text, '') = '
     sql.with_(QUICK_SQL) + "select detected as value, count(*) as n from quick group by 1 order by n desc, value limit 1",
 )
 def a9(spark, sf_dir) -> DataFrame:
-    return profile.top_value(fx.documents(spark, sf_dir), text.quick_language("text"))
+    return profile.top_value(fx.texts(spark, sf_dir), text.quick_language("text"))
 
 
 @query(
@@ -566,7 +566,7 @@ def a16(spark, sf_dir) -> DataFrame:
       count_if(detected = 'English') > count(*) * 0.1 as add_english_stopwords from guess""",
 )
 def a17(spark, sf_dir) -> DataFrame:
-    return profile.recommendations(fx.documents(spark, sf_dir), "text").withColumn(
+    return profile.recommendations(fx.texts(spark, sf_dir), "text").withColumn(
         "mean_words", F.round("mean_words", 6)
     )
 
@@ -696,7 +696,7 @@ def c4(spark, sf_dir) -> DataFrame:
     sql.with_(QUICK_SQL) + "select doc_id, detected from quick",
 )
 def c6(spark, sf_dir) -> DataFrame:
-    return fx.documents(spark, sf_dir).select("doc_id", text.quick_language("text").alias("detected"))
+    return fx.texts(spark, sf_dir).select("doc_id", text.quick_language("text").alias("detected"))
 
 
 @query(
@@ -704,7 +704,7 @@ def c6(spark, sf_dir) -> DataFrame:
     sql.with_(MARGIN_SQL) + "select detected as value, count(*) as n, round(count(*) * 100.0 / (select count(*) from guess), 6) as pct from guess group by 1",
 )
 def c7(spark, sf_dir) -> DataFrame:
-    return profile.value_counts(fx.documents(spark, sf_dir), text.margin_language("text")).withColumn(
+    return profile.value_counts(fx.texts(spark, sf_dir), text.margin_language("text")).withColumn(
         "pct", F.round("pct", 6)
     )
 

@@ -17,7 +17,7 @@ from corpusmill.settings import Settings
 
 def flagship(spark, sf_dir) -> DataFrame:
     """Raw documents to merged tokens, and the 50 most frequent of them."""
-    docs = fx.preprocessor().fit_transform(fx.documents(spark, sf_dir).select("doc_id", "text"))
+    docs = fx.preprocessor().fit_transform(fx.texts(spark, sf_dir).select("doc_id", "text"))
     return profile.top_words(docs, F.col("tokens"), 50)
 
 
@@ -29,7 +29,7 @@ def flagship(spark, sf_dir) -> DataFrame:
     f"select doc_id, {sql.cleaned('text')} as cleaned from documents",
 )
 def c1(spark, sf_dir) -> DataFrame:
-    return fx.documents(spark, sf_dir).select("doc_id", text.clean_text("text").alias("cleaned"))
+    return fx.texts(spark, sf_dir).select("doc_id", text.clean_text("text").alias("cleaned"))
 
 
 @query(
@@ -45,7 +45,7 @@ def c1_pages(spark, sf_dir) -> DataFrame:
     f"select doc_id, length(text)::integer as chars, {sql.words('text')}::integer as words from documents",
 )
 def c3(spark, sf_dir) -> DataFrame:
-    return fx.documents(spark, sf_dir).select(
+    return fx.texts(spark, sf_dir).select(
         "doc_id", text.char_length("text").alias("chars"), text.word_count("text").alias("words")
     )
 
@@ -61,7 +61,7 @@ _SIMPLE = (
     f"select doc_id, array_to_string({_SIMPLE}, ' ') as words from documents",
 )
 def c8(spark, sf_dir) -> DataFrame:
-    return fx.documents(spark, sf_dir).select(
+    return fx.texts(spark, sf_dir).select(
         "doc_id", F.array_join(text.simple_tokens("text"), " ").alias("words")
     )
 
@@ -72,7 +72,7 @@ def c8(spark, sf_dir) -> DataFrame:
        from documents""",
 )
 def c10(spark, sf_dir) -> DataFrame:
-    return fx.documents(spark, sf_dir).select("doc_id", text.shorten("text", 60).alias("short"))
+    return fx.texts(spark, sf_dir).select("doc_id", text.shorten("text", 60).alias("short"))
 
 
 # -- word profiles of raw texts -----------------------------------------------
@@ -85,7 +85,7 @@ _RAW_WORDS = f"raw as (select unnest({_SIMPLE}) as word from documents)"
     sql.with_(_RAW_WORDS) + "select count(*) as total_words, count(distinct word) as distinct_words from raw",
 )
 def a11(spark, sf_dir) -> DataFrame:
-    return profile.word_totals(fx.documents(spark, sf_dir), text.simple_tokens("text"))
+    return profile.word_totals(fx.texts(spark, sf_dir), text.simple_tokens("text"))
 
 
 @query(
@@ -93,7 +93,7 @@ def a11(spark, sf_dir) -> DataFrame:
     sql.with_(_RAW_WORDS) + "select word, count(*) as n from raw group by 1 order by n desc, word limit 50",
 )
 def l2(spark, sf_dir) -> DataFrame:
-    return profile.top_words(fx.documents(spark, sf_dir), text.simple_tokens("text"), 50)
+    return profile.top_words(fx.texts(spark, sf_dir), text.simple_tokens("text"), 50)
 
 
 @query(
@@ -103,7 +103,7 @@ def l2(spark, sf_dir) -> DataFrame:
       where word in ({sql.quoted(fixed.COMMON_STOPWORDS)})""",
 )
 def d9(spark, sf_dir) -> DataFrame:
-    return profile.stopwords_on_top(fx.documents(spark, sf_dir), text.simple_tokens("text"))
+    return profile.stopwords_on_top(fx.texts(spark, sf_dir), text.simple_tokens("text"))
 
 
 @query(
@@ -141,7 +141,7 @@ def _joined(df: DataFrame, column: str = "tokens", name: str = "words") -> DataF
 
 @query("m1_clean", f"select doc_id, {sql.cleaned('text')} as cleaned from documents where lang = 'en'")
 def m1(spark, sf_dir) -> DataFrame:
-    docs = fx.documents(spark, sf_dir).where("lang = 'en'")
+    docs = fx.texts(spark, sf_dir).where("lang = 'en'")
     return docs.select("doc_id", text.clean_text("text").alias("cleaned"))
 
 
@@ -151,7 +151,7 @@ def m1(spark, sf_dir) -> DataFrame:
 )
 def m2(spark, sf_dir) -> DataFrame:
     every_word = text.tokens_of("text", (), 1, 1_000_000)
-    return fx.documents(spark, sf_dir).select("doc_id", F.size(every_word).alias("n"))
+    return fx.texts(spark, sf_dir).select("doc_id", F.size(every_word).alias("n"))
 
 
 @query(
@@ -161,7 +161,7 @@ def m2(spark, sf_dir) -> DataFrame:
 )
 def m3(spark, sf_dir) -> DataFrame:
     kept = text.drop_stopwords(text.tokens_of("text", (), 1, 1_000_000), fixed.BUILT_IN_STOPWORDS)
-    return fx.documents(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("words"))
+    return fx.texts(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("words"))
 
 
 @query(
@@ -170,7 +170,7 @@ def m3(spark, sf_dir) -> DataFrame:
 )
 def m4(spark, sf_dir) -> DataFrame:
     kept = text.keep_lengths(text.tokens_of("text", (), 1, 1_000_000), 3, 50)
-    return fx.documents(spark, sf_dir).select("doc_id", F.size(kept).alias("n"))
+    return fx.texts(spark, sf_dir).select("doc_id", F.size(kept).alias("n"))
 
 
 def strip_plural(token: str) -> str:
@@ -194,7 +194,7 @@ def m5(spark, sf_dir) -> DataFrame:
 def m5_tokens(spark, sf_dir) -> DataFrame:
     stemming = Settings().with_(use_stemming=True)
     prep = Preprocessor(stemming, fixed.BUILT_IN_STOPWORDS, strip_plural)
-    return _joined(fx.documents(spark, sf_dir).select("doc_id", prep.tokens("text").alias("tokens")))
+    return _joined(fx.texts(spark, sf_dir).select("doc_id", prep.tokens("text").alias("tokens")))
 
 
 @query(
@@ -203,7 +203,7 @@ def m5_tokens(spark, sf_dir) -> DataFrame:
 )
 def m6(spark, sf_dir) -> DataFrame:
     prep = fx.preprocessor()
-    return _joined(fx.documents(spark, sf_dir).select("doc_id", prep.tokens("text").alias("tokens")))
+    return _joined(fx.texts(spark, sf_dir).select("doc_id", prep.tokens("text").alias("tokens")))
 
 
 @query(
@@ -220,7 +220,7 @@ def m6_pages(spark, sf_dir) -> DataFrame:
     sql.with_(sql.TOKENS) + "select doc_id, len(tokens)::integer as n from docs",
 )
 def f12(spark, sf_dir) -> DataFrame:
-    return fx.preprocessor().tokenize(fx.documents(spark, sf_dir)).select("doc_id", F.size("tokens").alias("n"))
+    return fx.preprocessor().tokenize(fx.texts(spark, sf_dir)).select("doc_id", F.size("tokens").alias("n"))
 
 
 @query(
@@ -229,7 +229,7 @@ def f12(spark, sf_dir) -> DataFrame:
 )
 def j1(spark, sf_dir) -> DataFrame:
     kept = fx.tokenized(spark, sf_dir).select("doc_id")
-    return fx.documents(spark, sf_dir).join(kept, "doc_id", "left_semi").select("doc_id", "lang", "text")
+    return fx.texts(spark, sf_dir).join(kept, "doc_id", "left_semi").select("doc_id", "lang", "text")
 
 
 @query(
@@ -242,7 +242,7 @@ def j1(spark, sf_dir) -> DataFrame:
 def j5(spark, sf_dir) -> DataFrame:
     """Exploded form: counting comes first, so the join sees distinct words only."""
     stop = spark.createDataFrame([(w,) for w in fixed.BUILT_IN_STOPWORDS], "term string")
-    counts = profile.word_counts(fx.documents(spark, sf_dir), text.tokens_of("text"))
+    counts = profile.word_counts(fx.texts(spark, sf_dir), text.tokens_of("text"))
     return counts.withColumnRenamed("word", "term").join(F.broadcast(stop), "term", "left_anti")
 
 
@@ -323,7 +323,7 @@ def m11_corpus(spark, sf_dir) -> DataFrame:
     sql.with_(sql.MERGED) + "select doc_id, count(*)::integer as token_count, string_agg(term, ' ' order by pos) as words from m group by 1",
 )
 def m7(spark, sf_dir) -> DataFrame:
-    docs = fx.preprocessor().fit_transform(fx.documents(spark, sf_dir).select("doc_id", "text"))
+    docs = fx.preprocessor().fit_transform(fx.texts(spark, sf_dir).select("doc_id", "text"))
     return docs.select("doc_id", "token_count", F.array_join("tokens", " ").alias("words"))
 
 
@@ -334,7 +334,7 @@ def m7(spark, sf_dir) -> DataFrame:
       count(*)::integer as token_count from m join documents using (doc_id) group by 1""",
 )
 def m8(spark, sf_dir) -> DataFrame:
-    docs = fx.preprocessor().fit_transform(fx.documents(spark, sf_dir), "text", "tokens")
+    docs = fx.preprocessor().fit_transform(fx.texts(spark, sf_dir), "text", "tokens")
     return docs.select("doc_id", "lang", "n_chars", "token_count")
 
 

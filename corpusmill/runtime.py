@@ -53,3 +53,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df.hint("merge")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small input over all cores before heavy work on its rows.
+
+    A scan with fewer splits than cores holds less than one split per core, so the
+    shuffle is cheap. A large input has many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
