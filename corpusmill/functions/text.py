@@ -59,8 +59,28 @@ def normalize_text(col: str | Column) -> Column:
 
 
 def word_count(col: str | Column) -> Column:
-    """Number of words between white space; 0 for a missing value."""
-    return F.regexp_count(text_of(col), F.lit(SIGNS))
+    """Number of words between white space; 0 for a missing value.
+
+    Counts the gaps of the collapsed text, which makes no array of words.
+    """
+
+    def gaps(line: Column) -> Column:
+        spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+        return F.when(line == "", 0).otherwise(spaces + 1)
+
+    return let(F.trim(F.regexp_replace(text_of(col), BLANKS, " ")), gaps)
+
+
+def words_after_cleanup(col: str | Column) -> Column:
+    """`word_count` of the normalized text, counted on the text as it is.
+
+    Control characters vanish in the normalized text, so where there are any a
+    word needs one other sign.
+    """
+    start = rf"(?:[!-~]|[^{SPACE}\x00-\x1f\x7f-\x9f])"
+    careful = F.regexp_count(text_of(col), F.lit(rf"{start}(?:[!-~]++|[^{SPACE}])*+"))
+    has_controls = text_of(col).rlike(r"[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]")
+    return F.when(has_controls, careful).otherwise(word_count(col))
 
 
 def char_length(col: str | Column) -> Column:

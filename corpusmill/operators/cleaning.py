@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill import fixed_values as fixed
 from corpusmill.functions import dates, text
@@ -51,18 +51,31 @@ def select_present(df: DataFrame, columns: Sequence[str] = fixed.CLEAN_COLUMNS)
     return df.select([c for c in columns if c in df.columns])
 
 
+def _flags(settings: Settings) -> dict[str, Column]:
+    """What decides about a record besides its copies, as narrow booleans."""
+    return {
+        "has_title": ~text.is_missing("title"),
+        "has_abstract": ~text.is_missing("abstract"),
+        "is_long": text.words_after_cleanup("abstract") >= settings.min_abstract_words,
+    }
+
+
 def clean_records(
     records: DataFrame,
     order: str = "ord",
     settings: Settings = Settings(),
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The whole cleaning step; `keep` names extra columns to carry along."""
-    df = dedup.keep_first(records, order)
-    df = require_text(df)
+    """The whole cleaning step; `keep` names extra columns to carry along.
+
+    Which records stay is decided on narrow rows; the wide rows are joined once
+    and only those that stay are normalized.
+    """
+    rows = dedup.staged_survivors(records, order, extra=_flags(settings))
+    kept = rows.where("has_title and has_abstract and is_long").select(F.col("ord").alias(order))
+    df = records.join(kept, order, "left_semi")
     df = fill_missing(df, settings.missing_label)
     df = normalize_columns(add_dates(df))
-    df = long_enough(df, "abstract", settings.min_abstract_words)
     return select_present(df, [*keep, *fixed.CLEAN_COLUMNS])
 
 
@@ -82,13 +95,7 @@ def cleaning_ledger(
     records: DataFrame, order: str = "ord", settings: Settings = Settings()
 ) -> DataFrame:
     """Rows left after each cleaning stage, in one linear plan over narrow rows."""
-    flags = {
-        "has_title": ~text.is_missing("title"),
-        "has_abstract": ~text.is_missing("abstract"),
-        "is_long": text.word_count(text.normalize_text("abstract"))
-        >= settings.min_abstract_words,
-    }
-    rows = dedup.staged_survivors(records, order, extra=flags)
+    rows = dedup.staged_survivors(records, order, extra=_flags(settings))
     titled = F.col("has_title")
     usable = titled & F.col("has_abstract")
     totals = rows.agg(

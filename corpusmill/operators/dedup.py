@@ -16,19 +16,22 @@ from corpusmill import fixed_values as fixed
 STAGES = ("row", "identifier", "title", "abstract")
 
 
-def digest(*columns: Column | str) -> Column:
-    """SHA-256 over the JSON form of the columns; nulls count as a value."""
-    packed = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return F.sha2(packed, 256)
+def digest(column: str) -> Column:
+    """SHA-256 of a value, 32 bytes; null stays null and forms one group."""
+    return F.unhex(F.sha2(F.col(column), 256))
+
+
+def row_digest(columns: Sequence[str]) -> Column:
+    """SHA-256 over the digests of several columns; nulls count as a value."""
+    parts = F.struct(*[F.sha2(F.col(c).cast("string"), 256).alias(c) for c in columns])
+    return F.unhex(F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256))
 
 
 def _keys(df: DataFrame, order: str, columns: Sequence[str], extra: dict[str, Column]) -> DataFrame:
     return df.select(
         F.col(order).alias("ord"),
-        digest(*columns).alias("row"),
-        digest("identifier").alias("identifier"),
-        digest("title").alias("title"),
-        digest("abstract").alias("abstract"),
+        row_digest(columns).alias("row"),
+        *[digest(c).alias(c) for c in STAGES[1:]],
         *[value.alias(name) for name, value in extra.items()],
     )
 
@@ -83,12 +86,7 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str] = fixed.RAW_COLUMNS)
     The four keys are counted in one pass: each row becomes four narrow rows that
     are combined on the map side.
     """
-    kinds = {
-        "all columns": digest(*columns),
-        "identifier": digest("identifier"),
-        "title": digest("title"),
-        "abstract": digest("abstract"),
-    }
+    kinds = {"all columns": row_digest(columns)} | {c: digest(c) for c in STAGES[1:]}
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in kinds.items()])
     groups = (
         df.select(F.inline(pairs)).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))

@@ -67,11 +67,13 @@ def overview(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum.
 
-    One pass for all measures. The exact quartiles keep value counts, which stay
-    small for lengths and counts.
+    One pass for all measures, each computed once per row. The exact quartiles
+    keep value counts, which stay small for lengths and counts.
     """
     aggs = []
-    for name, value in measures.items():
+    rows = df.select(*[value.alias(name) for name, value in measures.items()])
+    for name in measures:
+        value = F.col(name)
         aggs.append(
             F.struct(
                 F.lit(name).alias("measure"),
@@ -83,7 +85,7 @@ def describe(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
                 F.max(value).cast("double").alias("max"),
             ).alias(name)
         )
-    wide = df.agg(*aggs)
+    wide = rows.agg(*aggs)
     return wide.select(F.inline(F.array(*[F.col(name) for name in measures]))).select(
         "measure",
         "n",
@@ -229,12 +231,14 @@ def unreadable_dates(df: DataFrame, column: str = "date", order: str = "ord", k:
 
 
 def short_texts(df: DataFrame, column: str = "abstract") -> DataFrame:
-    words = text.word_count(column)
-    return df.agg(
+    rows = df.select(
+        text.word_count(column).alias("words"), text.is_missing(column).alias("missing")
+    )
+    return rows.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(words < 50).alias("below_50"),
-        F.count_if(words < 20).alias("below_20"),
-        F.count_if(text.is_missing(column)).alias("empty"),
+        F.count_if(F.col("words") < 50).alias("below_50"),
+        F.count_if(F.col("words") < 20).alias("below_20"),
+        F.count_if("missing").alias("empty"),
     )
 
 
