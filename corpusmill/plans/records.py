@@ -741,3 +741,27 @@ def c13(spark, sf_dir) -> DataFrame:
 )
 def clean(spark, sf_dir) -> DataFrame:
     return cleaning.clean_records(fx.corpus(spark, sf_dir), keep=["doc_id"])
+
+
+@query(
+    "c5_dates_per_year",
+    sql.with_(sql.CORPUS)
+    + f"select year({sql.parsed_date()})::integer as year, count(*) as n from corpus group by 1",
+)
+def c5(spark, sf_dir) -> DataFrame:
+    """Unreadable dates become null, value by value."""
+    return (
+        fx.corpus(spark, sf_dir)
+        .groupBy(dates.year_of("date").alias("year"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query(
+    "w1_keep_first_per_abstract",
+    sql.with_(sql.CORPUS)
+    + "select ord from corpus qualify row_number() over (partition by abstract order by ord) = 1",
+)
+def w1(spark, sf_dir) -> DataFrame:
+    """The rows that `row_number() = 1` keeps, as a grouped minimum."""
+    return dedup.keep_first(fx.corpus(spark, sf_dir), stages=("abstract",)).select("ord")

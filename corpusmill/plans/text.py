@@ -462,3 +462,19 @@ def m14_ml(spark, sf_dir) -> DataFrame:
             F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long").alias("tokens"),
         ).where("terms > 0")
     )
+
+
+# -- user-supplied parts ------------------------------------------------------
+
+_CUSTOM = ["que", "les", "der", "und"]
+
+
+@query(
+    "u1_custom_stopwords",
+    f"""select doc_id, len({sql.tokens(stop=sql.quoted([*fixed.BUILT_IN_STOPWORDS, *_CUSTOM]))})::integer as n
+      from documents""",
+)
+def u1(spark, sf_dir) -> DataFrame:
+    words = preprocess.stopword_list(custom=_CUSTOM, english=False)
+    tokens = Preprocessor(Settings(), words).tokens("text")
+    return fx.texts(spark, sf_dir).select("doc_id", F.size(tokens).alias("n"))

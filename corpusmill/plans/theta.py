@@ -638,3 +638,17 @@ def m17(spark, sf_dir) -> DataFrame:
 )
 def m18(spark, sf_dir) -> DataFrame:
     return _rounded(_phi_coherence(spark, sf_dir), "coherence")
+
+
+@query(
+    "u3_window_counts",
+    sql.with_(_COHERENCE_SQL)
+    + """select topic_id, (k - 1)::integer as i, (k - 1)::integer as j, s.n as n from tw join single s using (term)
+      union all select a.topic_id, (a.k - 1)::integer, (b.k - 1)::integer, t.n from tw a
+        join tw b on a.topic_id = b.topic_id and a.k < b.k join together t on t.ta = a.term and t.tb = b.term
+      union all select -1, 0, 0, n::bigint from total""",
+)
+def u3(spark, sf_dir) -> DataFrame:
+    ranked = topic_words.topic_info(fx.phi(spark, sf_dir), _WORDS).select("topic_id", "top_words")
+    words = [(r["topic_id"], r["top_words"]) for r in ranked.orderBy("topic_id").collect()]
+    return coherence.window_counts(fx.plain_tokens(spark, sf_dir), words, window=_WINDOW)
