@@ -181,20 +181,22 @@ def topic_trends(
     values = entries.groupBy("period", "topic_id").agg(
         _AGGREGATES[aggregate]("prob").alias("value")
     )
-    # one row per topic: all its periods from the first to the last
+    # one row per topic: all its periods, and the range over all topics
+    packed = values.groupBy("topic_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("period", "value"))).alias("known"),
+        F.min("period").alias("first"),
+        F.max("period").alias("last"),
+    )
+    everything = Window.partitionBy()
     step = F.make_interval(
         years=F.lit(1 if period == "year" else 0),
         months=F.lit({"quarter": 3, "month": 1}.get(period, 0)),
         weeks=F.lit(1 if period == "week" else 0),
     )
-    filled = values.select("topic_id", "period", "value").groupBy("topic_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("period", "value"))).alias("known")
-    )
-    first = values.agg(F.struct(F.min("period").alias("a"), F.max("period").alias("b"))).scalar()
-    spine = F.sequence(first["a"], first["b"], step)
-    return filled.select("topic_id", "known", F.explode(spine).alias("period")).select(
-        "period", "topic_id", F.try_element_at("known", F.col("period")).alias("value")
-    )
+    spine = F.sequence(F.min("first").over(everything), F.max("last").over(everything), step)
+    return packed.select("topic_id", "known", spine.alias("spine")).select(
+        "topic_id", "known", F.explode("spine").alias("period")
+    ).select("period", "topic_id", F.try_element_at("known", F.col("period")).alias("value"))
 
 
 def dominant_share_by_year(theta: DataFrame, docs: DataFrame, year: Column, key: str = "doc_id") -> DataFrame:
@@ -223,8 +225,11 @@ def rising_and_falling(
     yearly = entries.groupBy("year", "topic_id").agg(
         F.sum("prob").alias("s"), F.count("prob").alias("n")
     )
-    middle = yearly.agg((F.min("year") + F.max("year")) / 2).scalar()
-    early = F.col("year") <= middle
+    # one row per year and topic, so the range is taken over a short list
+    everything = Window.partitionBy()
+    middle = (F.min("year").over(everything) + F.max("year").over(everything)) / 2
+    yearly = yearly.withColumn("early", F.col("year") <= middle)
+    early = F.col("early")
 
     def mean_where(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("s"))) / F.sum(F.when(condition, F.col("n")))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill import fixed_values as fixed
+from corpusmill.runtime import materialize, small_side
 
 STAGES = ("row", "identifier", "title", "abstract")
 
@@ -75,7 +76,10 @@ def keep_first(
     columns: Sequence[str] = fixed.RAW_COLUMNS,
     stages: Sequence[str] = STAGES,
 ) -> DataFrame:
-    """Rows of `df` that survive the stages; the first in ingest order wins."""
+    """Rows of `df` that survive the stages; the first in ingest order wins.
+
+    The order column must be unique, since it also identifies the rows.
+    """
     kept = staged_survivors(df, order, columns, stages).select(F.col("ord").alias(order))
     return df.join(kept, order, "left_semi")
 
@@ -98,12 +102,22 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str] = fixed.RAW_COLUMNS)
 
 
 def most_repeated(df: DataFrame, column: str, k: int = 10) -> DataFrame:
-    """The values that occur most often, among those that occur more than once."""
+    """The values that occur most often, among those that occur more than once.
+
+    Digests are counted first, so long values are not shuffled. The values are
+    then looked up for the digests that reach the k-th count, ties included.
+    """
+    keyed = df.where(F.col(column).isNotNull()).select(
+        F.col(column).alias("value"), digest(column).alias("key")
+    )
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = materialize(counts, "repeated")
+    least = counts.orderBy(F.desc("n")).limit(k).agg(F.min("n")).scalar()
+    wanted = materialize(counts.where(F.col("n") >= least), "repeated-top")
     return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        keyed.join(small_side(wanted), "key")
+        .groupBy("value")
+        .agg(F.max("n").alias("n"))
         .orderBy(F.desc("n"), "value")
         .limit(k)
     )

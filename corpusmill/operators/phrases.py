@@ -88,7 +88,10 @@ def merge_starts(
 def apply_phrases(
     docs: DataFrame, phrases: DataFrame, column: str = "tokens", key: str = "doc_id"
 ) -> DataFrame:
-    """Replace `column` by its merged form; all other columns are kept."""
+    """Replace `column` by its merged form; all other columns are kept.
+
+    `key` must be unique. The documents are shuffled once, by that key.
+    """
     starts = (
         merge_starts(docs, phrases, column, key)
         .groupBy(key)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpusmill import fixed_values as fixed
 from corpusmill.functions import dates, labels, text
+from corpusmill.operators import dedup
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -186,8 +187,9 @@ def year_distribution(df: DataFrame, year: Column | str = "year", recent: int =
         .groupBy("year")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    newest = counts.orderBy(F.desc("year")).limit(recent).agg(F.min("year")).scalar()
-    return counts.withColumn("is_recent", F.col("year") >= newest)
+    # one row per calendar year, so the rank is taken over a short list
+    rank = F.dense_rank().over(Window.orderBy(F.desc("year")))
+    return counts.withColumn("is_recent", rank <= recent)
 
 
 def busiest_year(df: DataFrame, year: Column | str = "year") -> DataFrame:
@@ -300,8 +302,6 @@ def quality_findings(
     threshold: float = 5.0,
 ) -> DataFrame:
     """Findings worth acting on: gaps, repeated titles and abstracts, short texts."""
-    from corpusmill.operators import dedup
-
     gaps = (
         missing_profile(df, columns)
         .where(F.col("missing_pct") > threshold)
