@@ -47,6 +47,11 @@ def long_enough(df: DataFrame, column: str = "abstract", words: int = 20) -> Dat
     return df.where(text.word_count(column) >= words)
 
 
+def keep_language(df: DataFrame, language: str, column: str = "abstract") -> DataFrame:
+    """Optional filter on the guessed language of a text."""
+    return df.where(text.margin_language(column) == language)
+
+
 def select_present(df: DataFrame, columns: Sequence[str] = fixed.CLEAN_COLUMNS) -> DataFrame:
     return df.select([c for c in columns if c in df.columns])
 

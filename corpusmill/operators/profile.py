@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from corpusmill import fixed_values as fixed
 from corpusmill.functions import dates, labels, text
 from corpusmill.operators import dedup
+from corpusmill.runtime import materialize
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -125,17 +126,15 @@ def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # the condition on n keeps both uses of `folded` alike, so its shuffle is shared
-    counted = F.when(F.col("n") > 0, F.col("v"))
-    low, high = F.min(counted), F.max(counted)
-    flat = low == high
-    edges = folded.agg(
-        F.struct(
-            F.when(flat, low - 0.5).otherwise(low).alias("lo"),
-            F.when(flat, high + 0.5).otherwise(high).alias("hi"),
-        )
-    ).scalar()
-    lo, width = edges["lo"], (edges["hi"] - edges["lo"]) / bins
+    folded = materialize(folded, "lengths")
+    edges = folded.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if edges["lo"] is None:
+        lo, hi = 0.0, 1.0
+    elif edges["lo"] == edges["hi"]:
+        lo, hi = edges["lo"] - 0.5, edges["hi"] + 0.5
+    else:
+        lo, hi = edges["lo"], edges["hi"]
+    width = (hi - lo) / bins
     placed = folded.select(
         F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).alias("bin"), "n"
     )
@@ -148,8 +147,8 @@ def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
         .agg(F.sum("n").alias("n"))
         .select(
             "bin",
-            (lo + F.col("bin") * width).alias("lower"),
-            (lo + (F.col("bin") + 1) * width).alias("upper"),
+            (F.lit(lo) + F.col("bin") * width).alias("lower"),
+            (F.lit(lo) + (F.col("bin") + 1) * width).alias("upper"),
             "n",
         )
     )
@@ -342,4 +341,5 @@ def recommendations(df: DataFrame, column: str = "abstract", english_share: floa
 
 def repeatable_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """`n` rows in the order of a seeded hash, so the same rows come back."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.orderBy(mixed, key).limit(n)

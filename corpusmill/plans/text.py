@@ -299,11 +299,28 @@ uni2 as (select term, count(*) as n from m group by term),
 pair2 as (select w1, w2, count(*) as n from adj2 where w2 is not null group by w1, w2),
 size2 as (select (select count(*) from uni2) + (select count(*) from pair2) as l),
 phrase2 as (select w1, w2, p.n, (p.n - 10)::double / a.n / b.n * (select l from size2) as score
-  from pair2 p join uni2 a on a.term = w1 join uni2 b on b.term = w2 where p.n > 10)
-select w1, w2, n, round(score, 6) as score from phrase2 where score > 10"""
+  from pair2 p join uni2 a on a.term = w1 join uni2 b on b.term = w2 where p.n > 10),
+known2 as (select * from phrase2 where score > 10)
+"""
+
+_THREE_WORDS = """,
+pos2 as (select doc_id, term, row_number() over (partition by doc_id order by pos) as pos from m),
+next2 as (select *, lead(term) over (partition by doc_id order by pos) as follower from pos2),
+hit2 as (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as run
+  from next2 join known2 on w1 = term and w2 = follower),
+start2 as (select doc_id, pos from (
+  select *, row_number() over (partition by doc_id, run order by pos) as step from hit2) where step % 2 = 1),
+m2 as (select n.doc_id, n.pos,
+    case when s.pos is not null then concat(n.term, '_', n.follower) else n.term end as term
+  from next2 n left join start2 s on s.doc_id = n.doc_id and s.pos = n.pos
+  left join start2 p on p.doc_id = n.doc_id and p.pos = n.pos - 1 where p.pos is null)
+"""
 
 
-@query("m11_second_pass_phrases", sql.with_(sql.MERGED) + _TRIGRAMS)
+@query(
+    "m11_second_pass_phrases",
+    sql.with_(sql.MERGED + _TRIGRAMS) + "select w1, w2, n, round(score, 6) as score from known2",
+)
 def m11(spark, sf_dir) -> DataFrame:
     docs = fx.merged(spark, sf_dir)
     return phrases.fit_phrases(docs, min_count=Settings().trigram_min_count).withColumn(
@@ -311,7 +328,11 @@ def m11(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("m11_three_word_corpus")
+@query(
+    "m11_three_word_corpus",
+    sql.with_(sql.MERGED + _TRIGRAMS + _THREE_WORDS)
+    + "select doc_id, string_agg(term, ' ' order by pos) as words from m2 group by 1",
+)
 def m11_corpus(spark, sf_dir) -> DataFrame:
     prep = Preprocessor(Settings().with_(use_trigrams=True), fixed.BUILT_IN_STOPWORDS)
     docs = fx.tokenized(spark, sf_dir)
@@ -478,3 +499,30 @@ def u1(spark, sf_dir) -> DataFrame:
     words = preprocess.stopword_list(custom=_CUSTOM, english=False)
     tokens = Preprocessor(Settings(), words).tokens("text")
     return fx.texts(spark, sf_dir).select("doc_id", F.size(tokens).alias("n"))
+
+
+@query(
+    "u4_preprocess_new_texts",
+    sql.with_(
+        sql.PHRASES
+        + f""",
+      ctoks as (select conv_id * 100000 + turn as id, {sql.tokens()} as tokens from conversations),
+      cw as (select id, unnest(tokens) as w1, generate_subscripts(tokens, 1) as pos from ctoks),
+      cadj as (select *, lead(w1) over (partition by id order by pos) as w2 from cw),
+      chit as (select id, pos, pos - row_number() over (partition by id order by pos) as run
+        from cadj join phrase using (w1, w2)),
+      cstart as (select id, pos from (
+        select *, row_number() over (partition by id, run order by pos) as step from chit) where step % 2 = 1),
+      cm as (select a.id, a.pos, case when s.pos is not null then concat(a.w1, '_', a.w2) else a.w1 end as term
+        from cadj a left join cstart s on s.id = a.id and s.pos = a.pos
+        left join cstart p on p.id = a.id and p.pos = a.pos - 1 where p.pos is null)"""
+    )
+    + """select c.id as doc_id, coalesce(string_agg(term, ' ' order by pos), '') as words
+      from ctoks c left join cm on cm.id = c.id group by 1""",
+)
+def u4(spark, sf_dir) -> DataFrame:
+    """Phrases learned from the documents, applied to the conversation turns."""
+    turns = fx.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text"
+    )
+    return _joined(fx.fitted_preprocessor(spark, sf_dir).transform(turns))
