@@ -16,7 +16,7 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
 from corpusmill.operators import topics  # noqa: E402
 from corpusmill.plans import all_queries, fixtures as fx  # noqa: E402
@@ -84,6 +84,7 @@ def main() -> None:
     run("coherence_12", lambda: topics.coherence_of(model, docs))
     run("document_topics_12", lambda: finish(model.theta(docs)))
     notes["documents"] = model.metadata.num_documents
+    notes["tokens"] = docs.agg(F.sum(F.size("tokens"))).first()[0]
     notes["vocabulary"] = model.metadata.vocabulary_size
     notes["updates"] = model.metadata.updates
     spark.stop()

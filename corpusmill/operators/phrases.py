@@ -18,36 +18,39 @@ def adjacent_pairs(tokens: Column) -> Column:
     return F.when(n > 1, pairs)
 
 
-def count_items(docs: DataFrame, column: str = "tokens") -> DataFrame:
-    """Occurrences of single tokens (w2 null) and of neighbouring pairs, one shuffle."""
+def count_pairs(docs: DataFrame, column: str = "tokens") -> DataFrame:
+    """Occurrences of every token with its follower; w2 is null at the end of a document.
+
+    One row per token is counted, combined on the map side, in one shuffle.
+    """
     tokens = F.col(column)
-    singles = F.transform(
-        tokens, lambda w: F.struct(w.alias("w1"), F.lit(None).cast("string").alias("w2"))
-    )
-    pairs = F.coalesce(adjacent_pairs(tokens), F.slice(singles, 1, 0))
-    return (
-        docs.select(F.inline(F.concat(singles, pairs)))
-        .groupBy("w1", "w2")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    followers = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    # the shorter array is filled up with null
+    pairs = F.zip_with(tokens, followers, lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    return docs.select(F.inline(pairs)).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_singles(pairs: DataFrame) -> DataFrame:
+    """Occurrences of every token, summed from the pair counts it starts."""
+    return pairs.groupBy("w1").agg(F.sum("n").alias("n"))
 
 
-def score_pairs(counts: DataFrame, min_count: int = 20) -> DataFrame:
+def score_pairs(pairs: DataFrame, singles: DataFrame, min_count: int = 20) -> DataFrame:
     """Score every pair that occurs more than `min_count` times.
 
     score = (n_ab - min_count) / n_a / n_b * L, where L is the number of distinct
-    tokens plus distinct pairs. `counts` should be a stored table: it is read
-    three times. Rarer pairs score zero or less, so they, and tokens that are
-    too rare to be part of a scored pair, are left out before the joins.
+    tokens plus distinct pairs. Both inputs should be stored tables. Rarer pairs
+    score zero or less, so they, and tokens too rare to be part of a scored pair,
+    are left out before the joins.
     """
-    size = counts.agg(F.count(F.lit(1))).scalar()
-    often = counts.where(F.col("n") > min_count)
-    singles = often.where("w2 is null")
-    left = small_side(singles.select("w1", F.col("n").alias("n1")))
-    right = small_side(singles.select(F.col("w1").alias("w2"), F.col("n").alias("n2")))
-    score = (F.col("n") - min_count) / F.col("n1") / F.col("n2") * size
+    n_pairs = pairs.where("w2 is not null").agg(F.count(F.lit(1))).scalar()
+    n_singles = singles.agg(F.count(F.lit(1))).scalar()
+    often = singles.where(F.col("n") > min_count)
+    left = small_side(often.select("w1", F.col("n").alias("n1")))
+    right = small_side(often.select(F.col("w1").alias("w2"), F.col("n").alias("n2")))
+    score = (F.col("n") - min_count) / F.col("n1") / F.col("n2") * (n_pairs + n_singles)
     return (
-        often.where("w2 is not null")
+        pairs.where((F.col("n") > min_count) & F.col("w2").isNotNull())
         .join(left, "w1")
         .join(right, "w2")
         .select("w1", "w2", "n", score.alias("score"))
@@ -58,9 +61,10 @@ def fit_phrases(
     docs: DataFrame, column: str = "tokens", min_count: int = 20, threshold: float = 10.0
 ) -> DataFrame:
     """Stored phrase table (w1, w2, n, score): pairs that score above the threshold."""
-    counts = materialize(count_items(docs, column), "counts")
-    phrases = score_pairs(counts, min_count).where(F.col("score") > threshold)
-    return materialize(phrases, "phrases")
+    pairs = materialize(count_pairs(docs, column), "pairs")
+    singles = materialize(count_singles(pairs), "singles")
+    scored = score_pairs(pairs, singles, min_count)
+    return materialize(scored.where(F.col("score") > threshold), "phrases")
 
 
 def merge_starts(

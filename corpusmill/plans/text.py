@@ -254,7 +254,7 @@ def j5(spark, sf_dir) -> DataFrame:
     sql.with_(sql.PHRASES) + "select w1, w2, n from pair",
 )
 def j7(spark, sf_dir) -> DataFrame:
-    return phrases.count_items(fx.tokenized(spark, sf_dir)).where("w2 is not null")
+    return phrases.count_pairs(fx.tokenized(spark, sf_dir)).where("w2 is not null")
 
 
 @query(

@@ -91,8 +91,10 @@ def test_corpus_ledger(spark):
 
 def test_phrase_scores(spark):
     lists = [x.split() for x in ("harga saham naik", "harga saham turun", "harga saham harga saham", "saham naik")]
-    counts = materialize(phrases.count_items(docs_of(spark, lists)), "test")
-    scored = {(r["w1"], r["w2"]): r["score"] for r in phrases.score_pairs(counts, 1).collect()}
+    pairs = materialize(phrases.count_pairs(docs_of(spark, lists)), "test")
+    singles = materialize(phrases.count_singles(pairs), "test")
+    assert {r["w1"]: r["n"] for r in singles.collect()} == {"saham": 5, "harga": 4, "naik": 2, "turun": 1}
+    scored = {(r["w1"], r["w2"]): r["score"] for r in phrases.score_pairs(pairs, singles, 1).collect()}
     assert scored[("harga", "saham")] == pytest.approx(1.2)
     assert scored[("saham", "naik")] == pytest.approx(0.8)
     docs = docs_of(spark, lists)
