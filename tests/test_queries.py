@@ -3,9 +3,10 @@
 import pytest
 
 import oracle
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from corpusmill.plans import all_queries
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = all_queries().QUERIES, all_queries().ORACLES
 # at the smallest scale few words pass the dictionary filter, and streams may
 # close no window, so an empty result is legitimate for these
 MAY_BE_EMPTY = {"m9_phrase_scores", "t3_windowed_trend"}
