@@ -239,7 +239,7 @@ def _decode(con, lists: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list[Column]:
+def digests(ids: str = "ids", decoded: str = "decoded") -> list[Column]:
     """Number of ids, SHA-256 of the ids in decimal, and SHA-256 of the decoded bytes."""
     return [
         F.size(ids).cast("long").alias("n_tokens"),
