@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import bpe
+from corpusmill.llm import bpe, licenses, quality, secrets, shards, warc
 from corpusmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,54 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, vocabulary).select("doc_id", *bpe.digests())
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(secrets.count_of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+        F.array_join("found", ",").alias("spans"),
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", *quality.COUNTS, "base_failed", "kept"
+    )
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "canonical_sha256", "license", F.array_join("line_licenses", ",").alias("line_licenses")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_warc": op4_warc,
+    "op5_sharding": op5_sharding,
+    "op6_secrets": op6_secrets,
+    "op8_quality": op8_quality,
+    "op9_licenses": op9_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        g as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as last from p)
+        select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id < last then last end as refers_to
+        from g""",
+}

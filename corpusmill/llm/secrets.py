@@ -38,7 +38,7 @@ CLASSES = {
 }
 #: Forms that are no secrets: paths and dotted names, words joined by signs, UUIDs, repeated signs, placeholders.
 ALLOWED = re.compile(
-    r"""(?x) [0-9+/_=-]+ | [A-Za-z+/_=-]+ | [a-z0-9]+(?:[_/-][a-z0-9]+){2,} | (?:[A-Z]?[a-z]{2,}[0-9]{0,4}[+/_=-]?)+
+    r"""(?x) [0-9+/_=-]+ | [A-Za-z+/_=-]+ | [a-z0-9]+(?:[_/-][a-z0-9]+){2,} | (?>[A-Z]?[a-z]{2,}+[0-9]{0,4}+[+/_=-]?)++
     | [0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12} | .*(?:EXAMPLE|example|PLACEHOLDER|placeholder|xxxx|XXXX).*"""
 )
 
@@ -103,17 +103,10 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-_LIKELY = re.compile(r"[:=]|AKIA|[0-9]")
-
-
 def spans_of(text: str | None) -> tuple[list[str], list[str]]:
     """Base spans and all spans, each as kind:start:end in order."""
-    if not text or not _LIKELY.search(text):  # no base kind and no mixed candidate without these...
-        base = [] if not text else base_spans(text)
-        added: list[tuple[int, int, int]] = []
-    else:
-        base = base_spans(text)
-        added = added_spans(text, base)
+    base = base_spans(text or "")
+    added = added_spans(text or "", base)
     name = lambda spans: [f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)]
     return name(base), name(base + added)
 
