@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import bpe, licenses, quality, secrets, shards, warc
+from corpusmill.llm import bpe, language, licenses, pii, quality, secrets, shards, warc
 from corpusmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, vocabulary).select("doc_id", *bpe.digests())
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language.fit(docs.filter(part != 2), "doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), model, carry=["doc_id"])
+    return found.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -52,13 +60,24 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), pii.train()).select(
+        "doc_id",
+        *(pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+        F.array_join("found", ",").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_language": op3_language,
     "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
