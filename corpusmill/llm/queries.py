@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import bpe, language, licenses, pii, quality, secrets, shards, warc
+from corpusmill.llm import bpe, decontaminate, jaccard, language, licenses, pii, quality, secrets, shards, warc
 from corpusmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, vocabulary).select("doc_id", *bpe.digests())
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -48,6 +52,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", *quality.COUNTS, "base_failed", "kept"
@@ -71,10 +79,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
+    "op7_jaccard": op7_jaccard,
     "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
