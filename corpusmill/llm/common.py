@@ -97,17 +97,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, by differences of a running polynomial sum."""
+    """64-bit hash of each span of bytes, by differences of a running polynomial sum.
+
+    Dividing by the power at a span's start makes the hash the same wherever the span stands.
+    """
     n = len(raw)
-    powers = np.full(n + 1, _BASE, dtype=np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[raw] * powers[:n], out=total[1:])
-    # the sum of a span times BASE^(n - start) does not depend on where the span stands
-    h = (total[ends] - total[starts]) * powers[n - starts]
+    np.cumsum(_BYTES[raw] * _powers(_BASE, n), out=total[1:])
+    h = (total[ends] - total[starts]) * _powers(_BACK, n + 1)[starts]
     return mix(h * np.uint64(0xD6E8FEB86659FD93) + (ends - starts).astype(np.uint64))
