@@ -11,7 +11,9 @@ signature (the subsets that are enumerated are the single cells). No link is los
   non-empty one, so it signs those only; the few others sign their empty cells too;
 - a signature that more than HOT sets carry (a passage that many share, say) is left
   out by a set that keeps more signatures than its bound without its hot ones, since
-  one of the kept ones must agree; other sets keep their hot signatures.
+  one of the kept ones must agree; other sets keep their hot signatures;
+- two linked sets even agree on as many signatures as either has above its bound, so
+  sets and pairs that share fewer are no candidates.
 
 Sets that share a signature are candidates. First each signature's most connected set
 is compared with the others, which joins a group of near copies with one comparison
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusmill.llm.common import chunks, mix, span_hashes, text_buffer, unused, word_spans
 from corpusmill.runtime import materialize, small_side
@@ -58,7 +60,7 @@ BANDS = _bands()
 
 def cells_of(band: np.ndarray) -> np.ndarray:
     """Number of cells of a scheme: above its largest distance, with room for empty and hot cells."""
-    return (2 * BANDS[band] // 7 + 1) * 23 // 20 + 2
+    return (2 * BANDS[band] // 7 + 1) * 26 // 20 + 2
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -278,6 +280,17 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return labels.withColumnRenamed("l", "component")
 
 
+def _supported(members: DataFrame) -> DataFrame:
+    """Without the sets that share fewer signatures than any partner would share with them."""
+    n = F.count("*").over(Window.partitionBy("c", "odd"))
+    return members.withColumn("have", n).filter("have >= need").drop("have")
+
+
+def _not_alone(members: DataFrame) -> DataFrame:
+    several = members.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
+    return members.join(several, "g", "left_semi")
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `df`: the key, `n_shingles`, and `component_id`."""
     texts = df.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
@@ -305,18 +318,20 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         carried.join(names, "d").groupBy("g", "c").agg(*(F.max(x).alias(x) for x in ("n", "spare0", "spare1"))), "jaccard-carried"
     )
     counts = members.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-    members = members.join(counts, "g").withColumn("odd", F.col("g").bitwiseAND(F.lit(1)))
-    members = materialize(members, "jaccard-members")
-    # sets that can do without their hot signatures
-    without = (
-        members.groupBy("c", "odd")
-        .agg(F.sum((F.col("m") > HOT).cast("int")).alias("hot"), F.max(F.when(F.col("odd") == 1, F.col("spare1")).otherwise(F.col("spare0"))).alias("spare"))
-        .filter((F.col("hot") > 0) & (F.col("hot") < F.col("spare")))
-        .select("c", "odd")
+    odd = F.col("g").bitwiseAND(F.lit(1))
+    own = Window.partitionBy("c", "odd")
+    spare = F.when(F.col("odd") == 1, F.col("spare1")).otherwise(F.col("spare0"))
+    # signatures that a set shares at least with each partner, its hot ones left aside
+    described = (
+        members.join(counts, "g")
+        .withColumn("odd", odd)
+        .withColumn("hot", F.sum((F.col("m") > HOT).cast("int")).over(own))
+        .withColumn("need", F.greatest(F.lit(1), spare - F.col("hot")))
+        .filter((F.col("m") <= HOT) | (F.col("hot") >= spare))
     )
-    cool = members.filter(F.col("m") <= HOT)
-    hot = members.filter(F.col("m") > HOT).join(without, ["c", "odd"], "left_anti")
-    kept = materialize(cool.select("g", "c", "n").union(hot.select("g", "c", "n")), "jaccard-kept")
+    kept = materialize(_supported(described.select("g", "c", "n", "odd", "need")), "jaccard-kept")
+    kept = materialize(_supported(_not_alone(kept)), "jaccard-kept")
+    kept = materialize(_not_alone(kept), "jaccard-kept")
 
     # first round: each signature's most connected set against the others
     weight = kept.join(kept.groupBy("g").agg(F.count("*").alias("m")), "g")
@@ -336,14 +351,17 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     # second round: pairs that share a signature and are not connected yet
     placed = materialize(
-        ranked.select("g", "c", "n").join(found, "c", "left").withColumn("k", F.coalesce("component", "c")), "jaccard-placed"
+        ranked.select("g", "c", "n", "odd", "need").join(found, "c", "left").withColumn("k", F.coalesce("component", "c")), "jaccard-placed"
     )
     open_groups = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("g")
-    unsettled = materialize(placed.join(open_groups, "g").select("g", "c", "n", "k"), "jaccard-unsettled")
-    x, y = unsettled.toDF("g", "a", "na", "ka"), unsettled.toDF("g", "b", "nb", "kb")
+    unsettled = materialize(placed.join(open_groups, "g").select("g", "odd", "c", "n", "k", "need"), "jaccard-unsettled")
+    x, y = (unsettled.toDF("g", "odd", e, f"n{e}", f"k{e}", f"need{e}") for e in "ab")
     rest = (
-        x.join(y, "g")
+        x.join(y, ["g", "odd"])
         .filter((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & near(F.col("na"), F.col("nb")))
+        .groupBy("a", "b", "odd")
+        .agg(F.count("*").alias("have"), F.max(F.greatest("needa", "needb")).alias("need"))
+        .filter("have >= need")
         .select("a", "b")
         .distinct()
     )

@@ -144,3 +144,9 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     in_order = [by_name[name] for name in ordered(kept, text)]
     failed = by_name["few_words"].broken | by_name["repeated_words"].broken
     return measured.withColumns({"base_failed": failed, "kept": cascade(in_order)}).drop(*helpers)
+
+
+def keep(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `df` that no rule rejects, with all their columns."""
+    whole = df.select(F.struct(*df.columns).alias("q_row"), F.col(text).alias("q_text"))
+    return judge(whole, "q_text").filter("kept").select("q_row.*")
