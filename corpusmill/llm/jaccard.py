@@ -15,9 +15,9 @@ signature (the subsets that are enumerated are the single cells). No link is los
 - two linked sets even agree on as many signatures as either has above its bound, so
   sets and pairs that share fewer are no candidates.
 
-Sets that share a signature are candidates. First each signature's most connected set
-is compared with the others, which joins a group of near copies with one comparison
-per member. Then only pairs that share a signature but are not connected yet are
+Sets that share a signature are candidates. First each set is compared with one other,
+the most connected set of most of its signatures, which joins a group of near copies
+with one comparison per member. Then only pairs that share a signature but are not connected yet are
 compared, so no group emits all its pairs. Comparisons are exact on the shingles'
 64-bit hashes. Exact copies of a set count once.
 
@@ -333,7 +333,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     kept = materialize(_supported(_not_alone(kept)), "jaccard-kept")
     kept = materialize(_not_alone(kept), "jaccard-kept")
 
-    # first round: each signature's most connected set against the others
+    # first round: each set against the one that is most connected in most of its signatures
     weight = kept.join(kept.groupBy("g").agg(F.count("*").alias("m")), "g")
     central = weight.groupBy("c").agg(F.sum("m").alias("w"))
     ranked = materialize(kept.join(central, "c"), "jaccard-ranked")
@@ -342,8 +342,11 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     first = materialize(
         ranked.join(stars, "g")
         .filter((F.col("c") != F.col("top.c")) & near(F.col("n"), F.col("top.n")))
-        .select(F.col("top.c").alias("a"), F.col("c").alias("b"))
-        .distinct(),
+        .groupBy(F.col("c").alias("b"), F.col("top.c").alias("a"))
+        .agg(F.count("*").alias("have"), F.max("top.w").alias("w"))
+        .groupBy("b")
+        .agg(F.max(F.struct("have", "w", "a")).alias("best"))
+        .select(F.col("best.a").alias("a"), "b"),
         "jaccard-first",
     )
     links = materialize(linked(first, texts, "jaccard-first"), "jaccard-links")
