@@ -96,9 +96,9 @@ def tokens_of(
     col: str | Column,
     stopwords: Sequence[str] = (),
     min_length: int = 3,
-    max_length: int = 50,
+    max_length: int | None = 50,
 ) -> Column:
-    """Clean, split, drop stopwords and words outside the length bounds.
+    """Clean, split, drop stopwords and words outside the length bounds (None: no upper bound).
 
     `isin` over literals becomes a hash-set lookup, so no join is needed.
     """
@@ -106,7 +106,8 @@ def tokens_of(
     stop = sorted(set(stopwords))
 
     def keep(word: Column) -> Column:
-        fits = F.length(word).between(max(min_length, 1), max_length)
+        fits = F.length(word) >= max(min_length, 1)
+        fits = fits if max_length is None else fits & (F.length(word) <= max_length)
         return fits & ~word.isin(stop) if stop else fits
 
     return F.filter(words, keep)

@@ -133,11 +133,11 @@ def features(
 ) -> DataFrame:
     """Bag of words in a layout that depends on the data only, so that a seed repeats.
 
-    About 2,000 documents per partition, at least 8 and at most 20,000 partitions.
+    About 2,000 documents per partition, and at least 8 partitions.
     The vectors are stored first: every update of a fit starts from these files,
     and its tasks do not carry the plan that made the tokens.
     """
-    parts = min(20_000, max(8, math.ceil(n_docs / 2000)))
+    parts = max(8, math.ceil(n_docs / 2000))
     vectors = vectorizer.setInputCol(column).transform(docs).select("doc_id", "features")
     return (
         materialize(vectors, "features")
@@ -158,12 +158,11 @@ def fit_vectorizer(docs: DataFrame, column: str = "tokens", settings: Settings =
 def update_plan(n_docs: int, settings: Settings) -> tuple[float, int]:
     """Share of the documents per update, and number of updates.
 
-    Chunks have `chunk_size` documents. On a large corpus they grow so that all
-    passes still fit into `max_updates` updates, each of which is one job.
+    Chunks have `chunk_size` documents at every size of the corpus, and each update is
+    one job: a larger chunk is the caller's choice.
     """
-    chunk = max(settings.chunk_size, math.ceil(n_docs * settings.passes / settings.max_updates))
-    share = min(1.0, chunk / n_docs)
-    return share, settings.passes * math.ceil(n_docs / chunk)
+    share = min(1.0, settings.chunk_size / n_docs)
+    return share, settings.passes * math.ceil(n_docs / settings.chunk_size)
 
 
 def fit_lda(

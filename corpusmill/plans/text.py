@@ -139,9 +139,9 @@ def _joined(df: DataFrame, column: str = "tokens", name: str = "words") -> DataF
     return df.select("doc_id", F.array_join(column, " ").alias(name))
 
 
-@query("m1_clean", f"select doc_id, {sql.cleaned('text')} as cleaned from documents where lang = 'en'")
+@query("m1_clean", f"select doc_id, {sql.cleaned('text')} as cleaned from documents")
 def m1(spark, sf_dir) -> DataFrame:
-    docs = fx.texts(spark, sf_dir).where("lang = 'en'")
+    docs = fx.texts(spark, sf_dir)
     return docs.select("doc_id", text.clean_text("text").alias("cleaned"))
 
 
@@ -150,7 +150,7 @@ def m1(spark, sf_dir) -> DataFrame:
     f"select doc_id, len(list_filter(string_split({sql.cleaned('text')}, ' '), lambda t: t <> ''))::integer as n from documents",
 )
 def m2(spark, sf_dir) -> DataFrame:
-    every_word = text.tokens_of("text", (), 1, 1_000_000)
+    every_word = text.tokens_of("text", (), 1, None)
     return fx.texts(spark, sf_dir).select("doc_id", F.size(every_word).alias("n"))
 
 
@@ -160,7 +160,7 @@ def m2(spark, sf_dir) -> DataFrame:
       lambda t: t <> '' and t not in ({sql.STOP})), ' ') as words from documents""",
 )
 def m3(spark, sf_dir) -> DataFrame:
-    kept = text.drop_stopwords(text.tokens_of("text", (), 1, 1_000_000), fixed.BUILT_IN_STOPWORDS)
+    kept = text.drop_stopwords(text.tokens_of("text", (), 1, None), fixed.BUILT_IN_STOPWORDS)
     return fx.texts(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("words"))
 
 
@@ -169,7 +169,7 @@ def m3(spark, sf_dir) -> DataFrame:
     f"select doc_id, len({sql.tokens(stop=None)})::integer as n from documents",
 )
 def m4(spark, sf_dir) -> DataFrame:
-    kept = text.keep_lengths(text.tokens_of("text", (), 1, 1_000_000), 3, 50)
+    kept = text.keep_lengths(text.tokens_of("text", (), 1, None), 3, 50)
     return fx.texts(spark, sf_dir).select("doc_id", F.size(kept).alias("n"))
 
 

@@ -86,10 +86,10 @@ def s16(spark, sf_dir) -> DataFrame:
 @query(
     "f16_notable_topics",
     sql.with_(sql.THETA)
-    + "select doc_id, topic_id, round(prob, 6) as prob from theta where prob > 0.1",
+    + "select doc_id, topic_id, round(prob, 6) as prob from theta where prob > 0.01",
 )
 def f16(spark, sf_dir) -> DataFrame:
-    return _rounded(analysis.notable_topics(fx.theta(spark, sf_dir), 0.1).drop("rank"), "prob")
+    return _rounded(analysis.notable_topics(fx.theta(spark, sf_dir), 0.01).drop("rank"), "prob")
 
 
 @query(

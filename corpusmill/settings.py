@@ -26,7 +26,6 @@ class Settings:
     # topic model
     passes: int = 20
     chunk_size: int = 3000
-    max_updates: int = 400
     seed: int = 42
     # cleaning
     min_abstract_words: int = 20
