@@ -8,9 +8,7 @@ and no shard has to take a whole hot group.
 Packing runs on narrow rows: one per group, spread over tasks by the group's hash.
 Every task packs its groups, largest first, into its own share of the capacities,
 so the imbalance of a task is about the size of its smallest groups, and tasks
-need no word from each other. The large groups, of which there are at most
-PIECES * PIECES / 8 by definition, are packed by one task before; what they
-take is not subtracted from the others, since they are balanced by themselves.
+need no word from each other.
 
 Defined results: a null text has size 1 and is grouped with the empty text; rows
 without a key value are placed too; an empty table gives no rows; equal keys that
@@ -39,7 +37,7 @@ WEIGHTS = np.array([1.0, 0.2, 0.005])
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each vector: largest first, to the highest dot product with what is left.
 
-    Capacities and vectors are in shares of the totals, so the dimensions weigh alike.
+    Capacities and vectors are in shares of the totals, weighed by WEIGHTS.
     Ties go to the shard with the lower number.
     """
     total = np.maximum(vectors.sum(axis=0), 1e-300)

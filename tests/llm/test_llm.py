@@ -249,7 +249,8 @@ def test_entropy_by_counts_and_allow_list():
             if set(w) <= alphabet and h >= 3.0:
                 want.append(i)
         got = secrets.entropy_spans(s, alphabet, width, 3.0)
-        assert want == [i for a, b in got for i in range(a, b - width + 1)]
+        # windows that overlap join, so the spans cover what the windows cover
+        assert {j for i in want for j in range(i, i + width)} == {j for x, y in got for j in range(x, y)}
     token = "q7Zk2LmPx9vB4nTrWc8YdHsJ"
     assert secrets.spans_of(f"see {token} here")[1] == ["b64ent:4:28"]
     for fine in ("123e4567-e89b-12d3-a456-426614174000", "some_long_name_with_number_22", "CamelCaseNameOfClass2021Version", token[:12] + "EXAMPLE" + token[12:]):
