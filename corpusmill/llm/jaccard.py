@@ -36,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusmill.llm.common import chunks, mix, span_hashes, text_buffer, unused, word_spans
-from corpusmill.runtime import materialize, small_side
+from corpusmill.runtime import materialize, release, small_side
 
 WORDS = 5
 HOT = 48
+#: Bytes of a signature that are shuffled; its bucket, whose number grows with the input, tells its upper bits.
+SIGN_BYTES = 6
 PAIRS_PER_FLUSH = 2_000_000
 PAIRS_PER_PARTITION = 3_000_000
 
@@ -165,6 +167,18 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["d", "n", "h1", "h2", "spare0", "spare1"])
 
 
+def _bytes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    short = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    wide = np.zeros((len(short), 8), dtype=np.uint8)
+    wide[:, :width] = short
+    return wide.view("<u8")[:, 0].astype(np.uint64)
+
+
 def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Signatures with their documents, in one binary row per bucket and flush; copies within a task sign once."""
     seen: set[tuple[int, int, int]] = set()
@@ -179,14 +193,13 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         end = np.append(begin[1:], len(bucket))
         low = int(doc.min())
         width = max(1, (int(doc.max()) - low).bit_length() + 7 >> 3)  # bytes per document, from the smallest one
-        small = np.ascontiguousarray((doc - low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
         return pa.RecordBatch.from_pydict(
             {
                 "bucket": pa.array(bucket[begin].astype(np.int32)),
                 "low": pa.array(np.full(len(begin), low)),
                 "width": pa.array(np.full(len(begin), width, np.int32)),
-                "sign": pa.array([sign[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()),
-                "doc": pa.array([small[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()),
+                "sign": pa.array([_bytes(sign[a:b], SIGN_BYTES) for a, b in zip(begin, end)], pa.binary()),
+                "doc": pa.array([_bytes(doc[a:b] - low, width) for a, b in zip(begin, end)], pa.binary()),
             }
         )
 
@@ -214,11 +227,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(signature, document) of every signature that two documents or more carry."""
     signs, docs = [], []
     for batch in batches:
-        for low, width, sign, doc in zip(*(batch.column(c).to_pylist() for c in ("low", "width", "sign", "doc"))):
-            signs.append(np.frombuffer(sign, dtype=np.uint64))
-            wide = np.zeros((len(signs[-1]), 8), dtype=np.uint8)
-            wide[:, :width] = np.frombuffer(doc, dtype=np.uint8).reshape(-1, width)
-            docs.append(wide.view("<u8")[:, 0].astype(np.int64) + low)
+        for bucket, low, width, sign, doc in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "width", "sign", "doc"))):
+            signs.append(_numbers(sign, SIGN_BYTES) ^ mix(np.array([bucket + 1])) & ~np.uint64(1))
+            docs.append(_numbers(doc, width).astype(np.int64) + low)
     if not signs:
         return
     sign, doc = np.concatenate(signs), np.concatenate(docs)
@@ -251,11 +262,14 @@ def linked(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     )
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return (
+    out = materialize(
         pairs.select("a", "b").join(right, "b").join(left, "a")
         .filter(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared))
-        .select("a", "b")
+        .select("a", "b"),
+        label,
     )
+    release(ids, sets)
+    return out
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -266,7 +280,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), f"{label}-edges")
     labels = materialize(both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("l")), f"{label}-0")
-    turn = 0
+    last, turn = labels, 0
     while True:
         turn += 1
         around = both.join(labels.toDF("b", "lb"), "b").groupBy(F.col("a").alias("c")).agg(F.min("lb").alias("m"))
@@ -275,8 +289,10 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             labels.toDF("k", "kl"), F.col("x.l") == F.col("k"), "left"
         ).select("x.c", F.least("x.l", F.coalesce("kl", "x.l")).alias("l"), "was")
         stepped = materialize(jumped, f"{label}-{turn}")
-        labels = stepped.select("c", "l")
+        release(last)
+        last, labels = stepped, stepped.select("c", "l")
         if stepped.filter("l <> was").isEmpty():
+            release(both)
             return labels.withColumnRenamed("l", "component")
 
 
@@ -305,6 +321,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         ),
         "jaccard-classes",
     )
+    release(sets)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(total // PAIRS_PER_PARTITION) + 1
     carried = (
@@ -329,14 +346,18 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         .withColumn("need", F.greatest(F.lit(1), spare - F.col("hot")))
         .filter((F.col("m") <= HOT) | (F.col("hot") >= spare))
     )
-    kept = materialize(_supported(described.select("g", "c", "n", "odd", "need")), "jaccard-kept")
-    kept = materialize(_supported(_not_alone(kept)), "jaccard-kept")
-    kept = materialize(_not_alone(kept), "jaccard-kept")
+    supported = materialize(_supported(described.select("g", "c", "n", "odd", "need")), "jaccard-supported")
+    release(members)
+    again = materialize(_supported(_not_alone(supported)), "jaccard-supported")
+    release(supported)
+    kept = materialize(_not_alone(again), "jaccard-kept")
+    release(again)
 
     # first round: each set against the one that is most connected in most of its signatures
     weight = kept.join(kept.groupBy("g").agg(F.count("*").alias("m")), "g")
     central = weight.groupBy("c").agg(F.sum("m").alias("w"))
     ranked = materialize(kept.join(central, "c"), "jaccard-ranked")
+    release(kept)
     stars = ranked.groupBy("g").agg(F.max(F.struct("w", "c", "n")).alias("top"))
     near = lambda x, y: (4 * F.least(x, y) >= 3 * F.greatest(x, y))
     first = materialize(
@@ -349,15 +370,17 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         .select(F.col("best.a").alias("a"), "b"),
         "jaccard-first",
     )
-    links = materialize(linked(first, texts, "jaccard-first"), "jaccard-links")
+    links = linked(first, texts, "jaccard-links")
     found = components(links, "jaccard-components")
 
     # second round: pairs that share a signature and are not connected yet
     placed = materialize(
         ranked.select("g", "c", "n", "odd", "need").join(found, "c", "left").withColumn("k", F.coalesce("component", "c")), "jaccard-placed"
     )
+    release(ranked)
     open_groups = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("g")
     unsettled = materialize(placed.join(open_groups, "g").select("g", "odd", "c", "n", "k", "need"), "jaccard-unsettled")
+    release(placed)
     x, y = (unsettled.toDF("g", "odd", e, f"n{e}", f"k{e}", f"need{e}") for e in "ab")
     rest = (
         x.join(y, ["g", "odd"])
@@ -370,7 +393,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(rest.join(done, ["a", "b"], "left_anti"), "jaccard-second")
-    more = materialize(linked(second, texts, "jaccard-second"), "jaccard-more")
+    release(unsettled, first)
+    more = linked(second, texts, "jaccard-more")
     whole = components(links.union(more), "jaccard-whole")
     out = classes.join(whole, "c", "left").select(
         F.col("d").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "c", "d").alias("component_id")
