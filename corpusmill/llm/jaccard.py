@@ -40,10 +40,12 @@ from corpusmill.runtime import materialize, release, small_side
 
 WORDS = 5
 HOT = 48
+#: Bytes of text that are hashed at a time; the working arrays take about 40 bytes for each.
+CHUNK = 1 << 20
 #: Bytes of a signature that are shuffled; its bucket, whose number grows with the input, tells its upper bits.
 SIGN_BYTES = 6
-PAIRS_PER_FLUSH = 2_000_000
-PAIRS_PER_PARTITION = 3_000_000
+PAIRS_PER_FLUSH = 1_000_000
+PAIRS_PER_PARTITION = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -159,7 +161,7 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "t", 4 << 20):
+    for batch in chunks(batches, "t", CHUNK):
         shingles, sizes = shingle_sets(batch.column("t"))
         h1, h2 = set_digests(shingles, sizes)
         _, _, spare = signatures(shingles, sizes)
@@ -203,7 +205,7 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             }
         )
 
-    for batch in chunks(batches, "t", 4 << 20):
+    for batch in chunks(batches, "t", CHUNK):
         shingles, sizes = shingle_sets(batch.column("t"))
         h1, h2 = set_digests(shingles, sizes)
         sign, row, _ = signatures(shingles, sizes)
@@ -246,7 +248,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "t", 4 << 20):
+    for batch in chunks(batches, "t", CHUNK):
         shingles, sizes = shingle_sets(batch.column("t"))
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))
