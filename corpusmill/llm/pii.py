@@ -5,8 +5,9 @@ collapsed with digits kept, and all runs collapsed) and the shapes of its
 neighbours. It is trained here, by maximum likelihood, on a small labelled
 table that `labelled_lines` makes by rule; the weights are broadcast (one row per
 shape of that table). Tasks decode all lines of a batch together with Viterbi in numpy.
-A labelled run counts when it has the parts that its kind needs (an exact check) and
-does not touch a pattern match.
+A labelled run may hold several entities side by side: it is split into the pieces that
+have the parts of its kind (an exact check) and touch no pattern match, so that as
+much of the run as possible is covered.
 
 Defined results: a null text counts as empty and has no spans; texts are scanned whole;
 repeated rows give equal results; positions are code points, end exclusive. Other
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,9 @@ from corpusmill.llm.common import chunks, span_hashes, text_buffer, word_spans
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 TRAINING_LINES = 600
+LISTS = 0.5  # as many lines again, for each line, that hold entities of one kind side by side
+PHONE_FORMS = ("+9 (999) 999-9999", "+99 99 9999999", "(999) 999-9999", "999-999-9999", "999.999.9999", "+99-999-999-999")
+PHONE_WORDS = ("+9 999 999 9999", "999 999 9999")
 EPOCHS = 60
 
 # The base patterns. Possessive runs and the look-behind keep the leftmost matches and take linear time.
@@ -132,7 +138,7 @@ def _card(rng: random.Random) -> str:
 
 
 def labelled_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[list[str], list[int]]]:
-    """The labelled table: lines of invented words with personal data and with other numbers in between."""
+    """The labelled table: lines of invented words with personal data and with other numbers in between, then lists."""
     rng = random.Random(seed)
     parts = ("ba", "con", "die", "fu", "ge", "hol", "min", "per", "rat", "sul", "tor", "vi", "é", "ñ")
     host = lambda: f"{word()}{rng.choice(['', '1', '27'])}.{rng.choice(['com', 'org', 'example.com', 'co.uk'])}"
@@ -157,8 +163,7 @@ def labelled_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[list[s
             return [rng.choice(["password=", "key:", '"', "id="]) + "".join(rng.choices("0123456789abcdef", k=18))]
         return [_number(rng, form) + rng.choice(["", "", ",", "."])]
 
-    def personal() -> tuple[list[str], int]:
-        kind = rng.randint(1, 4)
+    def personal(kind: int, phones: tuple[str, ...] = PHONE_FORMS, ends: tuple[str, ...] = ("", "", "", ",", ".", ")")) -> tuple[list[str], int]:
         if kind == 1:
             text = rng.choice([f"{name()}@{host()}", f"{name()} (at) {host()}", f"{name()}[at]{host()}", f"{name()} [at] {host()}"])
         elif kind == 2:
@@ -168,9 +173,9 @@ def labelled_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[list[s
             sign = rng.choice(["", "", " ", "-", "."])
             text = sign.join(c[i : i + 4] for i in range(0, 16, 4))
         else:
-            text = _number(rng, rng.choice(["+9 (999) 999-9999", "+99 99 9999999", "(999) 999-9999", "999-999-9999", "999.999.9999", "+99-999-999-999"]))
+            text = _number(rng, rng.choice(phones))
         words = text.split(" ")
-        words[-1] += rng.choice(["", "", "", ",", ".", ")"])
+        words[-1] += rng.choice(ends)
         return words, kind
 
     lines = []
@@ -179,10 +184,21 @@ def labelled_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[list[s
         labels: list[int] = []
         for _ in range(rng.randint(2, 6)):
             draw = rng.random()
-            new, label = ([plain() for _ in range(rng.randint(1, 4))], 0) if draw < 0.6 else (other(), 0) if draw < 0.8 else personal()
+            new, label = ([plain() for _ in range(rng.randint(1, 4))], 0) if draw < 0.6 else (other(), 0) if draw < 0.8 else personal(rng.randint(1, 4))
             words += new
             labels += [label] * len(new)
         lines.append((words, labels))
+    for _ in range(int(LISTS * n)):
+        words = [plain() for _ in range(rng.randint(0, 3))]
+        labels = [0] * len(words)
+        kind, phones = rng.randint(1, 4), rng.choice([(form,) for form in (*PHONE_FORMS, *PHONE_WORDS)] + [PHONE_FORMS + PHONE_WORDS] * 2)
+        ends = rng.choice([("",), (",",), (";",)])
+        for _ in range(rng.randint(1, 4)):
+            new, label = personal(kind, phones, ends)
+            words += new
+            labels += [label] * len(new)
+        last = [plain() for _ in range(rng.randint(0, 2))]
+        lines.append((words + last, labels + [0] * len(last)))
     return lines
 
 
@@ -266,6 +282,8 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, line: np.ndarray) -> np.ndarr
 
 
 _TRIM = " \t\r\n,.;:!?()[]{}<>\"'"
+_UNIT = re.compile(r"[^\s,;|/]+")
+_DIGITS = frozenset("0123456789")
 
 
 def _holds(kind: int, piece: str) -> bool:
@@ -300,21 +318,75 @@ def crf_spans(model: Crf, texts: pa.Array) -> list[tuple[int, int, int, int]]:
     return [(int(row[a]), int(starts[a] - offsets[row[a]]), int(ends[b] - offsets[row[a]]), int(label[a])) for a, b in runs]
 
 
+def _pieces(kind: int, run: str, touched: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """(start, end) of the entities that stand in a labelled run, so that they cover as much of it as possible.
+
+    Words are also cut at signs that stand in no entity. A number has at most 19 digits, an address at most
+    three words, so no word is tried with more than a few after it.
+    """
+    left, right = (_TRIM.replace("(", ""), _TRIM.replace("(", "").replace(")", "")) if kind == 4 else (_TRIM, _TRIM)
+
+    def entity(a: int, b: int) -> tuple[int, int] | None:
+        piece = run[a:b].rstrip(right)
+        b = a + len(piece)
+        piece = piece.lstrip(left)
+        a = b - len(piece)
+        return (a, b) if _holds(kind, piece) and not touched(a, b) else None
+
+    one = entity(0, len(run))
+    if one:
+        return [one]
+    units = [m.span() for m in _UNIT.finditer(run)]
+    if kind > 1:  # only words with digits count; a sign before them belongs to them
+        marks = [run[a:b] in ("+", "(") for a, b in units]
+        units = [
+            (units[i - 1][0] if i and marks[i - 1] else a, b) for i, (a, b) in enumerate(units) if any(c in _DIGITS for c in run[a:b])
+        ]
+    size = [sum(c in _DIGITS for c in run[a:b]) for a, b in units] if kind > 1 else [1] * len(units)
+    most = (0, 3, 19, 19, 15)[kind]
+    best: list[tuple[int, int, tuple[int, int] | None, int]] = [(0, 0, None, 0)] * (len(units) + 1)
+    for i in range(len(units) - 1, -1, -1):  # (covered, fewest pieces, first piece, next unit) from each unit on
+        best[i] = (*best[i + 1][:2], None, i + 1)
+        total = 0
+        for j in range(i, len(units)):
+            total += size[j]
+            if total > most:
+                break
+            found = entity(units[i][0], units[j][1])
+            if found:
+                option = (best[j + 1][0] + found[1] - found[0], best[j + 1][1] - 1, found, j + 1)
+                if option[:2] > best[i][:2]:
+                    best[i] = option
+    out, i = [], 0
+    while i < len(units):
+        if best[i][2]:
+            out.append(best[i][2])
+        i = best[i][3]
+    return out
+
+
 def _spans(model: Crf, texts: pa.Array) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """Per row: base spans, and base with added ones, in order."""
     strings = [t or "" for t in texts.to_pylist()]
     base = [sorted(base_spans(t)) for t in strings]
     found = [list(b) for b in base]
-    for row, a, b, label in crf_spans(model, texts):
-        data = strings[row].encode()
-        piece = data[a:b].decode()
-        start = len(data[:a].decode())
-        # a run may hold several entities side by side; each must stand by itself
-        left = len(piece) - len(piece.lstrip(_TRIM if label != 4 else _TRIM.replace("(", "")))
-        piece = piece.strip(_TRIM if label != 4 else _TRIM.replace("(", "").replace(")", ""))
-        start += left
-        if _holds(label, piece) and not any(s < start + len(piece) and e > start for s, _, e in found[row]):
-            found[row].append((start, label - 1, start + len(piece)))
+    now, data, at, place = -1, b"", 0, 0
+    begins: list[int] = []
+    reach: list[int] = []
+
+    def touched(s: int, e: int) -> bool:
+        i = bisect_left(begins, e)
+        return i > 0 and reach[i - 1] > s
+
+    for row, a, b, label in crf_spans(model, texts):  # row by row, and in order
+        if row != now:
+            now, data, at, place = row, strings[row].encode(), 0, 0
+            begins = [s for s, _, _ in base[row]]
+            reach = list(accumulate((e for _, _, e in base[row]), max))
+        place += len(data[at:a].decode())
+        run, start, at = data[a:b].decode(), place, a
+        for s, e in _pieces(label, run, lambda s, e, start=start: touched(start + s, start + e)):
+            found[row].append((start + s, label - 1, start + e))
     return [(b, sorted(f)) for b, f in zip(base, found)]
 
 

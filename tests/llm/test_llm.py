@@ -398,6 +398,33 @@ def test_field_finds_other_forms(field):
     assert [f for _, f in spans] == [[(5, 3, 19)], [(2, 0, 19)], [], [], []]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]),
+        ("555-123-4567, 555-987-6543", ["555-123-4567", "555-987-6543"]),
+        ("call é 555-123-4567; 555-987-6543; 555-222-3333 now", ["555-123-4567", "555-987-6543", "555-222-3333"]),
+        ("(555) 123-4567 (555) 987-6543", ["(555) 123-4567", "(555) 987-6543"]),
+        ("+1 555 123 4567 555-987-6543", ["+1 555 123 4567", "555-987-6543"]),
+        ("bob (at) mail.com, ann (at) mail.org", ["bob (at) mail.com", "ann (at) mail.org"]),
+        ("bob (at) mail.com ann (at) mail.org eve[at]host.net", ["bob (at) mail.com", "ann (at) mail.org", "eve[at]host.net"]),
+        ("bob@x.com ann (at) mail.org", ["bob@x.com", "ann (at) mail.org"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+    ],
+)
+def test_entities_side_by_side(field, text, want):
+    ((_, found),) = pii._spans(field, pa.array([text]))
+    assert [text[s:e] for s, _, e in found] == want
+
+
+def test_a_run_is_split_so_that_most_of_it_is_covered():
+    free = lambda s, e: False
+    assert pii._pieces(4, "(555) 123-4567 (555) 987-6543", free) == [(0, 14), (15, 29)]
+    assert pii._pieces(4, "555-123-4567 555-987-6543", lambda s, e: s < 12) == [(13, 25)]  # the first is a pattern match
+    many = ", ".join(["555-123-4567"] * 5000)
+    assert len(pii._pieces(4, many, free)) == 5000 and pii._pieces(4, "- " * 50_000, free) == []
+
+
 def test_viterbi_is_the_best_path(field):
     rng = np.random.default_rng(3)
     scores, moves = rng.normal(size=(6, 3)), rng.normal(size=(3, 3))
