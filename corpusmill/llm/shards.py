@@ -2,8 +2,8 @@
 
 Equal texts form a group, and a group is placed whole, where the dot product of
 its vector with the shards' residual capacity is highest. A group above
-1 / PIECES of all bytes is dealt into pieces by a hash of the key first, so no task
-and no shard has to take a whole hot group.
+1 / PIECES of all bytes, of all tokens or of all rows is dealt into pieces by a hash
+of the key first, so no task and no shard has to take a whole hot group.
 
 Packing runs on narrow rows: one per group, spread over tasks by the group's hash.
 Every task packs its groups, largest first, into its own share of the capacities,
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corpusmill.llm.common import unused
 from corpusmill.runtime import materialize
 
-#: Groups above 1 / PIECES of all bytes are dealt into pieces.
+#: Groups above 1 / PIECES of all bytes, tokens or rows are dealt into pieces.
 PIECES = 512
 GROUPS_PER_TASK = 200_000
 ROWS_PER_RUN = 100_000
@@ -75,12 +75,13 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
         ),
         "shard-rows",
     )
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(1))).first()
-    most = max(total // PIECES, 1)
+    n, *totals = rows.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(1)) for c in ("size", "n_tokens"))).first()
+    most = [max(t // PIECES, 1) for t in (*totals, n)]
 
-    by_digest = rows.groupBy("digest").agg(F.sum("size").alias("whole"))
-    hot = F.broadcast(  # fewer than PIECES rows, as each holds more than 1 / PIECES of all bytes
-        by_digest.filter(F.col("whole") > most).select("digest", F.ceil(8 * F.col("whole") / most).alias("pieces"))
+    by_digest = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+    excess = F.greatest(*(F.col(c) / m for c, m in zip(("bytes", "tokens", "rows"), most)))
+    hot = F.broadcast(  # a few PIECES rows at most, as each holds more than about 1 / PIECES of a total
+        by_digest.filter((excess > 1) & (F.col("rows") > 1)).select("digest", F.ceil(8 * excess).alias("pieces"))
     )
     pieces = rows.join(hot, "digest", "left").withColumn(
         "piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(name), F.col("pieces"))).cast("int")

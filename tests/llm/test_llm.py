@@ -212,6 +212,18 @@ def test_shards_are_balanced(spark, sf_dir):
     assert max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 8
 
 
+def test_shards_where_a_third_of_the_rows_is_null(spark):
+    rng = random.Random(4)
+    rows = [(i, None if i % 3 == 0 else f"w{i} " + "x " * int(rng.lognormvariate(4, 1))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    where = {r.doc_id: r.shard for r in shards.assign(df).collect()}
+    for weigh in (lambda t: 1, lambda t: len(t) + 1, lambda t: len(t.split(" "))):
+        totals = collections.Counter()
+        for i, t in rows:
+            totals[where[i]] += weigh(t or "")
+        assert max(totals.values()) - min(totals[k] for k in range(8)) <= 0.05 * sum(totals.values()) / 8
+
+
 def test_shards_of_odd_rows(odd, empty):
     check_shards(odd, shards.assign(odd))
     assert shards.assign(empty).count() == 0
