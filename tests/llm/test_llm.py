@@ -270,6 +270,24 @@ def test_entropy_by_counts_and_allow_list():
     assert secrets.spans_of("a1" + "b" * 60_000)[1] is not None  # in linear time
 
 
+def test_secrets_of_one_case_and_beside_placeholders():
+    rng = random.Random(3)
+    low, base32 = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    # (text before the key, characters, length, least share of keys of which 80 % is covered)
+    cases = [("key-", low, 32, 0.95), ("sk_live_", low, 24, 0.95), ("a-b-", low, 32, 0.95), ("", base32, 32, 0.95), ("", base32, 24, 0.85)]
+    cases += [("", letters, 24, 0.7), ("example/", letters + "0123456789", 24, 0.85)]
+    for before, alphabet, n, share in cases:
+        good = 0
+        for _ in range(200):
+            text = "see " + before + "".join(rng.choices(alphabet, k=n)) + " here"
+            at = [range(int(a), int(b)) for _, a, b in (s.split(":") for s in secrets.spans_of(text)[1])]
+            good += sum(any(i in r for r in at) for i in range(4 + len(before), len(text) - 5)) >= 0.8 * n
+        assert good >= share * 200, before
+    fine = ("internationalization2021", "/usr/lib/x86_64-linux-gnu/libfoo2", "HTMLParserXMLReaderIOErrorHandler", "abcdefghijklmnopqrstuvwxyz0123456789")
+    assert [secrets.spans_of(f)[1] for f in fine] == [[]] * 4
+
+
 # -- 7 ----------------------------------------------------------------------------
 
 
