@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -382,6 +383,23 @@ def test_license_texts(spark, odd, empty):
     assert licenses.scan(odd).count() == 11 and licenses.scan(empty).count() == 0
 
 
+def test_entire_texts_of_long_licenses(spark):
+    folder = "/usr/share/common-licenses/"
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [], []
+    for file, name in names.items():
+        if os.path.exists(folder + file):
+            with open(folder + file) as lines:
+                body = lines.read()
+            rows += [body, "Copyright 2020 Some One\n" + body.upper(), body + " more"]
+            want += [name, name, None]
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "Unlicense"):
+        rows.append(next(t for n, t in reversed(licenses.KNOWN) if n == name))
+        want.append(name)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r.license for r in licenses.scan(df).orderBy("doc_id").collect()] == want
+
+
 # -- 10 ---------------------------------------------------------------------------
 
 
