@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import bpe, decontaminate, jaccard, language, licenses, pii, quality, secrets, shards, warc
+from corpusmill.llm import bpe, decontaminate, jaccard, language, licenses, negatives, packing, pii, quality, secrets, shards, trie, warc
 from corpusmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefixes(table(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return packing.pack(table(spark, sf_dir, "documents"), file.read())
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -88,6 +103,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
+    "op11_negatives": op11_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -98,4 +116,42 @@ ORACLES: dict[str, str] = {
                case when payload_bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 1000 and page_id < last then last end as refers_to
         from g""",
+    "op11_negatives": """
+        with e as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as l,
+                          list_transform(embedding, lambda x: floor(256 * x::double)) as v
+                   from embeddings
+                   where label is not null and embedding is not null
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id as id, a.l = b.l as same, list_inner_product(a.v, b.v)::bigint as score
+              from e as a join e as b on a.vec_id % 100 = 0 and a.r <> b.r),
+        p as (select ar, br as pr, anchor_id, id as positive_id, score as positive_score from s where same
+              qualify row_number() over (partition by ar order by score desc, id nulls last) <= 5),
+        n as (select p.ar, p.pr, p.anchor_id, positive_id, positive_score, s.id as negative_id, s.score as negative_score,
+                     row_number() over (partition by p.ar, p.pr order by s.score desc, s.id nulls last) as rank
+              from p join s on s.ar = p.ar and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+        select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
+    "op12_prefix_trie": """
+        with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as pos,
+                          coalesce(role, '') as role, coalesce(text, '') as text
+                   from conversations where conv_id is not null),
+        own as (select c, list({'role': role, 'text': text} order by pos) as turns from t group by c),
+        bits as (select c, turns, [ord(x)::ubigint for x in string_split(c::varchar, '')] as bytes from own),
+        crc as (select c, turns, (xor(list_reduce(list_concat([4294967295::ubigint], bytes),
+                    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)::ubigint[]),
+                        lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint) % 6)::int as h
+                from bits),
+        whole as (select a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) as turns from crc as a left join own as b on b.c = a.c - a.c % 100),
+        cut as (select c, turns, unnest(range(0, len(turns) + 1)) as depth from whole),
+        paths as (select c, depth, len(turns) = depth as ends, turns[1:depth] as path from cut),
+        nodes as (select path, depth, min(c) as conv_id, count(*) as n_convs, coalesce(length(path[-1].text), 0) as tokens,
+                         sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ends), '')) as ends_sha256
+                  from paths group by path, depth),
+        kids as (select path[1:depth - 1] as path, count(*) as n_children from nodes where depth > 0 group by all),
+        up as (select path[1:d] as path, sum((k.path is null)::int) as n_leaves, sum((n_convs - 1) * tokens) as saved
+               from (select n.path, n_convs, tokens, unnest(range(0, depth + 1)) as d from nodes as n) as n left join kids as k using (path)
+               group by all)
+        select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves::bigint as n_leaves,
+               saved::bigint as saved_tokens, n.ends_sha256
+        from nodes as n join up on up.path = n.path left join kids on kids.path = n.path
+        left join nodes as p on n.depth > 0 and p.depth = n.depth - 1 and p.path = n.path[1:n.depth - 1]""",
 }
