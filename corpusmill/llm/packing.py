@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -48,37 +50,94 @@ from corpusmill.runtime import materialize, small_side
 LIMIT = 2048
 END_ID = 0
 #: Words that a worker remembers; then it starts anew, but still looks into the last ones.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
+#: Words that are tokenized at a time; each takes about a kilobyte meanwhile.
+TOGETHER = 10_000
 #: Bytes of text that are tokenized at a time.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 # -- tokens ---------------------------------------------------------------------
 
 
+#: A tokenizer with these settings, and any pattern, takes the short way for Latin words.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Printable ASCII and the letters of Latin-1: normal already, and their small letters are one sign each.
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _short_way(settings: dict) -> re.Pattern | None:
+    """The pattern of a tokenizer's matches in lower-case Latin words, or None where it does more than match."""
+    try:
+        split, last = settings["pre_tokenizer"]["pretokenizers"]
+        pattern = split["pattern"]["Regex"]
+        known = settings["normalizer"]["normalizers"] == _NORMALIZER and last == _BYTES and {**split, "pattern": None} == {**_SPLIT, "pattern": None}
+    except (KeyError, TypeError, ValueError):
+        return None
+    if not known or settings["model"]["type"] != "BPE" or settings["model"]["dropout"]:
+        return None
+    pattern = pattern.replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
+    return None if r"\p" in pattern else re.compile(pattern)
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level models write for each byte: itself where it prints, else the next of those from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in prints)
+    return {**{b: chr(b) for b in prints}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
 class Words:
-    """Ids of words, each tokenized when first seen and then remembered for a while."""
+    """Ids of words, each tokenized when first seen and then remembered for a while.
+
+    A Latin word is matched here and its matches, which recur in other words, go to the
+    tokenizer's merges one by one; all other words go to the tokenizer whole.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.merges = self.tokenizer.model
+        settings = json.loads(model)
+        self.pattern = _short_way(settings)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in settings.get("added_tokens") or []) or "(?!)")
+        self.signs = _byte_signs()
         self.known: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+
+    def _match(self, match: str) -> bytes:
+        found = self.matches.get(match)
+        if found is None:
+            signs = match if match.isascii() else match.encode().decode("latin-1").translate(self.signs)
+            found = self.matches[match] = array("I", [t.id for t in self.merges.tokenize(signs)]).tobytes()
+        return found
 
     def ids(self, words: list[str]) -> list[bytes]:
         """Per word its ids, four little-endian bytes each."""
         if len(self.known) > REMEMBERED:
             self.known, self.last = {}, self.known
+        if len(self.matches) > REMEMBERED:
+            self.matches = {}
         known, last = self.known, self.last
         new = [w for w in words if w not in known]
         if last:
             known.update((w, last[w]) for w in new if w in last)
             new = [w for w in new if w not in known]
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found))
+        if self.pattern:
+            matches, latin, special, of = self.pattern.findall, _LATIN.fullmatch, self.special.search, self._match
+            short = [w for w in new if latin(w) and not special(w)]
+            for w in short:
+                known[w] = b"".join([of(m) for m in matches(w.lower())])
+            new = [w for w in new if w not in known]
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found))
         return [known[w] for w in words]
 
 
@@ -95,7 +154,7 @@ def token_ids(column: pa.Array, words: Words, end_id: int) -> tuple[np.ndarray,
     per_row = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.dictionary_encode(split.flatten())
     number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    found = words.ids(coded.dictionary.to_pylist())
+    found = words.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
     known = np.frombuffer(b"".join(found), np.uint32)
     ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
     length = ends[number + 1] - ends[number]

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import oracle
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -189,6 +190,17 @@ def test_no_conversations(spark):
 # -- 13 ----------------------------------------------------------------------------
 
 
+def test_words_taken_the_short_way_have_the_tokenizers_ids():
+    words, rng = packing.Words(MODEL), random.Random(4)
+    assert words.pattern
+    signs = "abzABZ'’sStTdDlLmMrReEvV.,;:!?<|>0129àÀßÿŸİıñÑ×÷ªº́  \t\n\x1c\x85日é\x00~`^_-\"#"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["<|endoftext|>", "a<|startoftext|>b", "don't I'LL we'Re x'd ''s", "STRASSE Straße ÀÉ Å", "e\u0301a café"]
+    ids, offsets = packing.token_ids(pa.array(texts), words, 0)
+    for i, found in enumerate(words.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == found.ids + [0]
+
+
 def test_packing_cuts_encodes_and_fills(spark, odd, odd_rows):
     tokenizer = Tokenizer.from_str(MODEL)
     got = packing.pack(odd, MODEL, with_ids=True).collect()
