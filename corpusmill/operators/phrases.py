@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
 
-from corpusmill.runtime import materialize, small_side
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corpusmill.runtime import materialize, spread_join
 
 DELIMITER = "_"
+#: Bytes of phrases that a scan of the documents carries; more phrases take more scans.
+SCAN_BYTES = 32 << 20
 
 
 def adjacent_pairs(tokens: Column) -> Column:
@@ -46,15 +53,13 @@ def score_pairs(pairs: DataFrame, singles: DataFrame, min_count: int = 20) -> Da
     n_pairs = pairs.where("w2 is not null").agg(F.count(F.lit(1))).scalar()
     n_singles = singles.agg(F.count(F.lit(1))).scalar()
     often = singles.where(F.col("n") > min_count)
-    left = small_side(often.select("w1", F.col("n").alias("n1")))
-    right = small_side(often.select(F.col("w1").alias("w2"), F.col("n").alias("n2")))
+    left = often.select("w1", F.col("n").alias("n1"))
+    right = often.select(F.col("w1").alias("w2"), F.col("n").alias("n2"))
     score = (F.col("n") - min_count) / F.col("n1") / F.col("n2") * (n_pairs + n_singles)
-    return (
-        pairs.where((F.col("n") > min_count) & F.col("w2").isNotNull())
-        .join(left, "w1")
-        .join(right, "w2")
-        .select("w1", "w2", "n", score.alias("score"))
-    )
+    scored = pairs.where((F.col("n") > min_count) & F.col("w2").isNotNull())
+    # a word may have very many followers: beyond the broadcast limit its pairs are spread
+    scored = spread_join(spread_join(scored, left, "w1", "w2"), right, "w2", "w1")
+    return scored.select("w1", "w2", "n", score.alias("score"))
 
 
 def fit_phrases(
@@ -67,68 +72,131 @@ def fit_phrases(
     return materialize(scored.where(F.col("score") > threshold), "phrases")
 
 
-def merge_starts(
-    docs: DataFrame, phrases: DataFrame, column: str = "tokens", key: str = "doc_id"
-) -> DataFrame:
-    """Positions (from 0) at which two tokens of a document are merged.
+# -- merging, inside the row ----------------------------------------------------
 
-    Only the positions that hit a phrase are shuffled. Within an unbroken run of
-    hits every second one is taken, which is what a scan from left to right does.
-    """
-    pairs = docs.select(key, F.posexplode(adjacent_pairs(F.col(column))).alias("pos", "pair"))
-    pairs = pairs.select(key, "pos", "pair.w1", "pair.w2")
-    known = small_side(phrases.select("w1", "w2"))
-    hits = pairs.join(known, ["w1", "w2"], "left_semi").select(key, "pos")
-    by_doc = Window.partitionBy(key).orderBy("pos")
-    runs = hits.withColumn("run", F.col("pos") - F.row_number().over(by_doc))
-    in_run = Window.partitionBy(key, "run").orderBy("pos")
-    return (
-        runs.withColumn("step", F.row_number().over(in_run))
-        .where("step % 2 = 1")
-        .select(key, "pos")
-    )
-
-
-def apply_phrases(
-    docs: DataFrame, phrases: DataFrame, column: str = "tokens", key: str = "doc_id"
-) -> DataFrame:
-    """Replace `column` by its merged form; all other columns are kept.
 
-    `key` must be unique. The documents are shuffled once, by that key.
+def _hits(tokens: pa.Array, words: pa.Array, pairs: np.ndarray) -> np.ndarray:
+    """Places in the flat tokens whose token and follower are a known pair.
+
+    `pairs` holds sorted numbers: place of the first word among `words`, times their
+    number, plus the place of the second.
     """
-    starts = (
-        merge_starts(docs, phrases, column, key)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list("pos")).alias("_starts"))
-    )
-    merged = F.when(F.col("_starts").isNull(), F.col(column)).otherwise(
-        _merge_at(F.col(column), F.col("_starts"))
-    )
-    return (
-        docs.join(starts, key, "left").withColumn(column, merged).select(*docs.columns)
-    )
-
-
-def _merge_at(tokens: Column, starts: Column) -> Column:
-    """Cut the tokens at the starts and join the two tokens at each of them."""
-    n = F.size(tokens)
-    following = F.concat(F.slice(starts, F.lit(2), F.size(starts) - 1), F.array(n))
-    head = F.slice(tokens, F.lit(1), F.get(starts, F.lit(0)))
-    spans = F.zip_with(
-        starts, following, lambda at, stop: F.struct(at.alias("at"), stop.alias("stop"))
-    )
-    pieces = F.transform(
-        spans,
-        lambda s: F.concat(
-            F.array(
-                F.concat(
-                    F.get(tokens, s["at"]), F.lit(DELIMITER), F.get(tokens, s["at"] + 1)
-                )
-            ),
-            F.slice(tokens, s["at"] + 3, s["stop"] - s["at"] - 2),
-        ),
-    )
-    return F.concat(head, F.flatten(pieces))
+    flat = tokens.flatten()
+    if len(flat) < 2 or not len(pairs):
+        return np.zeros(0, np.int64)
+    code = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = (code[:-1] >= 0) & (code[1:] >= 0)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    known[ends[(ends > 0) & (ends < len(flat))] - 1] = False  # the follower is in the next row
+    at = np.flatnonzero(known)
+    pair = code[at] * len(words) + code[at + 1]
+    place = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+    return at[pairs[place] == pair]
+
+
+def _taken(hits: np.ndarray) -> np.ndarray:
+    """What a scan from left to right merges: every second hit of an unbroken run."""
+    if not len(hits):
+        return hits
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(hits) != 1]))
+    nth = np.arange(len(hits)) - np.repeat(starts, np.diff(np.append(starts, len(hits))))
+    return hits[nth % 2 == 0]
+
+
+def _merged(tokens: pa.Array, starts: np.ndarray) -> pa.Array:
+    """Token lists in which the tokens at the starts are joined with their followers."""
+    flat = tokens.flatten()
+    joined = pc.binary_join_element_wise(flat.take(pa.array(starts)), flat.take(pa.array(starts + 1)), DELIMITER)
+    place, kept = np.arange(len(flat)), np.ones(len(flat), dtype=bool)
+    place[starts] = len(flat) + np.arange(len(starts))
+    kept[starts + 1] = False
+    out = pa.concat_arrays([flat, joined.cast(flat.type)]).take(pa.array(place[kept]))
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(kept)])
+    offsets = before[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+    absent = pc.is_null(tokens).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(absent, False)), out)
+
+
+def _lists(flat_places: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """Places in the flat tokens as lists of positions in their rows."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    row = np.searchsorted(ends, flat_places, side="right")
+    offsets = np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((flat_places - (ends - sizes)[row]).astype(np.int32)))
+
+
+def _flat(lists: pa.Array, tokens: pa.Array) -> np.ndarray:
+    """The inverse of `_lists`."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    per_row = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, per_row)
+
+
+def _slices(phrases: DataFrame) -> int:
+    """Number of slices of a stored phrase table that are small enough to go along with a scan."""
+    size = F.octet_length("w1") + F.octet_length("w2") + 24
+    return int(phrases.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] // SCAN_BYTES) + 1
+
+
+def _finder(phrases: DataFrame, slices: int, number: int) -> Callable[[pa.Array], np.ndarray]:
+    """Finds the hits of one slice of the phrases; the slice is broadcast."""
+    rows = phrases.select("w1", "w2")
+    if slices > 1:
+        rows = rows.where(F.pmod(F.xxhash64("w1", "w2"), F.lit(slices)) == number)
+    found = rows.toArrow().combine_chunks()
+    words = pc.unique(pa.chunked_array([*found.column("w1").chunks, *found.column("w2").chunks], pa.string()))
+    first, second = (pc.index_in(found.column(c), value_set=words).to_numpy().astype(np.int64) for c in ("w1", "w2"))
+    shared = phrases.sparkSession.sparkContext.broadcast((words, np.sort(first * len(words) + second)))
+    return lambda tokens: _hits(tokens, *shared.value)
+
+
+def _scan(docs: DataFrame, phrases: DataFrame, column: str, finish: Callable[[pa.Array, np.ndarray], pa.Array], kind: str, output: str) -> DataFrame:
+    """`docs` with `finish(tokens, places to merge)` as a column.
+
+    The documents are scanned where they are: no shuffle, and nothing depends on how
+    often a pair occurs. Phrases beyond SCAN_BYTES take a stored scan per slice, which adds its hits.
+    """
+    slices = _slices(phrases)
+    if slices == 1:
+        find = _finder(phrases, 1, 0)
+
+        @F.arrow_udf(kind)
+        def whole(tokens: pa.Array) -> pa.Array:
+            return finish(tokens, _taken(find(tokens)))
+
+        return docs.withColumn(output, whole(column))
+    held = "_hits"
+    while held in docs.columns:
+        held += "_"
+    for number in range(slices):
+        find = _finder(phrases, slices, number)
+
+        @F.arrow_udf("array<int>")
+        def part(tokens: pa.Array) -> pa.Array:
+            return _lists(find(tokens), tokens)
+
+        hits = part(column) if number == 0 else F.concat(held, part(column))
+        docs = materialize(docs.withColumn(held, hits), "phrase-hits")
+
+    @F.arrow_udf(kind)
+    def last(tokens: pa.Array, hits: pa.Array) -> pa.Array:
+        return finish(tokens, _taken(np.sort(_flat(hits, tokens))))
+
+    return docs.withColumn(output, last(column, held)).drop(held)
+
+
+def merge_starts(docs: DataFrame, phrases: DataFrame, column: str = "tokens", key: str = "doc_id") -> DataFrame:
+    """Positions (from 0) at which two tokens of a document are merged, for a stored phrase table."""
+    found = _scan(docs.select(key, column), phrases, column, lambda tokens, at: _lists(at, tokens), "array<int>", "_starts")
+    return found.select(key, F.explode("_starts").alias("pos"))
+
+
+def apply_phrases(docs: DataFrame, phrases: DataFrame, column: str = "tokens") -> DataFrame:
+    """Replace `column` by its merged form; all other columns and rows are kept. `phrases` is a stored table."""
+    return _scan(docs, phrases, column, _merged, "array<string>", column)
 
 
 def is_phrase(token: Column) -> Column:

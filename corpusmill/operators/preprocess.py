@@ -98,7 +98,7 @@ class Preprocessor:
             F.size(output) >= self.settings.min_doc_length
         )
 
-    def fit(self, docs: DataFrame, column: str = "tokens", key: str = "doc_id") -> "Preprocessor":
+    def fit(self, docs: DataFrame, column: str = "tokens") -> "Preprocessor":
         """Learn phrases from tokenised documents."""
         s = self.settings
         self.bigrams = self.trigrams = None
@@ -107,33 +107,33 @@ class Preprocessor:
                 docs, column, s.bigram_min_count, s.phrase_threshold
             )
             if s.use_trigrams:
-                merged = phrase_ops.apply_phrases(docs, self.bigrams, column, key)
+                merged = phrase_ops.apply_phrases(docs, self.bigrams, column)
                 self.trigrams = phrase_ops.fit_phrases(
                     merged, column, s.trigram_min_count, s.phrase_threshold
                 )
         return self
 
-    def merge(self, docs: DataFrame, column: str = "tokens", key: str = "doc_id") -> DataFrame:
+    def merge(self, docs: DataFrame, column: str = "tokens") -> DataFrame:
         """Apply the learned phrases."""
         for table in (self.bigrams, self.trigrams):
             if table is not None:
-                docs = phrase_ops.apply_phrases(docs, table, column, key)
+                docs = phrase_ops.apply_phrases(docs, table, column)
         return docs
 
     def fit_transform(
-        self, df: DataFrame, column: str = "text", output: str = "tokens", key: str = "doc_id"
+        self, df: DataFrame, column: str = "text", output: str = "tokens"
     ) -> DataFrame:
         """The whole corpus; tokens are computed once and stored before the fit."""
         docs = materialize(self.tokenize(df, column, output), "tokens")
-        return self.fit(docs, output, key).merge(docs, output, key).withColumn(
+        return self.fit(docs, output).merge(docs, output).withColumn(
             "token_count", F.size(output)
         )
 
     def transform(
-        self, df: DataFrame, column: str = "text", output: str = "tokens", key: str = "doc_id"
+        self, df: DataFrame, column: str = "text", output: str = "tokens"
     ) -> DataFrame:
         """New texts with the learned phrases; short ones are kept."""
-        return self.merge(df.withColumn(output, self.tokens(column)), output, key)
+        return self.merge(df.withColumn(output, self.tokens(column)), output)
 
 
 def corpus_statistics(

@@ -57,13 +57,28 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Hint a join side: broadcast when a count proves it small, else sort-merge.
 
     Meant for materialized tables, where the count reads only file footers.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df.hint("merge")
+    most = BROADCAST_ROWS if max_rows is None else max_rows
+    n = df.limit(most + 1).count()
+    return F.broadcast(df) if n <= most else df.hint("merge")
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """Inner join of `rows` with a side that has one row per key.
+
+    A side proven small is broadcast. A larger one is copied `salts` times, so that
+    the rows of a hot key, told apart by the column `by`, go to as many tasks.
+    """
+    most = BROADCAST_ROWS
+    if side.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(side), key)
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return salted.join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill import fixed_values as fixed
 from corpusmill.operators import analysis, cleaning, dedup, phrases, preprocess, profile, topic_words, vocabulary
 from corpusmill.operators.preprocess import Preprocessor
+from corpusmill import runtime
 from corpusmill.runtime import materialize, scratch_root, small_side, spread
 from corpusmill.settings import Settings
 
@@ -265,13 +266,60 @@ def test_small_side_checks_the_size(spark):
     assert "strategy=merge" in plan_of(other.join(small_side(few, 9), F.col("k") == F.col("id")))
 
 
-def test_merge_gives_the_same_without_a_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "small_side", lambda df: df.hint("merge"))
-    lists = [list("ababcab")] * 20
-    table = spark.createDataFrame([("a", "b")], "w1 string, w2 string")
-    out = phrases.apply_phrases(docs_of(spark, lists), table)
-    assert "SortMergeJoin" in plan_of(out)
-    assert all(r["tokens"] == ["a_b", "a_b", "c", "a_b"] for r in out.collect())
+@pytest.mark.parametrize("scan_bytes", [1 << 20, 60, 1])
+def test_merge_gives_the_same_with_any_number_of_scans(spark, monkeypatch, scan_bytes):
+    monkeypatch.setattr(phrases, "SCAN_BYTES", scan_bytes)
+    rng = random.Random(12)
+    lists = [[rng.choice("abcde") for _ in range(rng.randrange(0, 30))] for _ in range(60)] + [list("ababcab")] * 20
+    pairs = {("a", "b"), ("b", "c"), ("e", "e"), ("d", "a"), ("c", "never")}
+    table = materialize(spark.createDataFrame(sorted(pairs), "w1 string, w2 string"), "phrases")
+    docs = docs_of(spark, lists, 5).withColumn("_hits", F.lit(3))
+    out = phrases.apply_phrases(docs, table)
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: r["tokens"] for r in out.collect()} == {i: greedy(x, pairs) for i, x in enumerate(lists)}
+    starts = {}
+    for r in phrases.merge_starts(docs, table).collect():
+        starts.setdefault(r["doc_id"], []).append(r["pos"])
+    for i, tokens in enumerate(lists):
+        assert len(tokens) - len(starts.get(i, [])) == len(greedy(tokens, pairs))
+
+
+def test_merging_needs_no_shuffle_window_or_join(spark):
+    table = materialize(spark.createDataFrame([("a", "b")], "w1 string, w2 string"), "phrases")
+    stored = materialize(docs_of(spark, [list("abc")] * 9), "docs")
+    plan = plan_of(phrases.apply_phrases(stored, table)).split("== Physical Plan ==")[1]
+    assert not any(word in plan for word in ("Exchange", "Window", "Join", "Aggregate"))
+
+
+def test_a_pair_that_fills_nine_tenths_of_all_places(spark):
+    lists = [["hot", "pair"] * 4500 + ["x"] * 1000 for _ in range(30)]
+    df = docs_of(spark, lists, 6)
+    pairs = {("hot", "pair")}
+    table = materialize(spark.createDataFrame(sorted(pairs), "w1 string, w2 string"), "phrases")
+    for row in phrases.apply_phrases(df, table).collect():
+        assert row["tokens"] == greedy(lists[0], pairs)
+
+
+def test_null_lists_and_tokens_are_kept(spark):
+    rows = [(0, None), (1, ["a", None, "b", "a", "b"]), (2, []), (3, ["b"]), (4, ["a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").coalesce(1)
+    table = spark.createDataFrame([("a", "b"), ("b", "a")], "w1 string, w2 string")
+    out = {r["doc_id"]: r["tokens"] for r in phrases.apply_phrases(docs, table).collect()}
+    assert out == {0: None, 1: ["a", None, "b_a", "b"], 2: [], 3: ["b"], 4: ["a"]}
+    none = spark.createDataFrame([], "w1 string, w2 string")
+    assert {r["doc_id"]: r["tokens"] for r in phrases.apply_phrases(docs, none).collect()} == dict(rows)
+
+
+def test_scores_are_the_same_with_spread_keys(spark, monkeypatch):
+    rng = random.Random(13)
+    lists = [["the", rng.choice("abcdefgh"), "of", rng.choice("abc")] for _ in range(300)]
+    pairs = materialize(phrases.count_pairs(docs_of(spark, lists)), "test")
+    singles = materialize(phrases.count_singles(pairs), "test")
+    want = sorted(map(tuple, phrases.score_pairs(pairs, singles, 2).collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    scored = phrases.score_pairs(pairs, singles, 2)
+    assert "_salt" in plan_of(scored) and "strategy=broadcast" not in plan_of(scored)
+    assert sorted(map(tuple, scored.collect())) == want
 
 
 def test_large_inputs_are_not_spread(spark):
