@@ -10,16 +10,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 EPSILON = 1e-12
-_CHUNK = 200_000  # windows held at once by a task
+_CHUNK = 1 << 17  # windows that are counted at once by a task
 
 
-def _presence(first: np.ndarray, last: np.ndarray, word: np.ndarray, windows: int, words: int):
-    """windows x words 0/1 matrix: word k occurs in the windows first..last."""
-    size = (windows + 1) * words
-    steps = np.bincount(first * words + word, minlength=size)
-    steps = steps - np.bincount((last + 1) * words + word, minlength=size)
-    inside = np.cumsum(steps.reshape(windows + 1, words), axis=0)[:windows] > 0
-    return inside.astype(np.float64)
+def _pair_windows(first: np.ndarray, last: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    """words x words: number of windows that hold both, when hit k lies in the windows first[k]..last[k].
+
+    Between two neighbouring ends of such spans all windows hold the same words, so one
+    row stands for them: the rows are at most twice the hits, however many windows there are.
+    """
+    cuts = np.unique(np.concatenate([first, last + 1]))
+    size = len(cuts) * words
+    steps = np.bincount(np.searchsorted(cuts, first) * words + word, minlength=size)
+    steps = steps - np.bincount(np.searchsorted(cuts, last + 1) * words + word, minlength=size)
+    inside = (np.cumsum(steps.reshape(len(cuts), words), axis=0)[:-1] > 0).astype(np.float64)
+    return (inside * np.diff(cuts)[:, None]).T @ inside
 
 
 def window_counts(
@@ -28,17 +33,24 @@ def window_counts(
     column: str = "tokens",
     window: int = 110,
     relevant_only: bool = True,
+    models: Sequence[int] | None = None,
 ) -> DataFrame:
     """Windows that hold word i and word j of a topic: (topic_id, i, j, n), i <= j.
 
     The row with topic_id -1 holds the number of windows. Every partition adds up
     its own counts, so at most 210 numbers per topic of 20 words leave a task.
-    Documents without any of the words are not counted unless asked for.
+    Documents without any of the words are not counted unless asked for. `models`
+    gives the model of each topic, from 0: one scan then counts for all of them, and the
+    windows of model m, in documents with any of its own words, are in row -1 - m. Windows are counted
+    _CHUNK at a time, so a long document is cut, with spans that reach over the cut in both parts.
     """
     listed = sorted({w for _, words in topics for w in words})
     index = {w: i for i, w in enumerate(listed)}
+    owners = list(models) if models is not None else [0] * len(topics)
+    of_model = np.zeros((max(owners, default=0) + 1, len(listed)), dtype=bool)
     local = []
-    for topic_id, words in topics:
+    for owner, (topic_id, words) in zip(owners, topics):
+        of_model[owner, [index[w] for w in words]] = True
         places = np.full(len(listed), -1, dtype=np.int64)
         places[[index[w] for w in words]] = np.arange(len(words))
         local.append((topic_id, places, len(words)))
@@ -46,7 +58,7 @@ def window_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_set = pa.array(listed, pa.string())
         sums = {t: np.zeros((m, m)) for t, _, m in local}
-        seen = 0
+        seen = np.zeros(len(of_model), dtype=np.int64)
         for batch in batches:
             lists = batch.column(0)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -57,25 +69,26 @@ def window_counts(
             doc = np.searchsorted(ends, at, side="right")
             pos = at - (ends - sizes)[doc]
             per_doc = np.maximum(sizes - window + 1, 1)
+            for number, own in enumerate(of_model):
+                counted = np.unique(doc[own[word[at]]]) if relevant_only else slice(None)
+                seen[number] += int(per_doc[counted].sum())
             if relevant_only:
                 per_doc = np.where(np.bincount(doc, minlength=len(sizes)) > 0, per_doc, 0)
-            seen += int(per_doc.sum())
-            chunk = (np.cumsum(per_doc) - per_doc) // _CHUNK
-            for part in np.unique(chunk[doc]):
-                docs_in = chunk == part
-                base = np.cumsum(np.where(docs_in, per_doc, 0)) - np.where(docs_in, per_doc, 0)
-                hit = docs_in[doc]
-                d, p, w = doc[hit], pos[hit], word[at[hit]]
-                first = base[d] + np.maximum(p - window + 1, 0)
-                last = base[d] + np.minimum(p, per_doc[d] - 1)
-                windows = int(per_doc[docs_in].sum())
+            base = (np.cumsum(per_doc) - per_doc)[doc]
+            # both grow from hit to hit, since a document's windows follow those of the one before
+            first = base + np.maximum(pos - window + 1, 0)
+            last = base + np.minimum(pos, per_doc[doc] - 1)
+            word = word[at]
+            for begin in range(0, int(per_doc.sum()), _CHUNK):
+                end = begin + _CHUNK
+                part = slice(np.searchsorted(last, begin), np.searchsorted(first, end))
+                f, l, w = np.maximum(first[part], begin), np.minimum(last[part], end - 1), word[part]
                 for topic_id, places, m in local:
                     k = places[w]
                     own = k >= 0
                     if own.any():
-                        inside = _presence(first[own], last[own], k[own], windows, m)
-                        sums[topic_id] += inside.T @ inside
-        rows = [(-1, 0, 0, seen)]
+                        sums[topic_id] += _pair_windows(f[own], l[own], k[own], m)
+        rows = [(-1 - number, 0, 0, int(n)) for number, n in enumerate(seen)]
         for topic_id, m in sums.items():
             for i, j in zip(*np.triu_indices(len(m))):
                 if m[i, j]:
@@ -89,12 +102,15 @@ def window_counts(
     return partial.groupBy("topic_id", "i", "j").agg(F.sum("n").alias("n"))
 
 
-def topic_coherence(counts: DataFrame, n_words: int = 20) -> DataFrame:
+def topic_coherence(counts: DataFrame, n_words: int = 20, models: Sequence[int] | None = None) -> DataFrame:
     """c_v per topic from stored window counts: (topic_id, coherence).
 
-    Everything here has topics x words x words rows at most.
+    Everything here has topics x words x words rows at most. `models` as for `window_counts`, for topics numbered from 0.
     """
     total = counts.where("topic_id = -1").select(F.col("n").cast("double")).scalar()
+    if models is not None:
+        windows = {-1 - r["topic_id"]: float(r["n"]) for r in counts.where("topic_id < 0").collect()}
+        total = F.get(F.array(*[F.lit(windows.get(m, 0.0)) for m in models]), F.col("topic_id"))
     rows = counts.where("topic_id >= 0")
     single = rows.where("i = j").select("topic_id", "i", F.col("n").alias("n_i"))
     spots = single.select("topic_id").distinct().select(

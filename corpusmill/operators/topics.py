@@ -27,7 +27,8 @@ class ModelMetadata:
     vocabulary_size: int
     passes: int
     updates: int
-    alpha: float
+    prior: str
+    alpha: list[float]  # one concentration per topic; the learned ones where they are learned
     eta: float
     coherence_score: float | None
     training_time_seconds: float
@@ -78,9 +79,9 @@ class TopicModel:
         get equal probabilities. A map over the rows, no shuffle."""
         k = self.num_topics
         flat = F.array_repeat(F.lit(1.0 / k), k)
-        raw = self.lda.setTopicDistributionCol("_topics").transform(
-            self.vectorizer.setInputCol(column).setOutputCol("features").transform(docs)
-        )
+        # copies, so that a caller's stages keep their columns
+        vectors = self.vectorizer.copy().setInputCol(column).setOutputCol("features").transform(docs)
+        raw = self.lda.copy().setTopicDistributionCol("_topics").transform(vectors)
         probs = vector_to_array("_topics")
         return raw.select(
             *keep, F.when(F.exists(probs, lambda x: x > 0), probs).otherwise(flat).alias("probs")
@@ -104,7 +105,7 @@ class TopicModel:
             )
             docs = texts.withColumn("tokens", words)
         else:
-            docs = preprocessor.transform(texts, column, "tokens", keep[0])
+            docs = preprocessor.transform(texts, column, "tokens")
         labels = F.array(
             *[F.array(*[F.lit(w) for w in words]) for _, words in self.top_words(n_words)]
         )
@@ -138,7 +139,7 @@ def features(
     and its tasks do not carry the plan that made the tokens.
     """
     parts = max(8, math.ceil(n_docs / 2000))
-    vectors = vectorizer.setInputCol(column).transform(docs).select("doc_id", "features")
+    vectors = vectorizer.copy().setInputCol(column).transform(docs).select("doc_id", "features")
     return (
         materialize(vectors, "features")
         .repartition(parts, "doc_id")
@@ -165,23 +166,63 @@ def update_plan(n_docs: int, settings: Settings) -> tuple[float, int]:
     return share, settings.passes * math.ceil(n_docs / settings.chunk_size)
 
 
+Prior = str | float | Sequence[float]
+
+
+def concentrations(alpha: Prior | None, num_topics: int) -> tuple[str, list[float], bool]:
+    """Name of a document prior, its concentration per topic, and whether they are learned.
+
+    `symmetric`: 1 / K each. `asymmetric`: 1 / (i + sqrt(K)), scaled to one, so earlier
+    topics are expected more often. `auto`: learned from the documents, from 1 / K on. A
+    number stands for all topics, a sequence gives one each.
+    """
+    if alpha is None or alpha == "symmetric":
+        return "symmetric", [1.0 / num_topics] * num_topics, False
+    if alpha == "auto":
+        return "auto", [1.0 / num_topics] * num_topics, True
+    if alpha == "asymmetric":
+        raw = [1.0 / (i + math.sqrt(num_topics)) for i in range(num_topics)]
+        return "asymmetric", [x / sum(raw) for x in raw], False
+    if isinstance(alpha, str):
+        raise ValueError(f"unknown prior: {alpha}")
+    given = [float(alpha)] * num_topics if isinstance(alpha, (int, float)) else [float(x) for x in alpha]
+    if len(given) != num_topics or min(given) <= 0:
+        raise ValueError(f"a prior needs {num_topics} positive numbers")
+    return "given", given, False
+
+
+def word_concentration(eta: str | float | None, num_topics: int) -> float:
+    """One number for all words; a prior learned per word is not built."""
+    if eta is None or eta == "symmetric":
+        return 1.0 / num_topics
+    if isinstance(eta, str):
+        raise ValueError(f"unknown prior of words: {eta}")
+    return float(eta)
+
+
 def fit_lda(
     bow: DataFrame,
     n_docs: int,
     num_topics: int,
     settings: Settings = Settings(),
-    alpha: float | None = None,
-    eta: float | None = None,
+    alpha: Prior | None = None,
+    eta: str | float | None = None,
 ) -> tuple[LDAModel, int]:
+    """A fitted model and its number of updates.
+
+    A document's topics are iterated until they change by less than 0.001 on average,
+    which the optimiser fixes; there is no limit of iterations to set.
+    """
     share, updates = update_plan(n_docs, settings)
+    _, prior, learned = concentrations(alpha, num_topics)
     lda = LDA(
         k=num_topics,
         optimizer="online",
         maxIter=updates,
         subsamplingRate=share,
-        docConcentration=[1.0 / num_topics if alpha is None else alpha],
-        topicConcentration=1.0 / num_topics if eta is None else eta,
-        optimizeDocConcentration=False,
+        docConcentration=prior,
+        topicConcentration=word_concentration(eta, num_topics),
+        optimizeDocConcentration=learned,
         learningDecay=0.5,
         learningOffset=1.0,
         seed=settings.seed,
@@ -193,8 +234,8 @@ def train(
     docs: DataFrame,
     num_topics: int,
     settings: Settings = Settings(),
-    alpha: float | None = None,
-    eta: float | None = None,
+    alpha: Prior | None = None,
+    eta: str | float | None = None,
     with_coherence: bool = True,
     column: str = "tokens",
 ) -> TopicModel:
@@ -221,8 +262,9 @@ def _train_all(docs, counts, settings, alpha, eta, with_coherence, column) -> li
                 vocabulary_size=len(stage.vocabulary),
                 passes=settings.passes,
                 updates=updates,
-                alpha=1.0 / k if alpha is None else alpha,
-                eta=1.0 / k if eta is None else eta,
+                prior=concentrations(alpha, k)[0],
+                alpha=lda.estimatedDocConcentration().toArray().tolist(),
+                eta=word_concentration(eta, k),
                 coherence_score=None,
                 training_time_seconds=shared + time.perf_counter() - started,
                 coherence_time_seconds=0.0,
@@ -231,13 +273,24 @@ def _train_all(docs, counts, settings, alpha, eta, with_coherence, column) -> li
     finally:
         bow.unpersist()
     if with_coherence:
-        for model in models:
-            started = time.perf_counter()
-            model.metadata.coherence_score = coherence_of(model, docs, column)
-            model.metadata.coherence_time_seconds = time.perf_counter() - started
+        started = time.perf_counter()
+        scores = dict(coherence_of_models(models, docs, column).select("model", "coherence").collect())
+        for number, model in enumerate(models):
+            model.metadata.coherence_score = scores[number]
+            model.metadata.coherence_time_seconds = (time.perf_counter() - started) / len(models)
     return models
 
 
+def coherence_of_models(models: Sequence[TopicModel], docs: DataFrame, column: str = "tokens", n_words: int = 20, window: int = 110) -> DataFrame:
+    """(model, coherence) by place in `models`: one scan counts the windows of all their topics, one job scores them."""
+    topics_of = [(number, words) for number, model in enumerate(models) for _, words in model.top_words(n_words)]
+    owners = [number for number, _ in topics_of]
+    counts = coherence.window_counts(docs, [(i, words) for i, (_, words) in enumerate(topics_of)], column, window, models=owners)
+    scored = coherence.topic_coherence(materialize(counts, "windows"), n_words, owners)
+    owner = F.get(F.array(*[F.lit(number) for number in owners]), F.col("topic_id"))
+    return scored.groupBy(owner.alias("model")).agg(F.avg("coherence").alias("coherence"))
+
+
 def coherence_by_topic(
     model: TopicModel, docs: DataFrame, column: str = "tokens", n_words: int = 20, window: int = 110
 ) -> DataFrame:
@@ -246,8 +299,7 @@ def coherence_by_topic(
 
 
 def coherence_of(model: TopicModel, docs: DataFrame, column: str = "tokens") -> float:
-    per_topic = coherence_by_topic(model, docs, column)
-    return coherence.model_coherence(per_topic).first()["coherence"]
+    return coherence_of_models([model], docs, column).first()["coherence"]
 
 
 def search_topic_counts(
@@ -256,7 +308,10 @@ def search_topic_counts(
     settings: Settings = Settings(),
     column: str = "tokens",
 ) -> tuple[int, DataFrame]:
-    """Coherence for every topic count, and the best one (the smallest on a tie)."""
+    """Coherence for every topic count, and the best one (the smallest on a tie).
+
+    One dictionary, one stored bag of words and one scan of the windows serve all counts.
+    """
     models = _train_all(docs, list(counts), settings, None, None, True, column)
     rows = [(m.num_topics, float(m.metadata.coherence_score)) for m in models]
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
@@ -271,7 +326,7 @@ def topic_table(model: TopicModel, spark: SparkSession, n: int = 20, per_topic:
     """Topics with words, label and, where given, their coherence."""
     info = topic_words.topic_info(model.phi(spark, n), n)
     if per_topic is None:
-        return info.withColumn("coherence", F.lit(0.0))
+        return info.withColumn("coherence", F.lit(None).cast("double"))
     return info.join(F.broadcast(per_topic), "topic_id", "left")
 
 
@@ -280,7 +335,7 @@ def summary(model: TopicModel, spark: SparkSession) -> DataFrame:
     meta = asdict(model.metadata)
     schema = (
         "num_topics int, num_documents long, vocabulary_size int, passes int, updates int, "
-        "alpha double, eta double, coherence_score double, training_time_seconds double, "
+        "prior string, alpha array<double>, eta double, coherence_score double, training_time_seconds double, "
         "coherence_time_seconds double"
     )
     return spark.createDataFrame([tuple(meta.values())], schema)

@@ -203,14 +203,13 @@ def phi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "phi", build)
 
 
-def model(spark: SparkSession, sf_dir: str, k: int = 4, passes: int = 5) -> topics.TopicModel:
-    """A small Spark ML model over the stored tokens with merged phrases."""
-    settings = Settings().with_(passes=passes)
+MODEL_TOPICS = 12
+
+
+def model(spark: SparkSession, sf_dir: str) -> topics.TopicModel:
+    """A model with the default parameters over the stored tokens with merged phrases."""
     return stored(
-        spark,
-        sf_dir,
-        f"model-{k}-{passes}",
-        lambda: topics.train(merged(spark, sf_dir), k, settings, with_coherence=False),
+        spark, sf_dir, "model", lambda: topics.train(merged(spark, sf_dir), MODEL_TOPICS, Settings(), with_coherence=False)
     )
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.plans import fixtures as fx, sql
+from corpusmill.functions import vectors
+from corpusmill.operators import alignment
+from corpusmill.plans import fixtures as fx, planted, sql
 from corpusmill.plans.registry import query
 from corpusmill.runtime import scratch_path
+from corpusmill.sources import tables
 from corpusmill.streaming import flows
 
 
@@ -34,15 +37,21 @@ def t1(spark, sf_dir) -> DataFrame:
     return stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("texts"))
 
 
-@query("t2_score_new_documents")
+@query(
+    "t2_score_new_documents",
+    sql.with_(planted.SQL) + "select doc_id, group_id from plead",
+)
 def t2(spark, sf_dir) -> DataFrame:
-    model, prep = fx.model(spark, sf_dir), fx.fitted_preprocessor(spark, sf_dir)
-    arriving = _stream(spark, sf_dir, "documents").select("doc_id", "text")
+    """The planted documents as they arrive, scored with the stored model: the group of each."""
+    place = scratch_path(spark, "model")
+    tables.save_model(planted.model(spark, sf_dir), spark, place)
+    model = tables.load_model(spark, place)
+    arriving = planted.numbered(_stream(spark, sf_dir, "documents"))
     path = scratch_path(spark, "scores")
-    flows.run_batches(
-        arriving, lambda batch: model.theta(prep.transform(batch)), path, scratch_path(spark, "state")
-    )
-    return spark.read.parquet(path).select("doc_id", F.transform("probs", lambda p: F.round(p, 6)).alias("probs"))
+    flows.run_batches(arriving, model.theta, path, scratch_path(spark, "state"))
+    best = vectors.argmax(F.col("probs"))
+    group = alignment.renamed(best, planted.groups(spark, sf_dir)).alias("group_id")
+    return spark.read.parquet(path).select("doc_id", group)
 
 
 @query(

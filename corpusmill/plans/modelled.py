@@ -1,12 +1,17 @@
-"""Queries that fit a topic model. Spark ML's random start has no SQL equivalent,
-so these are checked by properties in the tests."""
+"""Queries that fit a topic model.
+
+Spark ML's random start has no SQL equivalent. What a model must find is stated in SQL
+for the planted corpus, with its topics named after the planted groups; the model of
+the documents' own texts is checked by its sizes and by properties in the tests.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusmill.operators import analysis, topics
-from corpusmill.plans import fixtures as fx, sql
+from corpusmill.functions import vectors
+from corpusmill.operators import alignment, analysis, topics
+from corpusmill.plans import fixtures as fx, planted, sql
 from corpusmill.plans.registry import query
 from corpusmill.runtime import materialize, scratch_path
 from corpusmill.settings import Settings
@@ -31,6 +36,17 @@ def _theta(spark, sf_dir) -> DataFrame:
     return fx.stored(spark, sf_dir, "model-theta", build)
 
 
+def _planted_theta(spark, sf_dir) -> DataFrame:
+    def build() -> DataFrame:
+        return materialize(planted.model(spark, sf_dir).theta(planted.corpus(spark, sf_dir)), "theta")
+
+    return fx.stored(spark, sf_dir, "planted-theta", build)
+
+
+def _group(spark, sf_dir, topic: Column) -> Column:
+    return alignment.renamed(topic, planted.groups(spark, sf_dir)).alias("group_id")
+
+
 def _rounded_array(name: str = "probs", places: int = 6):
     return F.transform(name, lambda x: F.round(x, places))
 
@@ -43,7 +59,7 @@ def m15(spark, sf_dir) -> DataFrame:
 @query(
     "m15_topic_mass",
     sql.with_(_SIZES)
-    + "select k::integer as topic_id, n_terms as terms, 1.0::double as mass from range(4) t(k), sizes",
+    + "select k::integer as topic_id, n_terms as terms, 1.0::double as mass from range(12) t(k), sizes",
 )
 def m15_mass(spark, sf_dir) -> DataFrame:
     """Every topic has a weight for every term, and the weights sum to one."""
@@ -66,9 +82,40 @@ def m21_sums(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("m16_model_topics")
+#: Sizes of three groups: seven, two and one of ten documents.
+_SKEWED = (0, 0, 0, 0, 0, 0, 0, 1, 1, 2)
+
+
+@query(
+    "m15_prior_modes",
+    """select 'symmetric' as prior, k::integer as place, round(1 / 3::double, 9) as value from range(3) t(k)
+      union all select 'asymmetric', k::integer,
+        round((1 / (k + sqrt(3))) / (1 / sqrt(3) + 1 / (1 + sqrt(3)) + 1 / (2 + sqrt(3))), 9) from range(3) t(k)
+      union all select 'auto', k::integer, k::double from range(3) t(k)""",
+)
+def m15_priors(spark, sf_dir) -> DataFrame:
+    """Concentrations of the modes; the learned ones order the groups of a skewed corpus by their sizes."""
+    group = F.get(F.array(*[F.lit(g) for g in _SKEWED]), (F.col("doc_id") % 10).cast("int"))
+    docs = planted.corpus(spark, sf_dir).withColumn("g", F.concat(F.lit("wo"), F.chr(97 + group.cast("long"))))
+    skewed = docs.select("doc_id", F.transform("tokens", lambda t: F.when(t.startswith("wo"), F.concat("g", F.substring(t, 4, 1))).otherwise(t)).alias("tokens"))
+    skewed = materialize(skewed, "skewed")
+    models = {mode: topics.train(skewed, 3, Settings(), alpha=mode, with_coherence=False) for mode in ("symmetric", "asymmetric", "auto")}
+    rows = [(m, i, round(x, 9)) for m in ("symmetric", "asymmetric") for i, x in enumerate(models[m].metadata.alpha)]
+    of = alignment.align(models["auto"].phi(spark), planted.group_words(spark).where("group_id < 3"))
+    learned = sorted(enumerate(models["auto"].metadata.alpha), key=lambda x: -x[1])
+    rows += [("auto", place, float(of[topic])) for place, (topic, _) in enumerate(learned)]
+    return spark.createDataFrame(rows, "prior string, place int, value double")
+
+
+@query(
+    "m16_model_topics",
+    sql.with_(planted.SQL)
+    + "select group_id, string_agg(term, ' ' order by rank) as top_words from prank where rank <= 8 group by 1",
+)
 def m16(spark, sf_dir) -> DataFrame:
-    return topics.topic_table(fx.model(spark, sf_dir), spark, 20)
+    """The words of every topic, best first, for the planted corpus."""
+    info = topics.topic_table(planted.model(spark, sf_dir), spark, 8)
+    return info.select(_group(spark, sf_dir, F.col("topic_id")), F.array_join("top_words", " ").alias("top_words"))
 
 
 @query("m17_model_coherence")
@@ -76,30 +123,44 @@ def m17(spark, sf_dir) -> DataFrame:
     return topics.coherence_by_topic(fx.model(spark, sf_dir), fx.merged(spark, sf_dir))
 
 
-@query("m19_topic_count_search")
+@query(
+    "m19_topic_count_search",
+    f"""select k::integer as num_topics, k = {planted.GROUPS} as is_best, true as scored
+      from (select unnest({list(planted.COUNTS)}) as k)""",
+)
 def m19(spark, sf_dir) -> DataFrame:
-    few = Settings().with_(passes=3)
-    best, results = topics.search_topic_counts(fx.merged(spark, sf_dir), (3, 5), few)
-    path = scratch_path(spark, "coherence-csv")
-    tables.write_csv(results, path)
-    stored = tables.read_csv(spark, path, tables.COHERENCE_SCHEMA)
-    return stored.withColumn("is_best", F.col("num_topics") == best)
+    """All topic counts of the study with default passes; the planted number of groups wins."""
+    best, results = planted.search(spark, sf_dir)
+    return results.select(
+        "num_topics", (F.col("num_topics") == best).alias("is_best"), F.col("coherence").between(-1, 1).alias("scored")
+    )
 
 
-@query("s10_search_results_store")
+@query("s10_search_results_store", f"select {planted.GROUPS}::integer as num_topics, true as same")
 def s10(spark, sf_dir) -> DataFrame:
-    """Coherence of the stored model, written and read back."""
+    """The results of the search, written and read back: the best row, and whether it is unchanged."""
+    best, results = planted.search(spark, sf_dir)
     path = scratch_path(spark, "coherence-csv")
-    score = topics.coherence_by_topic(fx.model(spark, sf_dir), fx.merged(spark, sf_dir)).agg(
-        F.lit(fx.model(spark, sf_dir).num_topics).alias("num_topics"), F.avg("coherence").alias("coherence")
-    )
-    tables.write_csv(score, path)
-    return topics.best_topic_count(tables.read_csv(spark, path, tables.COHERENCE_SCHEMA))
+    tables.write_csv(results, path)
+    stored = topics.best_topic_count(tables.read_csv(spark, path, tables.COHERENCE_SCHEMA))
+    was = results.select("num_topics", F.col("coherence").alias("was"))
+    return stored.join(F.broadcast(was), "num_topics").select("num_topics", (F.col("coherence") == F.col("was")).alias("same"))
+
+
+#: Above the share of a group that a document has none of, below that of its second one.
+_NOTABLE = 0.15
 
 
-@query("m20_topics_of_documents")
+@query(
+    "m20_topics_of_documents",
+    sql.with_(planted.SQL)
+    + """select doc_id, 1::integer as rank, group_id from plead
+      union all select doc_id, 2::integer, second from plead where mixed""",
+)
 def m20(spark, sf_dir) -> DataFrame:
-    return analysis.notable_topics(_theta(spark, sf_dir), 0.0)
+    """Groups of every planted document, most likely first: one, or two where it is mixed."""
+    found = analysis.notable_topics(_planted_theta(spark, sf_dir), _NOTABLE)
+    return found.select("doc_id", F.col("rank").cast("int").alias("rank"), _group(spark, sf_dir, F.col("topic_id")))
 
 
 @query("m21_document_topic_matrix")
@@ -107,48 +168,68 @@ def m21(spark, sf_dir) -> DataFrame:
     return _theta(spark, sf_dir).select("doc_id", _rounded_array().alias("probs"))
 
 
-@query("m22_infer_new_texts")
-def m22(spark, sf_dir) -> DataFrame:
-    """The conversation turns are the new texts."""
-    turns = fx.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text"
-    )
-    out = fx.model(spark, sf_dir).infer(turns, "text", fx.fitted_preprocessor(spark, sf_dir), 5)
-    best = F.get("topics", F.lit(0))
-    return out.select(
-        "doc_id", "num_tokens", best["topic_id"].alias("topic_id"), best["probability"].alias("probability"),
-        F.array_join(best["top_words"], " ").alias("top_words"),
+def _inferred(found: DataFrame, spark, sf_dir) -> DataFrame:
+    """One row per text and topic, with the topic's words."""
+    rows = found.select("doc_id", "num_tokens", F.posexplode("topics").alias("pos", "topic"))
+    return rows.select(
+        "doc_id", F.col("num_tokens").cast("int").alias("num_tokens"), _group(spark, sf_dir, F.col("topic.topic_id")),
+        F.array_join("topic.top_words", " ").alias("top_words"), (F.col("pos") == 0).alias("is_best"),
     )
 
 
-@query("m22_infer_plain_split")
+_INFERRED_SQL = """,
+ptop as (select group_id, string_agg(term, ' ' order by rank) as top_words from prank where rank <= {n} group by 1)
+select n.doc_id, 9::integer as num_tokens, group_id, top_words, group_id = n.doc_id % {groups} as is_best
+from new_texts as n cross join ptop"""
+
+
+@query(
+    "m22_infer_new_texts",
+    sql.with_(planted.SQL, "new_texts as (select conv_id * 100000 + turn as doc_id from conversations)")
+    + _INFERRED_SQL.format(n=5, groups=planted.GROUPS),
+)
+def m22(spark, sf_dir) -> DataFrame:
+    """All topics of new raw texts, one per conversation turn, through the preprocessor."""
+    turn = F.col("conv_id") * 100_000 + F.col("turn")
+    texts = fx.table(spark, sf_dir, "conversations").select(turn.alias("doc_id"), planted.new_text(turn, ",").alias("text"))
+    return _inferred(planted.model(spark, sf_dir).infer(texts, "text", planted.preprocessor(), 5), spark, sf_dir)
+
+
+@query(
+    "m22_infer_plain_split",
+    sql.with_(planted.SQL, "new_texts as (select item_id as doc_id from benchmark)")
+    + _INFERRED_SQL.format(n=3, groups=planted.GROUPS),
+)
 def m22_plain(spark, sf_dir) -> DataFrame:
-    items = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    out = fx.model(spark, sf_dir).infer(items, "text", None, 3)
-    return out.select("doc_id", "num_tokens", F.get("topics", F.lit(0))["topic_id"].alias("topic_id"))
+    """Without a preprocessor: lower case, split at white space."""
+    item = F.col("item_id")
+    texts = fx.table(spark, sf_dir, "benchmark").select(item.alias("doc_id"), planted.new_text(item, "").alias("text"))
+    return _inferred(planted.model(spark, sf_dir).infer(texts, "text", None, 3), spark, sf_dir)
 
 
-@query("v3_similar_to_text")
+@query(
+    "v3_similar_to_text",
+    f"""select (k + 1)::integer as rank, (select (min(item_id) % {planted.GROUPS})::integer from benchmark) as group_id
+      from range(10) t(k)""",
+)
 def v3(spark, sf_dir) -> DataFrame:
-    """Documents closest to the first benchmark item; nothing is excluded."""
-    text = fx.table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
-    tokens = fx.fitted_preprocessor(spark, sf_dir).transform(
-        text.select(F.col("item_id").alias("doc_id"), "text")
+    """Documents closest to a new text of one group are all of that group; nothing is excluded."""
+    item = fx.table(spark, sf_dir, "benchmark").agg(F.min("item_id").alias("doc_id"))
+    tokens = planted.preprocessor().transform(item.withColumn("text", planted.new_text(F.col("doc_id"), ";")))
+    vector = planted.model(spark, sf_dir).theta(tokens).first()["probs"]
+    best = analysis.rank_similar(_planted_theta(spark, sf_dir), vectors.literal_vector(vector), 10)
+    order = Window.orderBy(F.desc(F.round("similarity", 9)), "doc_id")
+    return best.select(
+        F.row_number().over(order).alias("rank"), (F.col("doc_id") % planted.GROUPS).cast("int").alias("group_id")
     )
-    vector = fx.model(spark, sf_dir).theta(tokens).first()["probs"]
-    from corpusmill.functions.vectors import literal_vector
-
-    best = analysis.rank_similar(_theta(spark, sf_dir), literal_vector(vector), 10)
-    docs = fx.documents(spark, sf_dir).select("doc_id", "lang", "source")
-    return docs.join(F.broadcast(best), "doc_id")
 
 
 @query(
     "a25_model_summary",
     sql.with_(_SIZES)
-    + """select 4::integer as num_topics, n_docs as num_documents, n_terms::integer as vocabulary_size,
-      5::integer as passes, (5 * ceil(n_docs / 3000.0))::integer as updates, 0.25::double as alpha,
-      0.25::double as eta from sizes""",
+    + """select 12::integer as num_topics, n_docs as num_documents, n_terms::integer as vocabulary_size,
+      20::integer as passes, (20 * ceil(n_docs / 3000.0))::integer as updates, 'symmetric' as prior,
+      list_transform(range(12), lambda k: 1 / 12::double) as alpha, 1 / 12::double as eta from sizes""",
 )
 def a25(spark, sf_dir) -> DataFrame:
     return topics.summary(fx.model(spark, sf_dir), spark).drop(
@@ -159,8 +240,8 @@ def a25(spark, sf_dir) -> DataFrame:
 @query(
     "v7_overview_counts",
     sql.with_(_SIZES)
-    + """select 4::integer as num_topics, n_docs as num_documents, n_terms::integer as vocabulary_size,
-      2::bigint as labelled_topics from sizes""",
+    + """select 12::integer as num_topics, n_docs as num_documents, n_terms::integer as vocabulary_size,
+      6::bigint as labelled_topics from sizes""",
 )
 def v7(spark, sf_dir) -> DataFrame:
     model = fx.model(spark, sf_dir)
@@ -173,10 +254,15 @@ def v7(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("v8_bound_documents")
+@query(
+    "v8_bound_documents",
+    sql.with_(planted.SQL) + "select group_id, count(*) as n from plead group by 1",
+)
 def v8(spark, sf_dir) -> DataFrame:
-    bound = topics.BoundTheta(fx.model(spark, sf_dir), fx.merged(spark, sf_dir))
-    return analysis.dominant_counts(bound.theta)
+    """Planted documents bound to the model: how many each group leads."""
+    bound = topics.BoundTheta(planted.model(spark, sf_dir), planted.corpus(spark, sf_dir))
+    counts = analysis.dominant_counts(bound.theta)
+    return counts.select(_group(spark, sf_dir, F.col("dominant_topic")), "n")
 
 
 @query("s14_model_store", sql.with_(_SIZES) + "select n_docs as n, 0.0::double as largest_gap from sizes")

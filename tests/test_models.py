@@ -1,12 +1,15 @@
 """Topic models by their properties, coherence by brute force, and streams."""
 
+import itertools
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import coherence, topics
+from corpusmill.operators import alignment, coherence, topics
 from corpusmill.operators.preprocess import Preprocessor
 from corpusmill.runtime import materialize, scratch_path
 from corpusmill.settings import Settings
@@ -159,6 +162,72 @@ def test_coherence_in_small_chunks(spark, planted, monkeypatch):
     assert sorted(whole) == sorted(pieces)
 
 
+def test_coherence_of_a_long_document(spark):
+    """More than 200,000 windows in one document; window and number of words as the study has them."""
+    rng = random.Random(3)
+    words = [[f"a{i}" for i in range(20)], [f"b{i}" for i in range(19)] + ["a0"]]
+    vocabulary = [*words[0], *words[1], *(f"z{i}" for i in range(400))]
+    long = [rng.choice(vocabulary) for _ in range(200_300)]
+    lists = [long, long[:500], ["a0"] * 150, ["z1"] * 200]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, tokens array<string>").coalesce(1)
+    counts = coherence.window_counts(df, list(enumerate(words)))
+    got = {r["topic_id"]: r["coherence"] for r in coherence.topic_coherence(materialize(counts, "w"), 20).collect()}
+    assert [got[0], got[1]] == pytest.approx(brute_force_coherence(lists, words, 110), abs=1e-9)
+
+
+def test_one_scan_scores_all_models_alike(spark, planted, model):
+    other = topics.train(planted, 2, PLANTED.with_(passes=5))
+    scores = dict(topics.coherence_of_models([other, model], planted).select("model", "coherence").collect())
+    assert scores[1] == pytest.approx(model.metadata.coherence_score)
+    per_topic = topics.coherence_by_topic(other, planted)
+    assert scores[0] == pytest.approx(coherence.model_coherence(per_topic).first()[0])
+
+
+# -- priors and alignment -------------------------------------------------------
+
+
+def test_prior_modes():
+    assert topics.concentrations(None, 4) == ("symmetric", [0.25] * 4, False)
+    assert topics.concentrations("auto", 2) == ("auto", [0.5, 0.5], True)
+    name, values, learned = topics.concentrations("asymmetric", 5)
+    assert name == "asymmetric" and sum(values) == pytest.approx(1) and values == sorted(values, reverse=True) and not learned
+    assert values[0] / values[3] == pytest.approx((3 + math.sqrt(5)) / math.sqrt(5))
+    assert topics.concentrations([0.1, 0.9], 2)[1] == [0.1, 0.9] and topics.concentrations(2, 2)[1] == [2.0, 2.0]
+    for wrong in ("other", [0.1], [0.1, -1.0]):
+        with pytest.raises(ValueError):
+            topics.concentrations(wrong, 2)
+    assert topics.word_concentration(None, 4) == 0.25 and topics.word_concentration(0.1, 4) == 0.1
+    with pytest.raises(ValueError):
+        topics.word_concentration("auto", 4)
+
+
+def test_given_concentrations_are_in_the_metadata(spark, planted):
+    fitted = topics.train(planted, 2, PLANTED.with_(passes=2), alpha=[0.2, 0.7], eta=0.3, with_coherence=False)
+    assert fitted.metadata.alpha == pytest.approx([0.2, 0.7]) and fitted.metadata.eta == 0.3
+    row = topics.summary(fitted, spark).first()
+    assert row["prior"] == "given" and row["alpha"] == pytest.approx([0.2, 0.7])
+
+
+def test_best_match_is_the_best_permutation():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (3, 3), (4, 6), (6, 6)):
+        for _ in range(20):
+            weight = rng.integers(0, 6, size=(n, m)).astype(float)
+            match = alignment.best_match(weight)
+            assert len(set(match)) == n
+            best = max(sum(weight[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m), n))
+            assert sum(weight[i, c] for i, c in enumerate(match)) == best
+    assert alignment.best_match(np.zeros((0, 0))) == []
+
+
+def test_topics_beyond_the_groups_have_none(spark):
+    phi = spark.createDataFrame([(0, "x", 0.9), (0, "y", 0.1), (1, "y", 1.0), (2, "x", 0.2)], "topic_id int, term string, weight double")
+    groups = spark.createDataFrame([("x", 7), ("y", 5)], "term string, group_id int")
+    assert alignment.align(phi, groups) == {0: 7, 1: 5}
+    rows = spark.range(4).select(alignment.renamed(F.col("id"), {0: 7, 1: 5}).alias("g")).collect()
+    assert [r["g"] for r in rows] == [7, 5, None, None]
+
+
 def test_coherence_tells_mixed_topics(planted, model):
     pure = [(i, w) for i, w in model.top_words(10)]
     mixed = [(i, [pure[(i + j) % 4][1][j] for j in range(10)]) for i in range(4)]
