@@ -25,6 +25,42 @@ the and of to in is for on with that this are as be by an was at or from it has
 have been were which can will also more its their all
 """.split()
 
+# The study's own stopwords, by its five headings, in its order.
+DOMAIN_STOPWORDS = """
+hal salah memiliki sebesar nilai tingkat
+inti jenis makna ditemukan membantu meningkatkan
+aspek besar kecil utama unit faktor dimensi
+terdaftar orang pihak objek tempat hasil jumlah
+responden masyarakat pengguna nasabah klien
+bisnis usaha industri implementasi analisa
+studi kasus positif negatif
+
+pengaruh berpengaruh signifikan berpengaruh_signifikan
+variabel variabel_independen variabel_dependen
+parsial simultan uji sampel populasi hipotesis hipotesa
+menunjukan hubungan perbedaan diterima ditolak
+deskriptif periode data rata_rata koefisien
+
+penulis tujuan teori skripsi berjudul menganalisis
+studi program_studi universitas perguruan mahasiswa
+metode teknik proses prosedur pelaksanaan penerapan
+kegiatan pengelolaan perhitungan penilaian evaluasi
+laporan pencatatan penelitian
+latar belakang masalah rumusan pustaka tinjauan
+kerangka berfikir pemikiran pengujian ratio rasio
+manajemen akuntansi
+
+tbk persero pt cv jalan perusahaan tahun
+indonesia jawa barat timur selatan utara pusat
+daerah kabupaten kota provinsi wilayah kecamatan
+bandung cimahi jakarta widyatama
+
+research company test using value influence
+analysis based performance method study product
+process service management system abstract used
+effect quality
+""".split()
+
 BUILT_IN_STOPWORDS = INDONESIAN_STOPWORDS + ACADEMIC_STOPWORDS + ENGLISH_STOPWORDS
 
 # Words expected among the most frequent ones of an uncleaned text.

@@ -18,18 +18,17 @@ WRITTEN_FORMS = (
 
 
 def parse_date(col: str | Column) -> Column:
-    """Timestamp of a free-form date, value by value.
+    """Wall-clock time of a free-form date, value by value; no time zone and no current day play a part.
 
-    Falls back to 1 January of the first year 19xx or 20xx in the text, else null.
+    Falls back to 1 January of the first year 19xx or 20xx in the text, else null. A
+    time of day without a date is null; a zone after a time is not applied.
     """
     value = F.trim(F.col(col) if isinstance(col, str) else col)
-    written = [F.try_to_timestamp(value, F.lit(form)) for form in WRITTEN_FORMS]
+    written = [F.try_to_date(value, form).cast("timestamp_ntz") for form in WRITTEN_FORMS]
     year = F.regexp_extract(value, r"(?:19|20)\d{2}", 0)
-    first_day = F.to_timestamp(F.concat(F.nullif(year, F.lit("")), F.lit("-01-01")))
-    # A value that is just a year or has no digit needs none of the attempts.
-    return F.when(
-        value.rlike(r"\d"), F.coalesce(value.try_cast("timestamp"), *written, first_day)
-    )
+    first_day = F.concat(F.nullif(year, F.lit("")), F.lit("-01-01")).try_cast("timestamp_ntz")
+    # without four digits in a row there is no year, and a date that is not one of a whole year has one
+    return F.when(value.rlike(r"\d{4}"), F.coalesce(value.try_cast("timestamp_ntz"), *written, first_day))
 
 
 def year_of(col: str | Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text, vectors
+from corpusmill.runtime import materialize, small_side
 
 
 def long_theta(theta: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -72,7 +73,7 @@ def documents_of_topic(
     if top_n:
         found = found.orderBy(F.desc("prob"), key).limit(top_n)
     if docs is not None:
-        found = docs.join(F.broadcast(found) if top_n else found, key)
+        found = docs.join(small_side(materialize(found, "topic-documents")) if top_n else found, key)
     return found.orderBy(F.desc("prob"), key)
 
 
@@ -121,7 +122,7 @@ def similar_documents(
     """Documents similar to a given one, itself excluded."""
     query = query_vector(theta, doc, key, column)
     best = rank_similar(theta, query, top_n, method, doc, key, column)
-    return best if docs is None else docs.join(F.broadcast(best), key)
+    return best if docs is None else docs.join(small_side(materialize(best, "similar")), key)
 
 
 def topic_prevalence(theta: DataFrame) -> DataFrame:
@@ -287,6 +288,45 @@ def sort_by(df: DataFrame, column: str, key: str = "doc_id", descending: bool =
     return df.orderBy(order, key)
 
 
+SHALLOW = 10_000
+
+
 def page(df: DataFrame, number: int, size: int = 10, order: str = "doc_id") -> DataFrame:
-    """Page `number`, counted from 0, of the rows in key order."""
+    """Page `number`, counted from 0, of the rows in key order; only for the first rows, since all before are sorted too."""
+    if number * size > SHALLOW:
+        raise ValueError("ask for deep pages with page_after")
     return df.orderBy(order).offset(number * size).limit(size)
+
+
+def page_after(
+    df: DataFrame,
+    after: tuple | None = None,
+    size: int = 10,
+    column: str = "doc_id",
+    key: str = "doc_id",
+    descending: bool = False,
+) -> DataFrame:
+    """The rows that follow a cursor in the order of `sort_by`; `after` holds the last row's sort value and key.
+
+    The cursor is a filter that reaches the scan, so a deep page costs what the first one does: a
+    scan and the `size` best rows of each task. Nulls come last; `key` must be unique.
+    """
+    value = F.col(column)
+    if after is not None:
+        last, last_key = after
+        later_key = F.col(key) > F.lit(last_key)
+        if column == key:
+            df = df.where(F.col(key) < F.lit(last_key) if descending else later_key)
+        elif last is None:
+            df = df.where(value.isNull() & later_key)
+        else:
+            beyond = value < F.lit(last) if descending else value > F.lit(last)
+            df = df.where(beyond | ((value == F.lit(last)) & later_key) | value.isNull())
+    order = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
+    return df.orderBy(order, key).limit(size)
+
+
+def cursor(rows: DataFrame, column: str = "doc_id", key: str = "doc_id") -> tuple | None:
+    """Where the page ended: its last row's sort value and key, or None if it has no rows."""
+    last = rows.select(column, F.col(key).alias("_key")).tail(1)
+    return (last[0][0], last[0][1]) if last else None

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill import fixed_values as fixed
-from corpusmill.runtime import materialize, small_side
 
 STAGES = ("row", "identifier", "title", "abstract")
 
@@ -101,23 +100,20 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str] = fixed.RAW_COLUMNS)
     )
 
 
-def most_repeated(df: DataFrame, column: str, k: int = 10) -> DataFrame:
-    """The values that occur most often, among those that occur more than once.
+def most_repeated(df: DataFrame, column: str, k: int = 10, order: str = "ord") -> DataFrame:
+    """The k values that occur most often, among those that occur more than once.
 
-    Digests are counted first, so long values are not shuffled. The values are
-    then looked up for the digests that reach the k-th count, ties included.
+    Equal counts go by first appearance. One aggregate over digests carries the smallest
+    `order` (a unique column) of each value; copies of a hot value collapse on the map
+    side, and only the k rows named that way are read for their texts.
     """
-    keyed = df.where(F.col(column).isNotNull()).select(
-        F.col(column).alias("value"), digest(column).alias("key")
-    )
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = materialize(counts, "repeated")
-    least = counts.orderBy(F.desc("n")).limit(k).agg(F.min("n")).scalar()
-    wanted = materialize(counts.where(F.col("n") >= least), "repeated-top")
-    return (
-        keyed.join(small_side(wanted), "key")
-        .groupBy("value")
-        .agg(F.max("n").alias("n"))
-        .orderBy(F.desc("n"), "value")
-        .limit(k)
+    counts = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(digest(column).alias("key"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+        .where("n > 1")
     )
+    best = counts.orderBy(F.desc("n"), "first").limit(k).select("first", "n").collect()
+    top = df.sparkSession.createDataFrame([(r["first"], r["n"]) for r in best], "first long, n long")
+    texts = df.where(F.col(order).isin([r["first"] for r in best])).select(F.col(order).alias("first"), F.col(column).alias("value"))
+    return texts.join(F.broadcast(top), "first").orderBy(F.desc("n"), "first").select("value", "n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpusmill import fixed_values as fixed
 from corpusmill.functions import dates, labels, text
-from corpusmill.operators import dedup
+from corpusmill.operators import dedup, quantiles
 from corpusmill.runtime import materialize
 
 
@@ -55,9 +55,16 @@ def required_check(df: DataFrame, columns: Sequence[str] = ("title", "abstract")
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """Column names and types as rows."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, type string")
+    """Column names and types with the number of values that are not null, in one aggregate."""
+    counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(df.schema)])
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"),
+            F.col(f"c{i}").alias("non_null"),
+        )
+        for i, f in enumerate(df.schema)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -69,35 +76,29 @@ def overview(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum.
 
-    One pass for all measures, each computed once per row. The exact quartiles
-    keep value counts, which stay small for lengths and counts.
+    The texts are read once, to fold each measure to value counts; all else is taken
+    from those, however many values differ.
     """
-    aggs = []
-    rows = df.select(*[value.alias(name) for name, value in measures.items()])
-    for name in measures:
-        value = F.col(name)
-        aggs.append(
-            F.struct(
-                F.lit(name).alias("measure"),
-                F.count(value).alias("n"),
-                F.avg(value).alias("mean"),
-                F.stddev_samp(value).alias("std"),
-                F.min(value).cast("double").alias("min"),
-                F.percentile(value, [0.25, 0.5, 0.75]).alias("q"),
-                F.max(value).cast("double").alias("max"),
-            ).alias(name)
-        )
-    wide = rows.agg(*aggs)
-    return wide.select(F.inline(F.array(*[F.col(name) for name in measures]))).select(
-        "measure",
-        "n",
-        "mean",
-        "std",
-        "min",
-        F.get("q", F.lit(0)).alias("q25"),
-        F.get("q", F.lit(1)).alias("median"),
-        F.get("q", F.lit(2)).alias("q75"),
-        "max",
+    counts = quantiles.folded(df, measures)
+    basic = counts.groupBy("m").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+    )
+    basic = materialize(basic, "measures")
+    apart = F.col("v") - F.col("mean")
+    spread = counts.join(F.broadcast(basic.select("m", "mean")), "m").groupBy("m").agg(
+        F.sqrt(F.sum(F.col("n") * apart * apart) / F.nullif(F.sum("n") - 1, F.lit(0))).alias("std")
+    )
+    quarters = quantiles.ranked_values(counts, [0.25, 0.5, 0.75]).groupBy("m").agg(
+        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
+    )
+    # one row per measure from here on
+    names = df.sparkSession.createDataFrame(list(enumerate(measures)), "m int, measure string")
+    wide = names
+    for side in (basic, spread, quarters):
+        wide = wide.join(F.broadcast(side), "m", "left")
+    return wide.orderBy("m").select(
+        "measure", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", "q25", "median", "q75", "max"
     )
 
 
@@ -111,7 +112,9 @@ def text_lengths(title: str = "title", abstract: str = "abstract") -> dict[str,
 
 
 def medians(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    return df.agg(*[F.median(value).alias(name) for name, value in measures.items()])
+    """One row with the exact median of each measure."""
+    found = quantiles.quantiles(df, measures, [0.5])
+    return found.agg(*[F.max(F.when(F.col("measure") == name, F.col("value"))).alias(name) for name in measures])
 
 
 def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:

@@ -98,32 +98,31 @@ def compare_topics(phi: DataFrame, topic_a: int, topic_b: int, n: int = 10) -> D
 def topic_distances(phi: DataFrame) -> DataFrame:
     """Jensen-Shannon distance of all pairs of topics, both ways, zero to itself.
 
-    One shuffle brings the weights of a term together as K columns; the shares
-    per pair of topics are summed on the map side. Weights must sum to 1 per
-    topic; a term that a topic lacks counts as weight 0.
+    One shuffle brings the weights of a term together as one array. The pairs are made
+    from it inside the row, and their shares are summed on the map side, so K(K-1)/2
+    numbers per task are shuffled. Weights must sum to 1 per topic; a term that a topic lacks counts
+    as weight 0, so pairs that both lack it add nothing.
     """
     topics = sorted(r["topic_id"] for r in phi.select("topic_id").distinct().collect())
-    dense = phi.groupBy("term").agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("topic_id") == t, F.col("weight"))), F.lit(0.0)).alias(f"w{t}")
-            for t in topics
-        ]
+    place = F.create_map(*[F.lit(x) for i, t in enumerate(topics) for x in (t, i)])
+    entries = F.collect_list(F.struct(place[F.col("topic_id")].alias("i"), F.col("weight").alias("w")))
+    weights = phi.groupBy("term").agg(F.map_from_entries(entries).alias("w"))
+    dense = weights.select(F.transform(F.sequence(F.lit(0), F.lit(len(topics) - 1)), lambda i: F.coalesce(F.try_element_at("w", i), F.lit(0.0))).alias("w"))
+    later = lambda i: F.slice("w", i + 2, F.lit(len(topics)))
+    pairs = F.flatten(
+        F.transform("w", lambda x, i: F.transform(later(i), lambda y, j: F.struct(i.alias("a"), (i + 1 + j).alias("b"), js_term(x, y).alias("share"))))
     )
-    pairs = [(a, b) for a in topics for b in topics if a < b]
-    shares = dense.agg(
-        *[F.sum(js_term(F.col(f"w{a}"), F.col(f"w{b}"))).alias(f"s{a}_{b}") for a, b in pairs]
+    shares = dense.select(F.inline(pairs)).where("share <> 0").groupBy("a", "b").agg(F.sum("share").alias("share"))
+    # topics x topics rows from here on
+    spark, count = phi.sparkSession, len(topics)
+    every = spark.createDataFrame([(a, b) for a in range(count) for b in range(a, count)], "a int, b int")
+    distance = F.sqrt(F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(0.0)))
+    named = F.array(*[F.lit(t) for t in topics])
+    both = every.join(F.broadcast(shares), ["a", "b"], "left").select(
+        F.get(named, F.col("a")).alias("x"), F.get(named, F.col("b")).alias("y"), distance.alias("distance")
     )
-
-    def entry(a: int, b: int, distance: Column) -> Column:
-        return F.struct(
-            F.lit(a).alias("topic_a"), F.lit(b).alias("topic_b"), distance.alias("distance")
-        )
-
-    entries = [entry(t, t, F.lit(0.0)) for t in topics]
-    for a, b in pairs:
-        distance = F.sqrt(F.greatest(F.col(f"s{a}_{b}"), F.lit(0.0)))
-        entries += [entry(a, b, distance), entry(b, a, distance)]
-    return shares.select(F.inline(F.array(*entries)))
+    ways = F.array_distinct(F.array(F.struct(F.col("x").alias("topic_a"), F.col("y").alias("topic_b")), F.struct(F.col("y").alias("topic_a"), F.col("x").alias("topic_b"))))
+    return both.select(F.inline(ways), "distance")
 
 
 def term_relevance(

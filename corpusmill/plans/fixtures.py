@@ -48,11 +48,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(documents(spark, sf_dir), "doc_id")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw records with an ingest order, exact copies and changed copies.
-
-    One scan: every document becomes one to three rows in place.
-    """
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw record per document."""
     d = F.col("doc_id")
     year = 2007 + d % 19
 
@@ -75,7 +72,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(month_day)
     )
     gap = F.when(d % 7 == 0, "; ; ").otherwise("; ")
-    rows = texts(spark, sf_dir).select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         text_of("oai:corpus:", d).alias("identifier"),
         title.alias("title"),
@@ -87,18 +84,23 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 83 != 0, "Thesis").alias("types"),
         F.when(d % 5 != 0, F.col("lang")).alias("language"),
         F.lit(None).cast("string").alias("source"),
-        F.explode(
-            F.filter(
-                F.array(F.lit(0), F.when(d % 25 == 0, 1), F.when(d % 40 == 1, 2)),
-                lambda x: x.isNotNull(),
-            )
-        ).alias("copy"),
     )
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records with an ingest order, exact copies and changed copies.
+
+    One scan: every document becomes one to three rows in place.
+    """
+    d = F.col("doc_id")
+    copies = F.filter(F.array(F.lit(0), F.when(d % 25 == 0, 1), F.when(d % 40 == 1, 2)), lambda x: x.isNotNull())
+    rows = catalogue(spark, sf_dir).withColumn("copy", F.explode(copies))
+    changed = F.concat(F.lit("changed "), d.cast("string"))
     return rows.select(
         (d * 3 + F.col("copy")).alias("ord"),
         "doc_id",
         "identifier",
-        F.when(F.col("copy") == 2, text_of("changed ", d)).otherwise(F.col("title")).alias("title"),
+        F.when(F.col("copy") == 2, changed).otherwise(F.col("title")).alias("title"),
         *fixed.RAW_COLUMNS[2:],
     )
 

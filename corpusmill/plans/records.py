@@ -356,7 +356,7 @@ for _column in ("title", "abstract"):
         f"d6_most_repeated_{_column}s",
         sql.with_(sql.CORPUS)
         + f"select {_column} as value, count(*) as n from corpus where {_column} is not null "
-        "group by 1 having count(*) > 1 order by n desc, value limit 10",
+        "group by 1 having count(*) > 1 order by n desc, min(ord) limit 10",
     )(lambda spark, sf_dir, c=_column: dedup.most_repeated(fx.corpus(spark, sf_dir), c))
 
 
@@ -600,8 +600,10 @@ def a26(spark, sf_dir) -> DataFrame:
 
 @query(
     "a26_column_types",
-    "select * from (values (0, 'doc_id', 'bigint'), (1, 'text', 'string'), (2, 'lang', 'string'), "
-    "(3, 'source', 'string'), (4, 'n_chars', 'bigint')) t(position, column_name, type)",
+    " union all ".join(
+        f"select {i} as position, '{c}' as column_name, '{t}' as type, count({c}) as non_null from documents"
+        for i, (c, t) in enumerate((("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")))
+    ),
 )
 def a26b(spark, sf_dir) -> DataFrame:
     return profile.column_types(fx.documents(spark, sf_dir))
@@ -623,15 +625,11 @@ def w6(spark, sf_dir) -> DataFrame:
 @query(
     "l1_record_limit",
     sql.with_(sql.CORPUS, _DUMPED)
-    + f"""select {_DUMP_FIELDS} from dump
-      where not deleted and ord % 3 <> 2 and doc_id % 25 <> 0 order by identifier limit 25""",
+    + f"""select {_DUMP_FIELDS} from dump where not deleted order by {', '.join(fixed.RAW_COLUMNS)} limit 25""",
 )
 def l1(spark, sf_dir) -> DataFrame:
-    raw = records.read_records(spark, fx.record_dump(spark, sf_dir))
-    kept = records.to_table(records.select_records(raw))
-    number = F.substring("identifier", 12, 20).cast("long")
-    unique = kept.where((number % 25 != 0) & ~F.col("title").startswith("changed"))
-    return unique.orderBy("identifier").limit(25)
+    """The first records of the whole dump; repeated identifiers go by their other columns."""
+    return records.load_records(spark, fx.record_dump(spark, sf_dir), max_records=25)
 
 
 @query(
@@ -658,8 +656,25 @@ def l3(spark, sf_dir) -> DataFrame:
     sql.with_(sql.CORPUS) + "select ord, identifier, title from corpus order by ord limit 20 offset 40",
 )
 def l7(spark, sf_dir) -> DataFrame:
+    """The third page, each asked for with the cursor of the one before."""
     rows = fx.corpus(spark, sf_dir).select("ord", "identifier", "title")
-    return analysis.page(rows, 2, 20, "ord")
+    after = None
+    for _ in range(2):
+        after = analysis.cursor(analysis.page_after(rows, after, 20, "ord", "ord"), "ord", "ord")
+    return analysis.page_after(rows, after, 20, "ord", "ord")
+
+
+@query(
+    "l7_sorted_page",
+    sql.with_(sql.CORPUS) + "select ord, title from corpus order by title desc nulls last, ord limit 25 offset 50",
+)
+def l7_sorted(spark, sf_dir) -> DataFrame:
+    """Sorted by a column with repeated and missing values."""
+    rows = fx.corpus(spark, sf_dir).select("ord", "title")
+    after = None
+    for _ in range(2):
+        after = analysis.cursor(analysis.page_after(rows, after, 25, "title", "ord", True), "title", "ord")
+    return analysis.page_after(rows, after, 25, "title", "ord", True)
 
 
 @query(

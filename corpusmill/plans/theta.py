@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusmill.functions import dates, labels, text, vectors
-from corpusmill.operators import analysis, coherence, topic_words
-from corpusmill.plans import fixtures as fx, sql
+from corpusmill.operators import alignment, analysis, coherence, topic_words
+from corpusmill.plans import fixtures as fx, planted, sql
 from corpusmill.plans.registry import query
-from corpusmill.runtime import materialize
+from corpusmill.runtime import materialize, scratch_path
 from corpusmill.sources import tables
 
 # documents with a date and a title, one row per document
@@ -19,7 +19,7 @@ dated as (select *, year(pd)::integer as year from dd)
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    rows = fx.corpus(spark, sf_dir).where("ord % 3 = 0")
+    rows = fx.catalogue(spark, sf_dir)
     parsed = dates.parse_date("date")
     return rows.select(
         "doc_id", "identifier", "title", "abstract", parsed.alias("pd"), F.year(parsed).alias("year")
@@ -146,20 +146,43 @@ def m23(spark, sf_dir) -> DataFrame:
     return _rounded(wide, *[f"topic_{k}" for k in range(fx.TOPICS)], "dominant_topic_prob")
 
 
+_TOPIC_COLUMNS = [f"topic_{k}" for k in range(fx.TOPICS)]
+
+
 @query(
     "s9_theta_store",
     sql.with_(sql.THETA, _DOCS_SQL)
-    + "select doc_id, identifier, dominant_topic, round(top_prob, 6) as dominant_topic_prob from dated join lead using (doc_id)",
+    + "select doc_id, any_value(identifier) as identifier, "
+    + ", ".join(f"round(max(case when topic_id = {k} then prob end), 6) as topic_{k}" for k in range(6))
+    + """, any_value(dominant_topic) as dominant_topic, round(any_value(top_prob), 6) as dominant_topic_prob
+      from theta join lead using (doc_id) join dated using (doc_id) group by doc_id""",
 )
 def s9(spark, sf_dir) -> DataFrame:
-    from corpusmill.runtime import scratch_path
-
-    wide = analysis.wide_theta(fx.theta(spark, sf_dir), fx.TOPICS, _docs(spark, sf_dir))
+    """The whole matrix, stored, read back, exported as CSV and read again."""
+    wide = analysis.wide_theta(fx.theta(spark, sf_dir), fx.TOPICS, _docs(spark, sf_dir).select("doc_id", "identifier"))
     path, csv = scratch_path(spark, "theta"), scratch_path(spark, "theta-csv")
-    tables.write_store(wide.select("doc_id", "identifier", "dominant_topic", "dominant_topic_prob"), path)
-    stored = tables.read_theta_or_corpus(spark, path, path + "-missing")
+    tables.write_store(wide, path)
+    stored = tables.read_theta(spark, path, path + "-corpus", lambda: fx.model(spark, sf_dir))
     tables.write_csv(stored, csv)
-    return _rounded(tables.read_csv(spark, csv, stored.schema), "dominant_topic_prob")
+    again = tables.read_csv(spark, csv, stored.schema)
+    return _rounded(again.select("doc_id", "identifier", *_TOPIC_COLUMNS, "dominant_topic", "dominant_topic_prob"), *_TOPIC_COLUMNS, "dominant_topic_prob")
+
+
+@query(
+    "s9_theta_from_corpus",
+    sql.with_(planted.SQL) + "select doc_id, group_id, 6 as topics, true as sums_to_one from plead",
+)
+def s9_corpus(spark, sf_dir) -> DataFrame:
+    """Without a stored matrix: the stored corpus and the model give it."""
+    path = scratch_path(spark, "processed")
+    tables.write_store(planted.corpus(spark, sf_dir), path)
+    wide = tables.read_theta(spark, path + "-matrix", path, lambda: planted.model(spark, sf_dir))
+    found = [c for c in wide.columns if c.startswith("topic_")]
+    total = sum((F.col(c) for c in found), F.lit(0.0))
+    return wide.select(
+        "doc_id", alignment.renamed(F.col("dominant_topic"), planted.groups(spark, sf_dir)).alias("group_id"),
+        F.lit(len(found)).alias("topics"), (F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+    )
 
 
 @query(
@@ -449,6 +472,21 @@ def s12(spark, sf_dir) -> DataFrame:
     return tables.read_labels(spark, path)
 
 
+@query(
+    "c15_label_reset",
+    sql.with_(sql.PHI) + "select topic_id, string_agg(term, ', ' order by rank) as label, false as has_labels from ranked where rank <= 3 group by 1",
+)
+def c15_reset(spark, sf_dir) -> DataFrame:
+    """After a reset of the label file every topic has its default label again."""
+    path = scratch_path(spark, "labels")
+    tables.write_labels(_custom_labels(spark, sf_dir), path)
+    tables.set_label(spark, path, 2, "changed")
+    tables.reset_labels(spark, path)
+    info = topic_words.topic_info(fx.phi(spark, sf_dir), 20)
+    found = topic_words.labels_with_defaults(info, tables.read_labels(spark, path))
+    return found.withColumn("has_labels", F.lit(tables.has_labels(spark, path)))
+
+
 @query("c15_label_json", sql.with_(_LABELS_SQL) + "select topic_id, label from custom")
 def c15(spark, sf_dir) -> DataFrame:
     return tables.parse_labels(tables.labels_json(_custom_labels(spark, sf_dir)))
@@ -545,14 +583,15 @@ def m26(spark, sf_dir) -> DataFrame:
     return _rounded(both, "weight_a", "weight_b", places=9)
 
 
-_SHARES = """shares as (select topic_id, sum(prob * n_chars) / (select sum(prob * n_chars) from theta join documents using (doc_id)) as share
-  from theta join documents using (doc_id) group by 1),
+_SHARES = """lengths as (select doc_id, len(tokens) as token_count from pdocs),
+shares as (select topic_id, sum(prob * token_count) / (select sum(prob * token_count) from theta join lengths using (doc_id)) as share
+  from theta join lengths using (doc_id) group by 1),
 marg as (select phi.topic_id, term, weight, share, sum(weight * share) over (partition by term) as pt
   from phi join shares using (topic_id))"""
 
 
 def _shares(spark, sf_dir) -> DataFrame:
-    lengths = fx.documents(spark, sf_dir).select("doc_id", F.col("n_chars").alias("token_count"))
+    lengths = fx.plain_tokens(spark, sf_dir).select("doc_id", F.size("tokens").alias("token_count"))
     return topic_words.topic_shares(fx.theta(spark, sf_dir), lengths)
 
 
@@ -589,17 +628,17 @@ def m24c(spark, sf_dir) -> DataFrame:
 
 # -- coherence over the words of phi ------------------------------------------
 
-_WINDOW, _WORDS = 10, 5
+_WINDOW, _WORDS = 110, 20
 
-_COHERENCE_SQL = sql.PHI + """,
-tw as (select topic_id, term, rank as k from ranked where rank <= 5),
-tokd as (select doc_id, tokens, greatest(len(tokens) - 9, 1) as nw from pdocs),
+_COHERENCE_SQL = sql.PHI + f""",
+tw as (select topic_id, term, rank as k from ranked where rank <= {_WORDS}),
+tokd as (select doc_id, tokens, greatest(len(tokens) - {_WINDOW - 1}, 1) as nw from pdocs),
 hits as (select doc_id, term, pos, nw from (
     select doc_id, nw, unnest(tokens) as term, generate_subscripts(tokens, 1) - 1 as pos from tokd)
   where term in (select term from tw)),
 total as (select sum(nw)::double as n from tokd where doc_id in (select doc_id from hits)),
 inside as (select distinct doc_id, term,
-    unnest(generate_series(greatest(pos - 9, 0), least(pos, nw - 1))) as win from hits),
+    unnest(generate_series(greatest(pos - {_WINDOW - 1}, 0), least(pos, nw - 1))) as win from hits),
 single as (select term, count(*) as n from inside group by 1),
 together as (select a.term as ta, b.term as tb, count(*) as n from inside a join inside b
   on a.doc_id = b.doc_id and a.win = b.win group by 1, 2),

@@ -108,11 +108,10 @@ def load_records(
     until_date: str | None = None,
     max_records: int | None = None,
 ) -> DataFrame:
-    """Records as a table; a limit takes the first ones by identifier, and by content where identifiers repeat."""
+    """Records as a table; a limit takes the first ones by identifier, and by the other columns where identifiers repeat."""
     kept = select_records(read_records(spark, path), set_spec, from_date, until_date)
     table = to_table(kept)
-    by_content = F.sha2(F.to_json(F.struct(*table.columns)), 256)
-    return table.orderBy("identifier", by_content).limit(max_records) if max_records else table
+    return table.orderBy(*table.columns).limit(max_records) if max_records else table
 
 
 def list_sets(records: DataFrame) -> DataFrame:

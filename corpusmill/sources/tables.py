@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpusmill import fixed_values as fixed
+from corpusmill.operators import analysis
 from corpusmill.operators.preprocess import Preprocessor
 from corpusmill.operators.topics import ModelMetadata, TopicModel
 from corpusmill.settings import Settings
@@ -63,9 +65,22 @@ def write_metadata_csv(processed: DataFrame, path: str) -> None:
     write_csv(processed.drop("tokens"), path)
 
 
-def read_theta_or_corpus(spark: SparkSession, theta_path: str, corpus_path: str) -> DataFrame:
-    """The stored document-topic matrix, or the processed corpus where there is none."""
-    return spark.read.parquet(theta_path if path_exists(spark, theta_path) else corpus_path)
+def read_theta(
+    spark: SparkSession, matrix_path: str, corpus_path: str, model: Callable[[], TopicModel], column: str = "tokens", key: str = "doc_id"
+) -> DataFrame:
+    """The wide document-topic matrix: the stored one, or else one inferred for the stored corpus.
+
+    `model` is only called for in the second case, which drops the tokens.
+    """
+    if path_exists(spark, matrix_path):
+        return spark.read.parquet(matrix_path)
+    docs = spark.read.parquet(corpus_path)
+    fitted = model()
+    theta = fitted.theta(docs, column, [c for c in docs.columns if c != column])
+    led = analysis.with_dominant(theta)
+    topics = [F.get("probs", F.lit(k)).alias(f"topic_{k}") for k in range(fitted.num_topics)]
+    rest = [c for c in docs.columns if c not in (column, key)]
+    return led.select(key, *rest, *topics, "dominant_topic", "dominant_topic_prob")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

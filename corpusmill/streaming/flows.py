@@ -123,6 +123,22 @@ def run_batches(
     return query
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what each micro-batch changes in an aggregate.
+
+    In update mode a group is there from its first row on, open windows too, while the
+    watermark still drops the state of closed ones. `latest_rows` reads the result.
+    """
+    return run_batches(stream, lambda batch: batch, path, checkpoint, "update")
+
+
+def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last state of each group that an update run wrote; one aggregate, combined on the map side."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
     """The newest result of a complete-mode run."""
     rows = spark.read.parquet(path)

@@ -106,6 +106,23 @@ def test_parse_date(spark):
     assert got == [d[1] for d in DATES]
 
 
+ODD_DATES = ["10:30", "T10:30:00", "2015-03-08 02:30:00", "2018-11-04", "2022-01-05T23:10:37+09:00", "5 March 2014", "10:30 in 2011", "1/2/1999"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "America/Sao_Paulo", "Asia/Tokyo"])
+def test_dates_do_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = values(spark, dates.parse_date("x").cast("string"), ODD_DATES)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [
+        None, None, "2015-03-08 02:30:00", "2018-11-04 00:00:00", "2022-01-05 23:10:37", "2014-03-05 00:00:00",
+        "2011-01-01 00:00:00", "1999-01-02 00:00:00",
+    ]
+
+
 def test_languages(spark):
     rows = ["yang dan dengan untuk the", "the and with for yang", "xyz", "", None]
     assert values(spark, text.quick_language("x"), rows) == [

@@ -251,6 +251,25 @@ def test_csv_keeps_quotes_and_line_ends(spark):
     assert back == [("1", 'say "a, b"\nnext', None, " x "), ("2", None, "y", "\\")]
 
 
+def test_theta_store_or_corpus(spark, planted, model):
+    path = scratch_path(spark, "theta-test")
+    tables.write_store(planted.withColumn("lang", F.lit("en")), path + "-corpus")
+    called = []
+
+    def fitted():
+        called.append(1)
+        return model
+
+    inferred = tables.read_theta(spark, path, path + "-corpus", fitted)
+    assert inferred.columns == ["doc_id", "lang", *(f"topic_{k}" for k in range(4)), "dominant_topic", "dominant_topic_prob"]
+    rows = {r["doc_id"]: r for r in inferred.collect()}
+    for r in model.theta(planted).collect():
+        assert [rows[r["doc_id"]][f"topic_{k}"] for k in range(4)] == r["probs"]
+    tables.write_store(inferred, path)
+    again = tables.read_theta(spark, path, path + "-gone", fitted)
+    assert len(called) == 1 and {r["doc_id"]: r for r in again.collect()} == rows
+
+
 def test_label_file(spark):
     path = scratch_path(spark, "test-labels")
     assert tables.read_labels(spark, path).count() == 0 and not tables.has_labels(spark, path)
@@ -299,6 +318,32 @@ def test_first_arrival_over_several_batches(spark):
     assert sorted((r["identifier"], r["n"]) for r in rows) == [("a", 1), ("b", 1), ("c", 2)]
 
 
+def test_state_of_first_arrivals_expires(spark):
+    """A key that comes again after the delay is a first arrival again; in between it is dropped."""
+    path, state, out = (scratch_path(spark, n) for n in ("arrivals", "state", "out"))
+    times = ["2024-01-01 00:00", "2024-01-01 20:00", "2024-01-03 00:00", "2024-01-03 01:00", "2024-01-09 00:00"]
+    schema = None
+    for i, t in enumerate(times):
+        rows = [("a" if i in (0, 1, 3, 4) else "b", i, t + ":00")]
+        frame = spark.createDataFrame(rows, "identifier string, n int, t string").select("identifier", "n", F.to_timestamp("t").alias("ts"))
+        schema = frame.schema
+        frame.coalesce(1).write.mode("append").parquet(path)
+        flows.run_available(flows.first_arrivals(flows.read_new_files(spark, path, schema)), out, state)
+    rows = spark.read.schema(schema).parquet(out).collect()
+    assert sorted((r["identifier"], r["n"]) for r in rows) == [("a", 0), ("a", 3), ("a", 4), ("b", 2)]
+
+
+def test_open_windows_are_in_the_result(spark):
+    path, state, out = (scratch_path(spark, n) for n in ("open", "state", "out"))
+    for rows in ([("x", 1.0, "2024-01-01 05:00:00")], [("x", 3.0, "2024-01-01 06:00:00"), ("y", 8.0, "2024-01-02 06:00:00")]):
+        frame = spark.createDataFrame(rows, "k string, value double, t string").select("k", "value", F.to_timestamp("t").alias("ts"))
+        frame.coalesce(1).write.mode("append").parquet(path)
+        stream = flows.read_new_files(spark, path, frame.schema)
+        flows.run_updates(flows.windowed_means(stream, ["k"], "value"), out, state)
+    rows = flows.latest_rows(spark, out, ["window_start", "k"]).collect()
+    assert sorted((r["window_start"].day, r["k"], r["n"], r["mean_value"]) for r in rows) == [(1, "x", 2, 2.0), (2, "y", 1, 8.0)]
+
+
 def test_late_rows_are_dropped(spark):
     def frame(rows):
         return spark.createDataFrame(rows, "k string, value double, t string").select(

@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures."""
 
+import math
 import random
 from collections import Counter
 from datetime import datetime
@@ -7,10 +8,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill import fixed_values as fixed
-from corpusmill.operators import analysis, cleaning, dedup, phrases, preprocess, profile, topic_words, vocabulary
+from corpusmill import fixed_values as fixed, runtime
+from corpusmill.operators import analysis, cleaning, dedup, phrases, preprocess, profile, quantiles, topic_words, vocabulary
 from corpusmill.operators.preprocess import Preprocessor
-from corpusmill import runtime
 from corpusmill.runtime import materialize, scratch_root, small_side, spread
 from corpusmill.settings import Settings
 
@@ -331,3 +331,94 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
     plan = plan_of(profile.value_counts(df, "source"))
     assert "ReadSchema: struct<lang:string,source:string>" in plan and "EqualTo(lang,en)" in plan
+
+
+# -- plans that stay small ------------------------------------------------------
+
+
+def test_quantiles_of_distinct_real_values(spark):
+    rng = random.Random(21)
+    values = [rng.gauss(0, 1e6) for _ in range(20_000)]
+    rows = [(v, float(i % 7), None if i % 3 else v / 7) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(9)
+    measures = {c: F.col(c) for c in "abc"} | {"none": F.lit(None).cast("double")}
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r["measure"], r["q"]): r["value"] for r in quantiles.quantiles(df, measures, probabilities).collect()}
+    for c in "abc":
+        want = df.select(F.percentile(c, probabilities)).first()[0]
+        assert [got[c, q] for q in probabilities] == want
+    assert not any(m == "none" for m, _ in got)
+
+
+def test_describe_equals_the_plain_aggregates(spark):
+    rng = random.Random(22)
+    df = spark.createDataFrame([(rng.uniform(-5, 1000),) for _ in range(500)] + [(None,)], "x double")
+    rows = {r["measure"]: r for r in profile.describe(df, {"x": F.col("x"), "none": F.lit(None).cast("int"), "one": F.lit(3)}).collect()}
+    want = df.agg(F.count("x"), F.avg("x"), F.stddev_samp("x"), F.min("x"), *[F.percentile("x", q) for q in (0.25, 0.5, 0.75)], F.max("x")).first()
+    assert list(rows["x"])[1:] == pytest.approx(list(want))
+    assert list(rows["none"])[1:] == [0] + [None] * 7
+    assert rows["one"]["std"] == 0 and rows["one"]["median"] == 3 and rows["one"]["n"] == 501
+    assert profile.medians(df, {"x": F.col("x")}).first()["x"] == pytest.approx(want[5])
+    assert profile.medians(df.limit(0), {"x": F.col("x")}).first()["x"] is None
+
+
+def test_repeats_name_the_first_of_many_ties(spark):
+    rows = [(i, f"v{i % 40}" if i % 3 else "hot") for i in range(200)] + [(900, None), (901, None), (902, "once")]
+    df = spark.createDataFrame(rows, "ord long, x string").repartition(6)
+    got = [tuple(r) for r in dedup.most_repeated(df, "x", 5).collect()]
+    counts = {}
+    for i, v in rows:
+        if v is not None:
+            n, first = counts.get(v, (0, i))
+            counts[v] = (n + 1, min(first, i))
+    want = sorted(((v, n, f) for v, (n, f) in counts.items() if n > 1), key=lambda x: (-x[1], x[2]))[:5]
+    assert got == [(v, n) for v, n, _ in want]
+    assert dedup.most_repeated(df.where("ord > 800"), "x").count() == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_by_cursor_are_the_whole_order(spark, descending):
+    rng = random.Random(23)
+    rows = [(i, rng.choice(["a", "b", "c", None])) for i in range(53)]
+    df = materialize(spark.createDataFrame(rows, "doc_id long, title string").repartition(4), "pages")
+    got, after = [], None
+    while after is not None or not got:
+        page = analysis.page_after(df, after, 10, "title", "doc_id", descending)
+        got += [tuple(r) for r in page.collect()]
+        after = analysis.cursor(page, "title")
+    assert got == [tuple(r) for r in analysis.sort_by(df, "title", "doc_id", descending).collect()]
+
+
+def test_a_deep_page_has_the_plan_of_the_first(spark):
+    df = materialize(spark.range(0, 20_000, 1, 4).withColumnRenamed("id", "doc_id"), "pages")
+    first, deep = analysis.page_after(df, None, 10), analysis.page_after(df, (9_999, 9_999), 10)
+    assert [r[0] for r in deep.collect()] == list(range(10_000, 10_010))
+    physical = lambda d: plan_of(d).split("== Physical Plan ==")[1]
+    assert "TakeOrderedAndProject" in physical(first) and "TakeOrderedAndProject" in physical(deep)
+    assert "GreaterThan(doc_id,9999)" in physical(deep) and "Exchange" not in physical(deep)
+    with pytest.raises(ValueError):
+        analysis.page(df, 2_000, 10)
+
+
+def test_distances_of_a_hundred_topics(spark):
+    rng = random.Random(24)
+    weights = {}
+    for t in range(100):
+        raw = {f"w{i}": rng.random() for i in range(30) if (i + t) % 4}
+        weights[t] = {w: x / sum(raw.values()) for w, x in raw.items()}
+    phi = spark.createDataFrame([(t, w, x) for t, ws in weights.items() for w, x in ws.items()], "topic_id int, term string, weight double")
+    got = {(r["topic_a"], r["topic_b"]): r["distance"] for r in topic_words.topic_distances(phi).collect()}
+    assert len(got) == 100 * 100
+
+    def distance(a, b):
+        half = lambda x, y: x * math.log(2 * x / (x + y)) if x else 0.0
+        total = sum(half(a.get(w, 0), b.get(w, 0)) + half(b.get(w, 0), a.get(w, 0)) for w in {*a, *b})
+        return math.sqrt(max(total / 2, 0))
+
+    for a, b in [(0, 0), (0, 1), (7, 93), (93, 7), (99, 50)]:
+        assert got[a, b] == pytest.approx(distance(weights[a], weights[b]), abs=1e-9)
+
+
+def test_column_types_counts_values(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, `b.c` string")
+    assert [tuple(r) for r in profile.column_types(df).collect()] == [(0, "a", "int", 2), (1, "b.c", "string", 1)]
