@@ -321,16 +321,16 @@ def test_first_arrival_over_several_batches(spark):
 def test_state_of_first_arrivals_expires(spark):
     """A key that comes again after the delay is a first arrival again; in between it is dropped."""
     path, state, out = (scratch_path(spark, n) for n in ("arrivals", "state", "out"))
-    times = ["2024-01-01 00:00", "2024-01-01 20:00", "2024-01-03 00:00", "2024-01-03 01:00", "2024-01-09 00:00"]
+    times = ["2024-01-01 00:00", "2024-01-01 20:00", "2024-01-03 00:00", "2024-01-03 01:00", "2024-01-07 00:00", "2024-01-09 00:00"]
     schema = None
     for i, t in enumerate(times):
-        rows = [("a" if i in (0, 1, 3, 4) else "b", i, t + ":00")]
+        rows = [("aabaca"[i], i, t + ":00")]
         frame = spark.createDataFrame(rows, "identifier string, n int, t string").select("identifier", "n", F.to_timestamp("t").alias("ts"))
         schema = frame.schema
         frame.coalesce(1).write.mode("append").parquet(path)
         flows.run_available(flows.first_arrivals(flows.read_new_files(spark, path, schema)), out, state)
     rows = spark.read.schema(schema).parquet(out).collect()
-    assert sorted((r["identifier"], r["n"]) for r in rows) == [("a", 0), ("a", 3), ("a", 4), ("b", 2)]
+    assert sorted((r["identifier"], r["n"]) for r in rows) == [("a", 0), ("a", 3), ("a", 5), ("b", 2), ("c", 4)]
 
 
 def test_open_windows_are_in_the_result(spark):
