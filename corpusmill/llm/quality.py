@@ -1,15 +1,20 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-A bounded sample gives each rule's cost (time of one pass over the sample) and
-rejection rate. Rules are then nested into one CASE in the order of rejections per
-cost, so a text that one rule rejects is not put to the rules after it. The order
-changes the time, never the verdict: a text is kept when no rule rejects it.
+A bounded sample gives each rule's cost (time of a pass over the sample, less that of a
+pass without rules) and rejection rate. Rules are then nested into one CASE in the
+order of rejections per cost. `keep` takes the counts inside the branches, so a text
+that one rule rejects is not counted for the rules after it; in particular its windows are
+neither hashed nor sorted. `judge` returns all counts, so there the order saves nothing but
+comparisons. The order changes the time, never the verdict: a text is kept when no rule rejects it.
 
 Words are maximal runs without white space. Repeated three-word windows are found
 inside the row: each window becomes a long (hash bits above, position bits below),
 the longs are sorted, neighbours of equal hash are compared word by word, and the
 sorted positions of repeated windows give the number of words that they cover.
 
+Words and lines are split under a condition that the optimiser cannot move, so that no
+filter on a count or a verdict is pushed below them, where it would split the text for every window.
+
 Defined results: a null text has no words, so it is rejected and its counts are 0;
 the same holds for empty texts. Texts of any length are read whole. Repeated rows
 give equal results. Other columns stay; result columns replace those of their name.
@@ -18,6 +23,7 @@ give equal results. Other columns stay; result columns replace those of their na
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,6 +34,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample that orders the rules.
 SAMPLE_ROWS = 200
+#: How often the sample is read when a rule is timed, so that scheduling is a small part.
+REPEATS = 5
 #: Rules beyond the base ones; a text breaks one when the condition holds.
 MAX_MEAN_WORD, MIN_MEAN_WORD = 14, 3
 MAX_SYMBOLS_PER_100_WORDS = 10
@@ -43,16 +51,18 @@ class Rule:
     broken: Column
 
 
-def rules(n_lines: str, n_letters: str) -> list[Rule]:
-    """Rules over the counts; `n_lines` and `n_letters` name the two helper columns."""
-    c = F.col
+def rules(n_lines: str = "n_lines", n_letters: str = "n_letters", count: Callable[[str], Column] = F.col) -> list[Rule]:
+    """Rules over the counts, which `count` gives by name; two of the names may differ."""
     return [
-        Rule("few_words", c("n_words") < 50),
-        Rule("repeated_words", 100 * c("n_repeat_words") > 50 * c("n_words")),
-        Rule("word_length", (c("word_chars") > MAX_MEAN_WORD * c("n_words")) | (c("word_chars") < MIN_MEAN_WORD * c("n_words"))),
-        Rule("symbols", 100 * c("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * c("n_words")),
-        Rule("repeated_lines", 100 * c("n_dup_lines") > MAX_DUP_LINES_PER_100_LINES * c(n_lines)),
-        Rule("letters", 100 * c(n_letters) < MIN_LETTER_WORDS_PER_100 * c("n_words")),
+        Rule("few_words", count("n_words") < 50),
+        Rule("repeated_words", 100 * count("n_repeat_words") > 50 * count("n_words")),
+        Rule(
+            "word_length",
+            (count("word_chars") > MAX_MEAN_WORD * count("n_words")) | (count("word_chars") < MIN_MEAN_WORD * count("n_words")),
+        ),
+        Rule("symbols", 100 * count("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * count("n_words")),
+        Rule("repeated_lines", 100 * count("n_dup_lines") > MAX_DUP_LINES_PER_100_LINES * count(n_lines)),
+        Rule("letters", 100 * count(n_letters) < MIN_LETTER_WORDS_PER_100 * count("n_words")),
     ]
 
 
@@ -60,56 +70,76 @@ def _shifted(way: str, value: Column, bits: Column) -> Column:
     return F.call_function(f"shift{way}", value, bits)
 
 
-def _repeat_words(words: Column, packed: Column, bits: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeat_words(words: Column) -> Column:
     """Words covered by windows whose neighbour in hash order is the same window."""
-    place = lambda x: x.bitwiseAND(_shifted("left", F.lit(1).cast("long"), bits) - 1).cast("int")
-    window = lambda x: F.slice(words, place(x) + 1, 3)
-    same = lambda a, b: (_shifted("right", a, bits) == _shifted("right", b, bits)) & (window(a) == window(b))
-    last = F.size(packed) - 1
-    repeated = F.filter(
-        packed,
-        lambda x, k: ((k > 0) & same(x, F.get(packed, k - 1))) | ((k < last) & same(x, F.get(packed, k + 1))),
+    bits = F.ceil(F.log2(F.size(words) + 2)).cast("int")
+    hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    # what is sorted: upper bits of a window's hash, and its place in the bits below
+    windows = lambda bits: F.sort_array(
+        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: _shifted("left", hashed(i), bits).bitwiseOR(i.cast("long")))
     )
-    covered = F.aggregate(
-        F.sort_array(F.transform(repeated, place)),
-        F.struct(F.lit(0).alias("n"), F.lit(-3).alias("end")),
-        lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p + 3 - s["end"])).alias("n"), (p + 3).alias("end")),
+
+    def covered(bits: Column, packed: Column) -> Column:
+        place = lambda x: x.bitwiseAND(_shifted("left", F.lit(1).cast("long"), bits) - 1).cast("int")
+        window = lambda x: F.slice(words, place(x) + 1, 3)
+        same = lambda a, b: (_shifted("right", a, bits) == _shifted("right", b, bits)) & (window(a) == window(b))
+        last = F.size(packed) - 1
+        repeated = F.filter(
+            packed,
+            lambda x, k: ((k > 0) & same(x, F.get(packed, k - 1))) | ((k < last) & same(x, F.get(packed, k + 1))),
+        )
+        sums = F.aggregate(
+            F.sort_array(F.transform(repeated, place)),
+            F.struct(F.lit(0).alias("n"), F.lit(-3).alias("end")),
+            lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p + 3 - s["end"])).alias("n"), (p + 3).alias("end")),
+        )
+        return sums["n"]
+
+    found = _let(bits, lambda b: _let(windows(b), lambda packed: covered(b, packed)))
+    return F.when(F.size(words) >= 3, found).otherwise(F.lit(0)).cast("long")
+
+
+def _counts(body: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """Every count as an expression over the text, its words, and its lines that have a word."""
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + F.char_length(w)),
+        "n_symbols": (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": _repeat_words(words),
+        "n_lines": F.size(lines).cast("long"),
+        "n_letters": F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).cast("long"),
+    }
+
+
+def _split(df: DataFrame, text: str, kept: list[str]) -> tuple[DataFrame, Column, Column, Column]:
+    """`df` with the words and lines of the text, and the text, its words and lines as columns."""
+    body, words, lines = unused(df, "q_body", "q_words", "q_lines")
+    value = F.coalesce(F.col(text), F.lit(""))
+    # true for every row; the optimiser moves no filter through it
+    here = F.monotonically_increasing_id() >= 0
+    split = df.select(
+        *kept,
+        value.alias(body),
+        F.when(here, F.regexp_extract_all(value, F.lit(WORD), F.lit(0))).alias(words),
+        F.when(here, F.filter(F.split(value, "\n", -1), lambda x: x.rlike(WORD))).alias(lines),
     )
-    return covered["n"]
+    return split, F.col(body), F.col(words), F.col(lines)
 
 
 def measure(df: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
     """`df` with the counts, and the names of the helper columns (lines and words with letters)."""
     kept = [c for c in df.columns if c.lower() not in COUNTS]
-    words, lines, bits, packed, n_lines, n_letters = unused(
-        df, "q_words", "q_lines", "q_bits", "q_packed", "q_n_lines", "q_letters"
-    )
-    body = F.coalesce(F.col(text), F.lit(""))
-    split = df.select(
-        *kept,
-        F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias(words),
-        F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD)).alias(lines),
-    ).withColumn(bits, F.ceil(F.log2(F.size(words) + 2)).cast("int"))
-    # what is sorted: upper bits of a window's hash, and its place in the bits below
-    hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: _shifted("left", hashed(i), F.col(bits)).bitwiseOR(i.cast("long")),
-    )
-    split = split.withColumn(
-        packed, F.when(F.size(words) >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>"))
-    )
-    out = split.select(
-        *kept,
-        F.size(words).cast("long").alias("n_words"),
-        F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + F.char_length(w)).alias("word_chars"),
-        (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col(words), F.col(packed), F.col(bits)).cast("long").alias("n_repeat_words"),
-        F.size(lines).cast("long").alias(n_lines),
-        F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).cast("long").alias(n_letters),
-    )
-    return out, [n_lines, n_letters]
+    split, body, words, lines = _split(df, text, kept)
+    helpers = unused(df, "q_n_lines", "q_letters")
+    counts = _counts(body, words, lines)
+    names = zip((*COUNTS, "n_lines", "n_letters"), (*COUNTS, *helpers))
+    return split.select(*kept, *[counts[c].alias(name) for c, name in names]), helpers
 
 
 def ordered(df: DataFrame, text: str) -> list[str]:
@@ -119,13 +149,20 @@ def ordered(df: DataFrame, text: str) -> list[str]:
     timed with the counts that it needs, and with no others.
     """
     rows = [(r[0],) for r in df.select(F.col(text)).limit(SAMPLE_ROWS).collect()]
-    measured, helpers = measure(df.sparkSession.createDataFrame(rows, f"`{text}` string"), text)
+    sample = df.sparkSession.createDataFrame(rows * REPEATS, f"`{text}` string")
+    measured, helpers = measure(sample, text)
+
+    def timed(condition: Column) -> tuple[float, int]:
+        began = time.perf_counter()
+        # not a filter: an aggregate takes the counts that the condition names, and no others
+        rejected = measured.agg(F.count_if(condition)).first()[0]
+        return time.perf_counter() - began, rejected
+
+    idle = min(timed(F.lit(False))[0] for _ in range(2))
     worth = []
     for rule in rules(*helpers):
-        began = time.perf_counter()
-        # not a filter: that would be pushed below the counts, and split the text for every window
-        rejected = measured.agg(F.count_if(rule.broken)).first()[0]
-        worth.append((-(rejected / max(len(rows), 1)) / max(time.perf_counter() - began, 1e-6), rule.name))
+        took, rejected = timed(rule.broken)
+        worth.append((-(rejected / max(len(rows) * REPEATS, 1)) / max(took - idle, 1e-3), rule.name))
     return [name for _, name in sorted(worth)]
 
 
@@ -148,8 +185,8 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `df` that no rule rejects, with all their columns."""
-    whole = df.select(F.struct(*df.columns).alias("q_row"), F.col(text).alias("q_text"))
-    # a filter is not pushed through a column like q_at; below the counts it would split the text for every window
-    judged = judge(whole, "q_text").withColumn("q_at", F.monotonically_increasing_id())
-    return judged.filter("kept and q_at >= 0").select("q_row.*")
+    """The rows of `df` that no rule rejects, with all their columns; counts are taken as the cascade asks for them."""
+    split, body, words, lines = _split(df, text, df.columns)
+    counts = _counts(body, words, lines)
+    by_name = {r.name: r for r in rules(count=counts.__getitem__)}
+    return split.filter(cascade([by_name[name] for name in ordered(df, text)])).select(df.columns)
