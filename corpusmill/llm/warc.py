@@ -11,8 +11,10 @@ Equal payloads of at least REVISIT_BYTES bytes are kept once: the record with th
 largest key is the response, the others are revisits that name it.
 
 Defined results: a null page is an empty payload; small payloads are never revisits;
-an empty table gives no archive and no rows; a null key orders before all others;
-a null url is an empty one. Archives are rolled at ARCHIVE_BYTES; a longer record is
+an empty table gives no archive and no rows; a null url is an empty one. A null key comes
+back as null and orders before all others, so its page revisits any that has a key; where
+all keys of a payload are null, all are responses. Every row gets a record of its own, repeated
+rows too; those with the largest key of their payload are all responses. Archives are rolled at ARCHIVE_BYTES; a longer record is
 an archive's last. File names hold a random part, and only those that the successful
 attempt of a task reports are read.
 """
@@ -29,14 +31,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusmill.llm.common import chunks
-from corpusmill.runtime import materialize, scratch_path
+from corpusmill.runtime import materialize, scratch_path, small_side
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+_NO_KEY = "<urn:no-page>"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 # Fixed values of the ZIP format: signatures and fixed parts of its records.
@@ -197,14 +200,14 @@ def read_records(path: str) -> Iterator[bytes]:
                 yield zlib.decompress(file.read(entry["length"]), 31)
 
 
-def record(key: str, url: str, payload: bytes, digest: bytes, refers_to: str | None) -> bytes:
+def record(key: str | None, url: str, payload: bytes, digest: bytes, refers_to: str | None) -> bytes:
     """A response with its payload, or a revisit with the HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{key}>",
+        f"WARC-Record-ID: {_NO_KEY if key is None else f'<urn:page:{key}>'}",
         f"WARC-Target-URI: {' '.join(url.split())}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{b32encode(digest).decode()}",
@@ -230,7 +233,7 @@ def parse(data: bytes) -> dict:
         hashlib.sha1(payload).digest() != digest or len(payload) != int(headers["Content-Length"])
     ):
         raise ValueError(f"damaged payload in {fields['WARC-Record-ID']}")
-    name = lambda field: fields[field][len("<urn:page:") : -1] if field in fields else None
+    name = lambda field: fields[field][len("<urn:page:") : -1] if fields.get(field, _NO_KEY) != _NO_KEY else None
     return {
         "key": name("WARC-Record-ID"),
         "url": fields.get("WARC-Target-URI", ""),
@@ -242,52 +245,52 @@ def parse(data: bytes) -> dict:
     }
 
 
+#: Copies of a payload from which on they are joined apart from the others.
+HOT = 10_000
+
+
 def revisits(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(page, refers_to) of every page whose payload a page with a larger key has too.
+    """Distinct (page, digest, refers_to) of all pages whose payload a page with a larger key has too.
 
-    Works on digests. The joined side has one row per repeated payload; copies of a
-    hot payload are spread by a salt on both sides.
+    Works on digests. The digests of hot payloads are fewer than one in HOT pages; pages
+    that have one are joined with those alone, so no task gets all copies of a payload.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    narrow = pages.filter(F.octet_length(html) >= REVISIT_BYTES).select(
-        F.col(key).alias("page"), F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).alias("size")
-    )
-    per_hot = 10_000
-    repeated = (
-        narrow.groupBy("digest", "size")
-        .agg(F.max("page").alias("refers_to"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .withColumn("salts", F.ceil(F.col("n") / per_hot).cast("int"))
-    )
-    salts = repeated.agg(F.coalesce(F.max("salts"), F.lit(1))).first()[0]
-    salted = repeated.select("digest", "size", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return (
-        narrow.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(salts)).cast("int"))
-        .join(salted, ["digest", "size", "salt"])
-        .filter(F.col("page") < F.col("refers_to"))
-        .select("page", "refers_to")
-    )
+    narrow = pages.filter(F.octet_length(html) >= REVISIT_BYTES).select(F.col(key).alias("page"), _digest(body).alias("digest"))
+    counts = narrow.groupBy("digest").agg(F.max("page").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
+    repeated = materialize(counts, "warc-repeated")
+    hot = small_side(materialize(repeated.filter(F.col("n") > HOT), "warc-hot"))
+    usual = narrow.join(hot, "digest", "left_anti").join(repeated.filter(F.col("n") <= HOT), "digest")
+    found = usual.unionByName(narrow.join(hot, "digest"))
+    return found.filter(F.col("page").isNull() | (F.col("page") < F.col("refers_to"))).select("page", "digest", "refers_to").distinct()
+
+
+def _digest(body: Column) -> Column:
+    """SHA-1 of a payload and its size."""
+    return F.concat(F.unhex(F.sha1(body)), F.unhex(F.hex(F.octet_length(body).cast("long"))))
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write archives into `folder`, which all executors share; one row per archive: its path and number of records."""
-    found = revisits(pages, key, html).withColumnRenamed("page", key)
-    rows = pages.select(
-        key, F.coalesce(F.col(url), F.lit("")).alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h")
-    ).join(found, key, "left")
+    plain = pages.select(
+        F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h")
+    )
+    found = revisits(pages, key, html).alias("found")
+    same = plain["key"].eqNullSafe(F.col("found.page")) & (_digest(plain["h"].cast("binary")) == F.col("found.digest"))
+    rows = plain.join(found, same, "left").select("key", "u", "h", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[str, int]] = []
         out, n, path = None, 0, ""
         for batch in chunks(batches, "h"):
-            for page, place, text, refers in zip(*(batch.column(c).to_pylist() for c in (key, "u", "h", "refers_to"))):
+            for page, place, text, refers in zip(*(batch.column(c).to_pylist() for c in ("key", "u", "h", "refers_to"))):
                 if out is None:
                     path, n = f"{folder}/{uuid.uuid4().hex}.wacz", 0
                     out = ArchiveWriter(path)
                 payload = text.encode()
                 refers = None if refers is None else str(refers)
-                name = "" if page is None else str(page)
-                out.add(name, record(name, place, payload, hashlib.sha1(payload).digest(), refers))
+                name = None if page is None else str(page)
+                out.add(name or "", record(name, place, payload, hashlib.sha1(payload).digest(), refers))
                 n += 1
                 if out.at >= ARCHIVE_BYTES:
                     out.close()

@@ -190,6 +190,26 @@ def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_null_keys_and_repeated_pages(spark, monkeypatch):
+    big, other = "x" * 1500, "y" * 1200
+    rows = [(1, "u", big), (1, "u", big), (9, "u", big), (9, "u", big), (None, "u", big), (None, None, None), (4, "u", "small")]
+    rows += [(None, "u", other), (None, "u", other), (5, "u", other), (5, "u", big)]
+    rows += [(i, "u", "z" * 1000) for i in range(20, 60)]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, digest int, h int").repartition(3)
+    want = []
+    for page, _, html in rows:
+        text = html or ""
+        last = max((p for p, _, t in rows if t == html and p is not None), default=None)
+        again = len(text) >= 1000 and last is not None and (page is None or page < last)
+        want.append((page, len(text), hashlib.sha1(text.encode()).hexdigest(), "revisit" if again else "response", last if again else None))
+    for hot in (10_000, 3):
+        monkeypatch.setattr(warc, "HOT", hot)
+        got = warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    named = spark.createDataFrame([("", "u", big), (None, "u", big), ("a b", "u", big)], "page_id string, url string, html string")
+    assert sorted(map(str, (r.page_id for r in warc.round_trip(named).collect()))) == ["", "None", "a b"]
+
+
 # -- 5 ----------------------------------------------------------------------------
 
 
