@@ -252,26 +252,24 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sizes = shingle_sets(batch.column("t"))
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("d"), lists], names=["c", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), lists], names=["a", "b", "s"])
 
 
 def linked(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets are similar enough; only texts that occur in a pair are read on."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), f"{label}-ids")
-    sets = materialize(
-        texts.join(small_side(ids), "d", "left_semi").dropDuplicates(["d"]).mapInArrow(_shingled, "c long, s array<long>"),
-        f"{label}-sets",
-    )
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    out = materialize(
-        pairs.select("a", "b").join(right, "b").join(left, "a")
-        .filter(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared))
-        .select("a", "b"),
-        label,
+    """Those of stored `pairs` (a, b) whose sets are similar enough; `texts` has one row per key.
+
+    The texts of both ends are found by the pairs, and their sets are shuffled once,
+    to the first end. Many pairs of one first end are a skewed part of that join, which is split at run time.
+    """
+    ends = small_side(pairs.select("a", F.col("b").alias("d")))
+    firsts = small_side(materialize(pairs.select(F.col("a").alias("d")).distinct(), f"{label}-firsts"))
+    second = texts.join(ends, "d").select("a", F.col("d").alias("b"), "t").mapInArrow(_shingled, "a long, b long, s array<long>")
+    first = texts.join(firsts, "d", "left_semi").select(F.col("d").alias("a"), F.col("d").alias("b"), "t")
+    first = first.mapInArrow(_shingled, "a long, b long, s array<long>").select("a", F.col("s").alias("sa"))
+    shared = F.size(F.array_intersect("sa", "s"))
+    return materialize(
+        second.join(first.hint("merge"), "a").filter(100 * shared >= 75 * (F.size("sa") + F.size("s") - shared)).select("a", "b"), label
     )
-    release(ids, sets)
-    return out
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -309,6 +307,31 @@ def _not_alone(members: DataFrame) -> DataFrame:
     return members.join(several, "g", "left_semi")
 
 
+def _components_apart(unsettled: DataFrame) -> DataFrame:
+    """(ka, kb, odd): components that may still hold a linked pair.
+
+    Two linked sets share as many signatures as either needs at least, so their
+    components, taken as the unions of their members' signatures, share as many. A component is one row
+    per signature here, however many near copies it has.
+    """
+    shared = unsettled.select("g", "odd", "k").distinct()
+    needs = unsettled.groupBy("k", "odd").agg(
+        F.min("need").alias("need"), F.min("spare").alias("spare"), F.min("whole").alias("whole"), F.min("n").alias("lo"), F.max("n").alias("hi")
+    )
+    needs = materialize(needs, "jaccard-needs")
+    a, b = (needs.toDF(f"k{e}", "odd", f"need{e}", f"spare{e}", f"whole{e}", f"lo{e}", f"hi{e}") for e in "ab")
+    common = (
+        shared.withColumnRenamed("k", "ka").join(shared.withColumnRenamed("k", "kb"), ["g", "odd"]).filter("ka < kb")
+        .groupBy("ka", "kb", "odd").agg(F.count("*").alias("have"))
+    )
+    least = F.when(F.col("wholea") & F.col("wholeb"), F.greatest("sparea", "spareb")).otherwise(F.greatest("needa", "needb"))
+    return (
+        common.filter("have >= 1").join(a, ["ka", "odd"]).join(b, ["kb", "odd"])
+        .filter((F.col("have") >= least) & (4 * F.col("hia") >= 3 * F.col("lob")) & (4 * F.col("hib") >= 3 * F.col("loa")))
+        .select("ka", "kb", "odd")
+    )
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `df`: the key, `n_shingles`, and `component_id`."""
     texts = df.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
@@ -337,6 +360,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         carried.join(names, "d").groupBy("g", "c").agg(*(F.max(x).alias(x) for x in ("n", "spare0", "spare1"))), "jaccard-carried"
     )
     counts = members.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    # of rows that repeat a key, one text is compared
+    repeated = classes.filter("d is not null").groupBy("d").agg(F.count("*").alias("m")).filter("m > 1").limit(1).count()
+    if repeated:
+        texts = texts.dropDuplicates(["d"])
     odd = F.col("g").bitwiseAND(F.lit(1))
     own = Window.partitionBy("c", "odd")
     spare = F.when(F.col("odd") == 1, F.col("spare1")).otherwise(F.col("spare0"))
@@ -345,10 +372,12 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         members.join(counts, "g")
         .withColumn("odd", odd)
         .withColumn("hot", F.sum((F.col("m") > HOT).cast("int")).over(own))
-        .withColumn("need", F.greatest(F.lit(1), spare - F.col("hot")))
-        .filter((F.col("m") <= HOT) | (F.col("hot") >= spare))
+        .withColumn("spare", spare)
+        .withColumn("need", F.greatest(F.lit(1), F.col("spare") - F.col("hot")))
+        .withColumn("whole", (F.col("hot") == 0) | (F.col("hot") >= F.col("spare")))  # keeps all its signatures
+        .filter((F.col("m") <= HOT) | F.col("whole"))
     )
-    supported = materialize(_supported(described.select("g", "c", "n", "odd", "need")), "jaccard-supported")
+    supported = materialize(_supported(described.select("g", "c", "n", "odd", "need", "spare", "hot", "whole")), "jaccard-supported")
     release(members)
     again = materialize(_supported(_not_alone(supported)), "jaccard-supported")
     release(supported)
@@ -377,25 +406,31 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     # second round: pairs that share a signature and are not connected yet
     placed = materialize(
-        ranked.select("g", "c", "n", "odd", "need").join(found, "c", "left").withColumn("k", F.coalesce("component", "c")), "jaccard-placed"
+        ranked.drop("w").join(found, "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"), "jaccard-placed"
     )
     release(ranked)
     open_groups = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("g")
-    unsettled = materialize(placed.join(open_groups, "g").select("g", "odd", "c", "n", "k", "need"), "jaccard-unsettled")
+    unsettled = materialize(placed.join(open_groups, "g"), "jaccard-unsettled")
     release(placed)
-    x, y = (unsettled.toDF("g", "odd", e, f"n{e}", f"k{e}", f"need{e}") for e in "ab")
+    apart = materialize(_components_apart(unsettled), "jaccard-apart")
+    sides = unsettled.select("g", "odd", "c", "n", "k", "spare", "hot", "whole")
+    x, y = (sides.toDF("g", "odd", e, f"n{e}", f"k{e}", f"spare{e}", f"hot{e}", f"whole{e}") for e in "ab")
+    # common signatures that either side leaves out are hot ones of both
+    lost = F.when(F.col("wholea") & F.col("wholeb"), 0).otherwise(F.least("hota", "hotb"))
+    need = F.greatest(F.lit(1), F.greatest("sparea", "spareb") - lost)
     rest = (
-        x.join(y, ["g", "odd"])
-        .filter((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & near(F.col("na"), F.col("nb")))
+        x.join(small_side(apart), ["ka", "odd"])
+        .join(y, ["g", "odd", "kb"])
+        .filter(near(F.col("na"), F.col("nb")))
         .groupBy("a", "b", "odd")
-        .agg(F.count("*").alias("have"), F.max(F.greatest("needa", "needb")).alias("need"))
+        .agg(F.count("*").alias("have"), F.max(need).alias("need"))
         .filter("have >= need")
-        .select("a", "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(rest.join(done, ["a", "b"], "left_anti"), "jaccard-second")
-    release(unsettled, first)
+    release(unsettled, first, apart)
     more = linked(second, texts, "jaccard-more")
     whole = components(links.union(more), "jaccard-whole")
     out = classes.join(whole, "c", "left").select(
