@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-
 from corpusmill import fixed_values as fixed
 
 CORPUS = r"""
@@ -86,12 +81,6 @@ def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def english_stopwords() -> list[str]:
-    """The list that ships with Spark ML, read from its archive, so that no session is needed."""
-    with zipfile.ZipFile(next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))) as archive:
-        return archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 STOP = quoted(fixed.BUILT_IN_STOPWORDS)
 
 

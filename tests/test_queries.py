@@ -1,10 +1,12 @@
 """Every registered query against its SQL; the others must run and give rows."""
 
 import pytest
+from pyspark.ml.feature import StopWordsRemover
 
 import oracle
 from __spark_entry__ import entry
-from corpusmill.plans import all_queries
+from corpusmill import fixed_values as fixed
+from corpusmill.plans import all_queries, sql
 
 QUERIES, SQL = all_queries().QUERIES, all_queries().ORACLES
 # at the smallest scale few words pass the dictionary filter, and streams may
@@ -27,6 +29,13 @@ def test_gives_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0 or name in MAY_BE_EMPTY
 
 
+def test_default_stopwords(spark, con, sf_dir):
+    english = StopWordsRemover.loadDefaultStopWords("english")
+    stop = sql.quoted(sorted({*fixed.BUILT_IN_STOPWORDS, *fixed.DOMAIN_STOPWORDS, *english}))
+    statement = f"select doc_id, array_to_string({sql.tokens(stop=stop)}, ' ') as words from documents"
+    assert oracle.difference(spark, con, sf_dir, QUERIES["u1_default_stopwords"], statement) is None
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
 
