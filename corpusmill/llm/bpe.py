@@ -4,7 +4,11 @@ Spark's regular expressions split the texts; a task keeps each distinct piece of
 its chunk once. Pieces that are tokens themselves need no merge. For the others,
 a recursive query unnests the token positions, joins adjacent pairs with the
 merge table and contracts each piece's leftmost pair of minimum rank, until no
-pair joins. Decoding joins token positions with the vocabulary and gathers the
+pair joins. A long piece (text without spaces) is cut into blocks that overlap, and
+these are encoded like pieces: a sequence of tokens is the encoding of its bytes when
+any two neighbours of it are the encoding of theirs, so two blocks are joined at a token
+that both have in the same place, whose neighbours are right on either side. Where two blocks share
+none, the whole piece goes through a recursive query of its own. Decoding joins token positions with the vocabulary and gathers the
 bytes by an ordered aggregation.
 
 Defined results: a null text gives no ids; an empty text gives none either; null
@@ -33,8 +37,9 @@ _SPACE = r"\t-\r\x20\x85\xa0" + "".join(
 )
 PIECES_PER_QUERY = 50_000
 TOKENS_PER_BATCH = 1 << 20
-#: Pieces above this size contract all occurrences of their minimum pair per step.
+#: Pieces above this size are encoded in blocks of it, which overlap by a quarter.
 LONG_PIECE = 256
+OVERLAP = LONG_PIECE // 4
 
 _MERGE = """
 with recursive t as (
@@ -53,7 +58,7 @@ with recursive t as (
 select w, arg_max(toks, step) as toks from t group by w order by w
 """
 
-# For long pieces: positions stay rows, and every second position of a run of hits
+# For long pieces whose blocks share no token: positions stay rows, and every second position of a run of hits
 # is contracted from the left, so that a long run takes few steps.
 _MERGE_LONG = """
 with recursive t as (
@@ -156,8 +161,17 @@ def encode_distinct(con, v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np
     start[whole], length[whole] = np.arange(whole.sum()), 1
     used = len(pool[0])
     size = pc.binary_length(words).to_numpy(zero_copy_only=False)
-    for statement, rows in ((_MERGE, ~whole & (size <= LONG_PIECE)), (_MERGE_LONG, ~whole & (size > LONG_PIECE))):
-        at = np.flatnonzero(rows)
+    long = np.flatnonzero(~whole & (size > LONG_PIECE))
+    alone = []
+    for number in long.tolist():
+        ids = _in_blocks(con, v, words[number].as_py())
+        if ids is None:
+            alone.append(number)
+            continue
+        start[number], length[number] = used, len(ids)
+        pool.append(ids)
+        used += len(ids)
+    for statement, at in ((_MERGE, np.flatnonzero(~whole & (size <= LONG_PIECE))), (_MERGE_LONG, np.array(alone, np.int64))):
         for block in range(0, len(at), PIECES_PER_QUERY):
             own_rows = at[block : block + PIECES_PER_QUERY]
             lists = _merge(con, v, words.take(pa.array(own_rows)), statement)
@@ -168,6 +182,32 @@ def encode_distinct(con, v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np
     return np.concatenate(pool), start, length
 
 
+def _in_blocks(con, v: Vocabulary, word: bytes) -> np.ndarray | None:
+    """Ids of a long piece, joined from those of its blocks, or None where two blocks share no token."""
+    step = LONG_PIECE - OVERLAP
+    begins = range(0, max(len(word) - OVERLAP, 1), step)
+    blocks = pa.array([word[b : b + LONG_PIECE] for b in begins], pa.binary()).dictionary_encode()
+    pool, start, length = encode_distinct(con, v, blocks.dictionary)
+    sizes = pc.binary_length(v.tokens).to_numpy().astype(np.int64)
+    out, first = [], 0  # first token of a block that is not in the result yet
+    held = None
+    for begin, code in zip(begins, blocks.indices.to_pylist()):
+        ids = pool[start[code] : start[code] + length[code]]
+        ends = begin + np.cumsum(sizes[np.searchsorted(v.ids, ids)])
+        place = np.stack([np.concatenate([[begin], ends[:-1]]), ends])
+        if held is not None:
+            last, last_place = held
+            shared, here, there = np.intersect1d(last_place[0] << 32 | last_place[1], place[0] << 32 | place[1], return_indices=True)
+            if not len(shared):
+                return None
+            middle = len(shared) // 2
+            out.append(last[first : here[middle]])
+            first = there[middle]
+        held = ids, place
+    out.append(held[0][first:])
+    return np.concatenate(out).astype(np.int32)
+
+
 def encode(
     df: DataFrame, vocabulary: Broadcast, pattern: str, text: str = "text", carry: Iterable[str] = (), out: str = "ids"
 ) -> DataFrame:

@@ -8,6 +8,7 @@ import os
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 
@@ -77,6 +78,28 @@ def test_tokens_encode_to_themselves(reference):
         assert reference._encode_single_piece(token) == [reference._mergeable_ranks[token]]
 
 
+def test_long_runs_are_what_the_tokenizer_gives(spark, vocabulary, reference, monkeypatch):
+    rng = random.Random(31)
+    runs = ["".join(rng.choices("etaoinshrdlu", k=20_000)), "".join(rng.choices("的一是在不了有和人这中大为上个国", k=6_000)), "ab" * 9_000]
+    runs += ["a" * n for n in (255, 256, 257, 448, 449, 1_000)] + ["".join(rng.choices("ACGT", k=n)) for n in (300, 700, 5_000)]
+    df = spark.createDataFrame([(x,) for x in runs], "text string").repartition(3)
+    for r in bpe.encode(df, vocabulary, public_tokenizers.PATTERN, carry=["text"]).collect():
+        assert r.ids == reference.encode_ordinary(r.text)
+    con = bpe._connect(vocabulary.value)
+    monkeypatch.setattr(bpe, "_in_blocks", lambda *a: None)  # blocks that share no token
+    pool, start, length = bpe.encode_distinct(con, vocabulary.value, pa.array([runs[-1].encode()], pa.binary()))
+    assert pool[start[0] : start[0] + length[0]].tolist() == reference.encode_ordinary(runs[-1])
+
+
+def test_three_hundred_thousand_letters_take_seconds(vocabulary, reference):
+    word = "".join(random.Random(32).choices("etaoinshrdlucmf", k=300_000))
+    began = time.perf_counter()
+    pool, start, length = bpe.encode_distinct(bpe._connect(vocabulary.value), vocabulary.value, pa.array([word.encode()], pa.binary()))
+    assert time.perf_counter() - began < 60
+    ids = pool[start[0] : start[0] + length[0]].tolist()
+    assert reference.decode(ids) == word and ids == reference.encode_ordinary(word)
+
+
 def test_unknown_and_null_ids(spark, vocabulary):
     df = spark.createDataFrame([([1, 10**6],), (None,), ([],)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(df, vocabulary).collect()] == [None, b"", b""]
@@ -120,6 +143,41 @@ def test_all_verbatim_items_are_found(spark, sf_dir):
     assert want <= {(r.doc_id, r.item_id) for r in QUERIES["op2_decontaminate"](spark, sf_dir).collect()}
 
 
+def test_recall_of_planted_paraphrases(spark):
+    """Items of one sentence and with a separate answer; words left out, replaced, or put in between."""
+    rng = random.Random(41)
+    word = lambda: sentence(rng, 1)
+    items, docs, planted = [], [], {}
+    for i in range(120):
+        kind = ("one", "answer")[i % 2]
+        body = [word() for _ in range(rng.randint(25, 60))]
+        last = [word() for _ in range(5)]
+        items.append((i, " ".join(body) + "." if kind == "one" else " ".join(body) + ". " + " ".join(last) + "."))
+        for change in ("dropped", "replaced", "between"):
+            told = []
+            for w in body:
+                if change == "dropped" and rng.random() < 0.27:
+                    continue
+                told.append(word() if change == "replaced" and rng.random() < 0.3 else w)
+                if change == "between" and rng.random() < 0.25:
+                    told.append(word())
+            told += last if kind == "answer" else []
+            d = len(docs)
+            docs.append((d, sentence(rng, 80) + " " + " ".join(told) + " " + sentence(rng, 80)))
+            planted[d] = (i, kind, change)
+    clean = [(10_000 + d, sentence(rng, 200)) for d in range(400)]
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.search(spark.createDataFrame(docs + clean, "doc_id long, text string"), items_df).collect()
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    assert all(d in planted and planted[d][0] == i for d, i in pairs)  # nothing else is found
+    hits, total = collections.Counter(), collections.Counter()
+    for d, (i, kind, change) in planted.items():
+        total[kind, change] += 1
+        hits[kind, change] += (d, i) in pairs
+    share = {k: hits[k] / total[k] for k in total}
+    assert min(share.values()) >= 0.9, share
+
+
 # -- 3 ----------------------------------------------------------------------------
 
 
