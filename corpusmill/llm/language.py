@@ -7,11 +7,10 @@ in sorted arrays: each stored n-gram carries its interpolated probability, each
 stored context its back-off weight. A text gets the language with the lowest
 cross-entropy per sign.
 
-Fitting reads at most about FIT_ROWS documents per language (a rate by hash of the
-key, so no row order matters), counts n-grams in Spark, and keeps at most MAX_GRAMS
-of them by raising a least count, which bounds what is broadcast. Other labelled
-documents, at most about CALIBRATION_ROWS per language, set each language's
-rejection limit and the temperature of the score.
+Fitting reads at most about FIT_ROWS documents, as many of each language (a rate by hash
+of the key, so no row order matters), and counts their n-grams in Spark; all of them are kept. The
+sample bounds what is broadcast. Other labelled documents, at most about CALIBRATION_ROWS, set
+each language's rejection limit and the temperature of the score.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and not
 accepted; so is every text if nothing was learned. Ties go to the language that
@@ -32,9 +31,9 @@ from corpusmill.llm.common import mix, unused
 from corpusmill.runtime import materialize
 
 ORDER = 5
-FIT_ROWS = 1_000
-CALIBRATION_ROWS = 300
-MAX_GRAMS = 3_000_000
+#: Documents of all languages together; each language has an even part of them, and one at least.
+FIT_ROWS = 4_000
+CALIBRATION_ROWS = 1_200
 #: Share of calibration documents of the right language that a limit accepts, and slack on it.
 ACCEPTED, SLACK = 0.995, 1.1
 EDGE = 0x20
@@ -106,12 +105,12 @@ def _counted(batch: pa.RecordBatch, words: str, language: str) -> Iterator[pa.Re
 
 
 def _sampled(df: DataFrame, key: str, lang: str, least: int, rows: int) -> DataFrame:
-    """About `rows` rows per language (all, if there are fewer), chosen by a hash of the key."""
+    """About `rows` rows, an even part of each language (all, if it has fewer), chosen by a hash of the key."""
     counts = {r[0]: r[1] for r in df.groupBy(lang).count().collect()}
     if not counts:
         return df.limit(0)
-    scale = 1 << 24
-    rate = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, min(scale, rows * scale // max(n, 1)))))
+    scale, each = 1 << 24, max(rows // len(counts), 1)
+    rate = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, min(scale, each * scale // max(n, 1)))))
     return df.filter(F.pmod(F.xxhash64(key, F.lit(least)), F.lit(scale)) < F.element_at(rate, F.col(lang)))
 
 
@@ -221,11 +220,7 @@ def fit(df: DataFrame, key: str, text: str, lang: str) -> Model:
         .agg(*(F.min(c).alias(c) for c in ("context", "suffix")), F.max("opens").alias("opens"), F.sum("n").alias("n")),
         "language-grams",
     )
-    # least count that keeps the arrays within MAX_GRAMS; orders 1 and 2 always stay
-    least, spread = 1, {r[0]: r[1] for r in counted.groupBy(F.least("n", F.lit(100)).alias("m")).count().collect()}
-    while least < 100 and sum(n for m, n in spread.items() if m >= least) > MAX_GRAMS:
-        least += 1
-    rows = counted.filter((F.col("n") >= least) | (F.col("k") <= 2)).orderBy("lang", "k", "gram").toArrow()
+    rows = counted.orderBy("lang", "k", "gram").toArrow()
     languages = tuple(sorted(set(rows["lang"].to_pylist())))
     if not languages:
         return Model((), (), (), np.zeros(0), 1.0)

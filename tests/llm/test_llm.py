@@ -208,6 +208,66 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     assert np.all(total <= 1 + 1e-5) and np.all(total >= 0.5) and len(signs) == 2
 
 
+def plain_kneser_ney(texts):
+    """Per language a function from (context, sign) to a probability; n-grams are strings, within one word each."""
+    words = {lang: [f" {w} " for t in own for w in re.findall(r"[^\W\d_]+", t.lower())] for lang, own in texts.items()}
+    kinds = {sign for own in words.values() for w in own for sign in w[1:]}
+
+    def learn(own):
+        counts = [collections.Counter() for _ in range(language.ORDER + 1)]
+        for w in own:
+            for i in range(1, len(w)):
+                for k in range(1, min(i + 1, language.ORDER) + 1):
+                    counts[k][w[i - k + 1 : i + 1]] += 1
+        opening = [{w[:size] for w in own if len(w) >= size} for size in range(language.ORDER + 1)]
+        tables = []
+        for k in range(1, language.ORDER + 1):
+            used = {}
+            for gram, n in counts[k].items():
+                left = sum(1 for longer in counts[k + 1] if longer[1:] == gram) if k < language.ORDER else 0
+                used[gram] = n if k == language.ORDER or (k > 1 and gram in opening[k]) else max(left, 1)
+            once, twice = sum(v == 1 for v in used.values()), sum(v == 2 for v in used.values())
+            discount = once / (once + 2 * twice) if once and twice else 0.5
+            total, number = collections.Counter(), collections.Counter()
+            for gram, v in used.items():
+                total[gram[:-1]] += v
+                number[gram[:-1]] += 1
+            tables.append((used, discount, total, number))
+
+        def probability(context, sign):
+            p = 1 / (len(kinds) + 1)
+            for k, (used, discount, total, number) in enumerate(tables, 1):
+                if len(context) < k - 1:
+                    break
+                h = context[len(context) - k + 1 :]
+                if total[h]:
+                    p = max(used.get(h + sign, 0) - discount, 0) / total[h] + discount * number[h] / total[h] * p
+            return p
+
+        return probability
+
+    return {lang: learn(own) for lang, own in words.items()}
+
+
+def test_model_equals_a_plain_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_ROWS", 1 << 20)
+    rng = random.Random(51)
+    texts = {lang: [" ".join("".join(rng.choices(signs, k=rng.randint(1, 6))) for _ in range(25)) for _ in range(12)] for lang, signs in (("x", "abcdé"), ("y", "bcdefg"))}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitting = df.filter(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) != 0).collect()
+    plain = plain_kneser_ney({lang: [r.text for r in fitting if r.lang == lang] for lang in texts})
+    model = language.fit(df, "doc_id", "text", "lang")
+    words = sorted({"".join(rng.choices("abcdefgéz", k=rng.randint(1, 8))) for _ in range(60)} | set(texts["x"][0].split()))
+    logs, signs = language.log_probabilities(model, pa.array(words))
+    for i, word in enumerate(words):
+        w = f" {word} "
+        assert signs[i] == len(word) + 1
+        for j, lang in enumerate(model.languages):
+            want = sum(math.log(plain[lang](w[max(0, p - language.ORDER + 1) : p], w[p])) for p in range(1, len(w)))
+            assert logs[i, j] == pytest.approx(want, rel=1e-4, abs=1e-3), (word, lang)
+
+
 # -- 4 ----------------------------------------------------------------------------
 
 
