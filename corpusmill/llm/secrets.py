@@ -154,8 +154,8 @@ def spans_of(text: str | None) -> tuple[list[str], list[str]]:
 
 
 def find(df: DataFrame, text: str = "text", carry: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """The columns `carry`, with `base` and `found`: spans as arrays of kind:start:end."""
-    carry = list(carry)
+    """The columns `carry`, with `base` and `found`, which replace carried columns of these names: spans as arrays of kind:start:end."""
+    carry = [c for c in carry if c.lower() not in ("base", "found")]
     schema = T.StructType(
         [df.schema[c] for c in carry]
         + [T.StructField(c, T.ArrayType(T.StringType(), False), False) for c in ("base", "found")]

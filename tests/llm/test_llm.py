@@ -427,6 +427,12 @@ def test_secrets_of_one_case_and_beside_placeholders():
     assert [secrets.spans_of(f)[1] for f in fine] == [[]] * 4
 
 
+def test_carried_columns_with_the_results_names(spark):
+    df = spark.createDataFrame([(1, "password = abcdefgh12345", "x", 2)], "doc_id long, text string, found string, Base int")
+    row = secrets.find(df, carry=df.columns).first()
+    assert row.asDict().keys() == {"doc_id", "text", "base", "found"} and len(row.base) == 1
+
+
 # -- 7 ----------------------------------------------------------------------------
 
 
