@@ -25,7 +25,8 @@ the and of to in is for on with that this are as be by an was at or from it has
 have been were which can will also more its their all
 """.split()
 
-# The study's own stopwords, by its five headings, in its order.
+# The study's own stopwords, by its five headings, in its order. The name of
+# its institution is left to the caller.
 DOMAIN_STOPWORDS = """
 hal salah memiliki sebesar nilai tingkat
 inti jenis makna ditemukan membantu meningkatkan
@@ -53,7 +54,7 @@ manajemen akuntansi
 tbk persero pt cv jalan perusahaan tahun
 indonesia jawa barat timur selatan utara pusat
 daerah kabupaten kota provinsi wilayah kecamatan
-bandung cimahi jakarta widyatama
+bandung cimahi jakarta
 
 research company test using value influence
 analysis based performance method study product
