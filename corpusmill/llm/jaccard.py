@@ -15,11 +15,15 @@ signature (the subsets that are enumerated are the single cells). No link is los
 - two linked sets even agree on as many signatures as either has above its bound, so
   sets and pairs that share fewer are no candidates.
 
-Sets that share a signature are candidates. First each set is compared with one other,
-the most connected set of most of its signatures, which joins a group of near copies
-with one comparison per member. Then only pairs that share a signature but are not connected yet are
-compared, so no group emits all its pairs. Comparisons are exact on the shingles'
-64-bit hashes. Exact copies of a set count once.
+Exact copies of a set count once. In the first round each set is compared with one other: of the
+sets that share one of its SKETCH smallest signatures, the most connected one. That joins most near
+copies, with one comparison per member. In the second round all signatures go to buckets, with the
+set and its component so far, and only those that sets of several components carry are looked at
+further. Candidates are named by a set's rarest signatures alone: where a partner must share t
+of its n signatures, by n - t + 1 of them, since any t of them include one of those.
+Components are pruned first, as the unions of their members' signatures, then pairs; so
+no group emits all its pairs, and what near copies share costs nothing more.
+Comparisons are exact on the shingles' 64-bit hashes.
 
 Defined results: a text without words has no shingles, links with nothing and is its
 own component; so is a null text. Fewer than five words are one shingle. Rows that
@@ -33,13 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.llm.common import chunks, mix, span_hashes, text_buffer, unused, word_spans
 from corpusmill.runtime import materialize, release, small_side
 
 WORDS = 5
 HOT = 48
+#: Signatures of a set that name its candidates in the first round.
+SKETCH = 16
 #: Bytes of text that are hashed at a time; the working arrays take about 40 bytes for each.
 CHUNK = 1 << 20
 #: Bytes of a signature that are shuffled; its bucket, whose number grows with the input, tells its upper bits.
@@ -164,9 +170,19 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "t", CHUNK):
         shingles, sizes = shingle_sets(batch.column("t"))
         h1, h2 = set_digests(shingles, sizes)
-        _, _, spare = signatures(shingles, sizes)
+        sign, row, spare = signatures(shingles, sizes)
         columns = [batch.column("d"), *(pa.array(x) for x in (sizes, h1.view(np.int64), h2.view(np.int64), spare[:, 0], spare[:, 1]))]
-        yield pa.RecordBatch.from_arrays(columns, names=["d", "n", "h1", "h2", "spare0", "spare1"])
+        yield pa.RecordBatch.from_arrays([*columns, _sketches(sign, row, len(sizes))], names=["d", "n", "h1", "h2", "spare0", "spare1", "sketch"])
+
+
+def _sketches(sign: np.ndarray, row: np.ndarray, n_rows: int) -> pa.Array:
+    """The SKETCH smallest signatures of each row, smallest by a hash of them."""
+    order = np.lexsort((mix(sign ^ np.uint64(0x5EED)), row))
+    sign, row = sign[order], row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < SKETCH
+    sign, row = sign[kept], row[kept]
+    offsets = np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(sign.view(np.int64)))
 
 
 def _bytes(x: np.ndarray, width: int) -> bytes:
@@ -182,43 +198,41 @@ def _numbers(data: bytes, width: int) -> np.ndarray:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Signatures with their documents, in one binary row per bucket and flush; copies within a task sign once."""
-    seen: set[tuple[int, int, int]] = set()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Signatures with their sets and components (k), in one binary row per bucket and flush.
+
+    A component is the smallest key of its members, so it is written as the distance from the set's own.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        sign, doc = np.concatenate([s for s, _ in held]), np.concatenate([d for _, d in held])
+        sign, doc, back = (np.concatenate(x) for x in zip(*held))
         bucket = ((sign >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sign, doc, bucket = sign[order], doc[order], bucket[order]
+        sign, doc, back, bucket = sign[order], doc[order], back[order], bucket[order]
         begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         end = np.append(begin[1:], len(bucket))
         low = int(doc.min())
-        width = max(1, (int(doc.max()) - low).bit_length() + 7 >> 3)  # bytes per document, from the smallest one
+        width = max(1, (int(doc.max()) - low).bit_length() + 7 >> 3)  # bytes per set, from the smallest one
+        far = max(1, int(back.max()).bit_length() + 7 >> 3)
         return pa.RecordBatch.from_pydict(
             {
                 "bucket": pa.array(bucket[begin].astype(np.int32)),
                 "low": pa.array(np.full(len(begin), low)),
                 "width": pa.array(np.full(len(begin), width, np.int32)),
+                "far": pa.array(np.full(len(begin), far, np.int32)),
                 "sign": pa.array([_bytes(sign[a:b], SIGN_BYTES) for a, b in zip(begin, end)], pa.binary()),
                 "doc": pa.array([_bytes(doc[a:b] - low, width) for a, b in zip(begin, end)], pa.binary()),
+                "back": pa.array([_bytes(back[a:b], far) for a, b in zip(begin, end)], pa.binary()),
             }
         )
 
     for batch in chunks(batches, "t", CHUNK):
         shingles, sizes = shingle_sets(batch.column("t"))
-        h1, h2 = set_digests(shingles, sizes)
         sign, row, _ = signatures(shingles, sizes)
-        fresh = np.zeros(len(sizes), dtype=bool)
-        for i, key in enumerate(zip(h1.tolist(), h2.tolist(), sizes.tolist())):
-            if key not in seen:
-                seen.add(key)
-                fresh[i] = True
-        use = fresh[row]
-        docs = batch.column("d").to_numpy(zero_copy_only=False)
-        if use.any():
-            held.append((sign[use], docs[row[use]]))
-        if sum(len(s) for s, _ in held) >= PAIRS_PER_FLUSH:
+        own, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "k"))
+        if len(sign):
+            held.append((sign, own[row], (own - k)[row]))
+        if sum(len(x[0]) for x in held) >= PAIRS_PER_FLUSH:
             yield flush()
             held = []
     if held:
@@ -226,24 +240,30 @@ def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(signature, document) of every signature that two documents or more carry."""
-    signs, docs = [], []
+    """(signature, set, component, number of sets) of every signature that sets of two components or more carry."""
+    signs, docs, backs = [], [], []
     for batch in batches:
-        for bucket, low, width, sign, doc in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "width", "sign", "doc"))):
+        for bucket, low, width, far, sign, doc, back in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "width", "far", "sign", "doc", "back"))):
             signs.append(_numbers(sign, SIGN_BYTES) ^ mix(np.array([bucket + 1])) & ~np.uint64(1))
             docs.append(_numbers(doc, width).astype(np.int64) + low)
+            backs.append(_numbers(back, far).astype(np.int64))
     if not signs:
         return
-    sign, doc = np.concatenate(signs), np.concatenate(docs)
-    del signs, docs
+    sign, doc, back = np.concatenate(signs), np.concatenate(docs), np.concatenate(backs)
+    del signs, docs, backs
     order = np.argsort(sign, kind="stable")
-    sign, doc = sign[order], doc[order]
-    twin = sign[1:] == sign[:-1]
-    kept = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
-    sign, doc = sign[kept], doc[kept]
+    sign, doc, back = sign[order], doc[order], back[order]
+    first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
+    k = doc - back
+    several = np.minimum.reduceat(k, first) < np.maximum.reduceat(k, first)
+    number = np.diff(np.append(first, len(sign)))
+    kept = np.repeat(several, number)
+    number = np.repeat(number, number)[kept]
+    sign, doc, k = sign[kept], doc[kept], k[kept]
     for a in range(0, len(sign), 1 << 18):
+        part = slice(a, a + (1 << 18))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sign[a : a + (1 << 18)].view(np.int64)), pa.array(doc[a : a + (1 << 18)])], names=["g", "d"]
+            [pa.array(sign[part].view(np.int64)), pa.array(doc[part]), pa.array(k[part]), pa.array(number[part])], names=["g", "c", "k", "m"]
         )
 
 
@@ -302,11 +322,38 @@ def _supported(members: DataFrame) -> DataFrame:
     return members.withColumn("have", n).filter("have >= need").drop("have")
 
 
-def _not_alone(members: DataFrame) -> DataFrame:
-    several = members.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
+def _open(members: DataFrame) -> DataFrame:
+    """Without the signatures that one component alone carries by now."""
+    several = members.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("g")
     return members.join(several, "g", "left_semi")
 
 
+def _near(x: Column, y: Column) -> Column:
+    return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
+
+
+def _first_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): each set b with the most connected of those that share most of its sketch."""
+    rows = materialize(sets.select("c", "n", F.explode("sketch").alias("g")), "jaccard-sketches")
+    counts = rows.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    several = rows.join(counts, "g")
+    central = several.groupBy("c").agg(F.sum("m").alias("w"))
+    ranked = materialize(several.drop("m").join(central, "c"), "jaccard-ranked")
+    stars = ranked.groupBy("g").agg(F.max(F.struct("w", "c", "n")).alias("top"))
+    first = materialize(
+        ranked.join(stars, "g")
+        .filter((F.col("c") != F.col("top.c")) & _near(F.col("n"), F.col("top.n")))
+        .groupBy(F.col("c").alias("b"), F.col("top.c").alias("a"))
+        .agg(F.count("*").alias("have"), F.max("top.w").alias("w"))
+        .groupBy("b")
+        .agg(F.max(F.struct("have", "w", "a")).alias("best"))
+        .select(F.col("best.a").alias("a"), "b"),
+        "jaccard-first",
+    )
+    release(rows, ranked)
+    return first
+
+
 def _components_apart(unsettled: DataFrame) -> DataFrame:
     """(ka, kb, odd): components that may still hold a linked pair.
 
@@ -314,19 +361,31 @@ def _components_apart(unsettled: DataFrame) -> DataFrame:
     components, taken as the unions of their members' signatures, share as many. A component is one row
     per signature here, however many near copies it has.
     """
-    shared = unsettled.select("g", "odd", "k").distinct()
+    shared = materialize(unsettled.select("g", "odd", "k").distinct(), "jaccard-shared")
+    # hot signatures are shared by sets that keep theirs, and those share as many as they may do without, hot or not;
+    # with all other sets they share usual ones alone
+    own = Window.partitionBy("c", "odd")
+    have, usual = F.count("*").over(own), F.sum((F.col("m") <= HOT).cast("int")).over(own)
+    hot_too = (F.col("hot") > 0) & (F.col("hot") >= F.col("spare"))
+    naming = F.when(hot_too, F.greatest(usual, have - F.greatest("spare", F.lit(1)) + 1)).otherwise(have - F.col("need") + 1)
+    ranked = unsettled.withColumns({"rank": F.row_number().over(own.orderBy("m", "g")), "naming": naming})
+    rare = ranked.filter("rank <= naming").select("g", "odd", "k").distinct()
+    named = materialize(
+        rare.withColumnRenamed("k", "ka").join(rare.withColumnRenamed("k", "kb"), ["g", "odd"]).filter("ka < kb").select("ka", "kb", "odd").distinct(),
+        "jaccard-candidates",
+    )
     needs = unsettled.groupBy("k", "odd").agg(
         F.min("need").alias("need"), F.min("spare").alias("spare"), F.min("whole").alias("whole"), F.min("n").alias("lo"), F.max("n").alias("hi")
     )
     needs = materialize(needs, "jaccard-needs")
     a, b = (needs.toDF(f"k{e}", "odd", f"need{e}", f"spare{e}", f"whole{e}", f"lo{e}", f"hi{e}") for e in "ab")
     common = (
-        shared.withColumnRenamed("k", "ka").join(shared.withColumnRenamed("k", "kb"), ["g", "odd"]).filter("ka < kb")
+        shared.withColumnRenamed("k", "ka").join(named, ["ka", "odd"]).join(shared.withColumnRenamed("k", "kb"), ["g", "odd", "kb"])
         .groupBy("ka", "kb", "odd").agg(F.count("*").alias("have"))
     )
     least = F.when(F.col("wholea") & F.col("wholeb"), F.greatest("sparea", "spareb")).otherwise(F.greatest("needa", "needb"))
     return (
-        common.filter("have >= 1").join(a, ["ka", "odd"]).join(b, ["kb", "odd"])
+        common.join(a, ["ka", "odd"]).join(b, ["kb", "odd"])
         .filter((F.col("have") >= least) & (4 * F.col("hia") >= 3 * F.col("lob")) & (4 * F.col("hib") >= 3 * F.col("loa")))
         .select("ka", "kb", "odd")
     )
@@ -336,40 +395,47 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `df`: the key, `n_shingles`, and `component_id`."""
     texts = df.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
     sets = materialize(
-        texts.mapInArrow(_described, "d long, n long, h1 long, h2 long, spare0 long, spare1 long"), "jaccard-sets"
+        texts.mapInArrow(_described, "d long, n long, h1 long, h2 long, spare0 long, spare1 long, sketch array<long>"), "jaccard-sets"
     )
     # exact copies: the smallest key stands for all
     copies = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("d").alias("c"), F.count("*").alias("m")).filter("m > 1")
     classes = materialize(
         sets.join(copies.drop("m"), ["h1", "h2", "n"], "left").select(
-            "d", "n", "spare0", "spare1", F.when(F.col("n") > 0, F.coalesce("c", "d")).alias("c")
+            "d", "n", "spare0", "spare1", "sketch", F.when(F.col("n") > 0, F.coalesce("c", "d")).alias("c")
         ),
         "jaccard-classes",
     )
     release(sets)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(total // PAIRS_PER_PARTITION) + 1
-    carried = (
-        texts.filter("d is not null")
-        .mapInArrow(lambda batches: _packed(batches, 16 * parts), "bucket int, low long, width int, sign binary, doc binary")
-        .repartition(parts, "bucket")
-        .mapInArrow(_shared, "g long, d long")
+    own_class = classes.filter("d = c").drop("d")
+    # of rows that repeat a key, one is compared
+    if own_class.groupBy("c").agg(F.count("*").alias("m")).filter("m > 1").limit(1).count():
+        own_class, texts = own_class.dropDuplicates(["c"]), texts.dropDuplicates(["d"])
+
+    # first round: near copies
+    first = _first_pairs(own_class)
+    links = linked(first, texts, "jaccard-links")
+    found = components(links, "jaccard-components")
+    named = own_class.select(F.col("c").alias("d"), "n", "spare0", "spare1").join(
+        found.select(F.col("c").alias("d"), "component"), "d", "left"
     )
-    names = classes.filter("d is not null and c is not null").dropDuplicates(["d"])
+    named = materialize(named.withColumn("k", F.coalesce("component", "d")).drop("component"), "jaccard-named")
+
+    # second round: pairs that share a signature and are not connected yet
     members = materialize(
-        carried.join(names, "d").groupBy("g", "c").agg(*(F.max(x).alias(x) for x in ("n", "spare0", "spare1"))), "jaccard-carried"
+        texts.join(small_side(named.select("d", "k")), "d")
+        .mapInArrow(lambda batches: _packed(batches, 16 * parts), "bucket int, low long, width int, far int, sign binary, doc binary, back binary")
+        .repartition(parts, "bucket")
+        .mapInArrow(_shared, "g long, c long, k long, m long"),
+        "jaccard-members",
     )
-    counts = members.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-    # of rows that repeat a key, one text is compared
-    repeated = classes.filter("d is not null").groupBy("d").agg(F.count("*").alias("m")).filter("m > 1").limit(1).count()
-    if repeated:
-        texts = texts.dropDuplicates(["d"])
     odd = F.col("g").bitwiseAND(F.lit(1))
     own = Window.partitionBy("c", "odd")
     spare = F.when(F.col("odd") == 1, F.col("spare1")).otherwise(F.col("spare0"))
     # signatures that a set shares at least with each partner, its hot ones left aside
     described = (
-        members.join(counts, "g")
+        members.join(named.drop("k").withColumnRenamed("d", "c"), "c")
         .withColumn("odd", odd)
         .withColumn("hot", F.sum((F.col("m") > HOT).cast("int")).over(own))
         .withColumn("spare", spare)
@@ -377,41 +443,12 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         .withColumn("whole", (F.col("hot") == 0) | (F.col("hot") >= F.col("spare")))  # keeps all its signatures
         .filter((F.col("m") <= HOT) | F.col("whole"))
     )
-    supported = materialize(_supported(described.select("g", "c", "n", "odd", "need", "spare", "hot", "whole")), "jaccard-supported")
+    supported = materialize(_supported(described.select("g", "c", "k", "m", "n", "odd", "need", "spare", "hot", "whole")), "jaccard-supported")
     release(members)
-    again = materialize(_supported(_not_alone(supported)), "jaccard-supported")
+    again = materialize(_supported(_open(supported)), "jaccard-supported")
     release(supported)
-    kept = materialize(_not_alone(again), "jaccard-kept")
+    unsettled = materialize(_open(again), "jaccard-unsettled")
     release(again)
-
-    # first round: each set against the one that is most connected in most of its signatures
-    weight = kept.join(kept.groupBy("g").agg(F.count("*").alias("m")), "g")
-    central = weight.groupBy("c").agg(F.sum("m").alias("w"))
-    ranked = materialize(kept.join(central, "c"), "jaccard-ranked")
-    release(kept)
-    stars = ranked.groupBy("g").agg(F.max(F.struct("w", "c", "n")).alias("top"))
-    near = lambda x, y: (4 * F.least(x, y) >= 3 * F.greatest(x, y))
-    first = materialize(
-        ranked.join(stars, "g")
-        .filter((F.col("c") != F.col("top.c")) & near(F.col("n"), F.col("top.n")))
-        .groupBy(F.col("c").alias("b"), F.col("top.c").alias("a"))
-        .agg(F.count("*").alias("have"), F.max("top.w").alias("w"))
-        .groupBy("b")
-        .agg(F.max(F.struct("have", "w", "a")).alias("best"))
-        .select(F.col("best.a").alias("a"), "b"),
-        "jaccard-first",
-    )
-    links = linked(first, texts, "jaccard-links")
-    found = components(links, "jaccard-components")
-
-    # second round: pairs that share a signature and are not connected yet
-    placed = materialize(
-        ranked.drop("w").join(found, "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"), "jaccard-placed"
-    )
-    release(ranked)
-    open_groups = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("g")
-    unsettled = materialize(placed.join(open_groups, "g"), "jaccard-unsettled")
-    release(placed)
     apart = materialize(_components_apart(unsettled), "jaccard-apart")
     sides = unsettled.select("g", "odd", "c", "n", "k", "spare", "hot", "whole")
     x, y = (sides.toDF("g", "odd", e, f"n{e}", f"k{e}", f"spare{e}", f"hot{e}", f"whole{e}") for e in "ab")
@@ -421,7 +458,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rest = (
         x.join(small_side(apart), ["ka", "odd"])
         .join(y, ["g", "odd", "kb"])
-        .filter(near(F.col("na"), F.col("nb")))
+        .filter(_near(F.col("na"), F.col("nb")))
         .groupBy("a", "b", "odd")
         .agg(F.count("*").alias("have"), F.max(need).alias("need"))
         .filter("have >= need")
@@ -430,7 +467,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(rest.join(done, ["a", "b"], "left_anti"), "jaccard-second")
-    release(unsettled, first, apart)
+    release(unsettled, first, apart, named)
     more = linked(second, texts, "jaccard-more")
     whole = components(links.union(more), "jaccard-whole")
     out = classes.join(whole, "c", "left").select(
