@@ -116,6 +116,22 @@ ORACLES: dict[str, str] = {
                case when payload_bytes >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 1000 and page_id < last then last end as refers_to
         from g""",
+    "op8_quality": r"""
+        with t as (select row_number() over () as r, doc_id, coalesce(text, '') as body from documents),
+        s as (select r, doc_id, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') as words,
+                     list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+        windows as (select r, unnest(range(1, len(words) - 1)) as p, words from s),
+        twice as (select r, p, count(*) over (partition by r, words[p], words[p + 1], words[p + 2]) as n from windows),
+        covered as (select r, count(distinct place) as n from (select r, unnest([p, p + 1, p + 2]) as place from twice where n > 1) group by r),
+        c as (select doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
+                     (length(body) - length(translate(body, '#*$%&|<>', '')))::bigint as n_symbols,
+                     (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words,
+                     len(lines) as n_lines, len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) as n_letters
+              from s left join covered using (r)),
+        f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not (base_failed or word_chars > 14 * n_words or word_chars < 3 * n_words or 100 * n_symbols > 10 * n_words
+                    or 100 * n_dup_lines > 50 * n_lines or 100 * n_letters < 70 * n_words) as kept from f""",
     "op11_negatives": """
         with e as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as l,
                           list_transform(embedding, lambda x: floor(256 * x::double)) as v

@@ -21,7 +21,7 @@ from corpusmill.llm.queries import ORACLES, QUERIES
 MODEL = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
 
 
-@pytest.mark.parametrize("name", ["op11_negatives", "op12_prefix_trie"])
+@pytest.mark.parametrize("name", ["op8_quality", "op11_negatives", "op12_prefix_trie"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     assert oracle.difference(spark, oracle.connect(sf_dir), sf_dir, QUERIES[name], ORACLES[name]) is None
 
