@@ -201,6 +201,23 @@ def test_prior_modes():
         topics.word_concentration("auto", 4)
 
 
+def test_tasks_of_an_update_do_not_grow_with_the_documents(planted):
+    stage = topics.fit_vectorizer(planted, settings=PLANTED)
+    assert topics.features(planted, stage, 400).rdd.getNumPartitions() == 8
+    assert topics.features(planted, stage, 256_410).rdd.getNumPartitions() == 8
+    assert topics.features(planted, stage, 2_000_001).rdd.getNumPartitions() == 11
+
+
+def test_models_fitted_together_equal_those_fitted_alone(spark, planted):
+    short = PLANTED.with_(passes=5)
+    together = topics.train_priors(planted, 4, ["asymmetric", "auto"], short)
+    for model, alpha in zip(together, ("asymmetric", "auto"), strict=True):
+        alone = topics.train(planted, 4, short, alpha=alpha, with_coherence=False)
+        assert model.metadata.prior == alpha and model.metadata.alpha == pytest.approx(alone.metadata.alpha)
+        got, want = ({(r[0], r[1]): r[2] for r in m.phi(spark).collect()} for m in (model, alone))
+        assert got == pytest.approx(want)
+
+
 def test_given_concentrations_are_in_the_metadata(spark, planted):
     fitted = topics.train(planted, 2, PLANTED.with_(passes=2), alpha=[0.2, 0.7], eta=0.3, with_coherence=False)
     assert fitted.metadata.alpha == pytest.approx([0.2, 0.7]) and fitted.metadata.eta == 0.3
