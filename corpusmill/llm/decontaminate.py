@@ -3,8 +3,8 @@
 Features are the benchmark's words (letters and digits, lower case); their document
 frequencies are counted over all documents. Passages are windows of WINDOW words,
 STRIDE apart, of items and of documents. A randomised SVD of the TF-IDF passages
-(all item windows and those of at most about FIT_DOCUMENTS documents, spread over
-tasks that multiply their part of the matrix) gives RANK latent directions. Every
+(all windows of all items and of all documents; tasks multiply their part of the matrix)
+gives RANK latent directions. Every
 passage of every document where enough content words of one item stand together is
 projected, and its cosine with all item windows gives candidates. For each candidate the longest
 common subsequence of the item and the surrounding words decides: COPY of the item's
@@ -29,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.llm.common import chunks, span_hashes, text_buffer, unused
-from corpusmill.runtime import materialize, small_side
+from corpusmill.runtime import materialize, release, small_side
 
 WINDOW, STRIDE = 24, 8
 RANK, OVERSAMPLE, POWER = 48, 16, 2
-FIT_DOCUMENTS = 2_000
 #: Words in at most this share of the items (or two of them) are content words. A passage is projected
 #: where this share of an item's content words per window, within the bounds, stand in one window's length.
 CONTENT_SHARE, HIT_SHARE, LEAST_HITS, MOST_HITS = 0.02, 0.3, 2, 6
@@ -184,9 +183,13 @@ def _block(ids: list, texts: list[str]) -> Queries:
     return Queries(np.array(ids), items, places, tuple(answers), share, features, none, holders, need, none, none, none)
 
 
-def _frequencies(docs: DataFrame, q: Queries, rate: int) -> tuple[DataFrame, np.ndarray]:
-    """One pass: document frequencies of the features, and the sampled documents' passages as features with counts."""
+def _stored(docs: DataFrame, q: Queries) -> tuple[DataFrame, np.ndarray]:
+    """One pass over all documents: their words as numbers of features, stored, and the document frequencies.
+
+    A number is 2 or 4 bytes; the number of features stands for all other words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(q.features)
+    kind = _number_type(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = shared.value
@@ -197,77 +200,155 @@ def _frequencies(docs: DataFrame, q: Queries, rate: int) -> tuple[DataFrame, np.
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             pair = np.unique(row[f >= 0] * (1 << 32) + f[f >= 0])
             total += np.bincount(pair & ((1 << 32) - 1), minlength=len(features))
-            chosen = batch.column("chosen").to_numpy(zero_copy_only=False)
-            owner, first, last = _document_windows(offsets)
-            mine = chosen[owner]
-            window, feature, count = _tf(f, first[mine], last[mine])
-            if len(window):
-                begin = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-                lists = pa.array(np.append(begin, len(window)).astype(np.int32))
-                rows = [pa.ListArray.from_arrays(lists, pa.array(x.astype(np.int32))) for x in (feature, count)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.int64()), *rows], names=["f", "n", "features", "counts"]
-                )
+            numbers = np.where(f >= 0, f, len(features)).astype(kind)
+            lists = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int64) * kind.itemsize), pa.py_buffer(numbers)]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.int64()), lists.cast(pa.binary())], names=["f", "n", "numbers"]
+            )
         some = np.flatnonzero(total)
-        ints = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array(total[some]), pa.nulls(len(some), ints), pa.nulls(len(some), ints)],
-            names=["f", "n", "features", "counts"],
+            [pa.array(some.astype(np.int32)), pa.array(total[some]), pa.nulls(len(some), pa.binary())], names=["f", "n", "numbers"]
         )
 
-    chosen = F.pmod(F.xxhash64("d"), F.lit(1 << 20)) < rate
-    out = materialize(
-        docs.select("t", F.coalesce(chosen, F.lit(False)).alias("chosen")).mapInArrow(run, "f int, n long, features array<int>, counts array<int>"),
-        "benchmark-passages",
-    )
+    out = materialize(docs.select("t").mapInArrow(run, "f int, n long, numbers binary"), "benchmark-passages")
     df = np.zeros(len(q.features), dtype=np.int64)
     for r in out.filter("f is not null").groupBy("f").agg(F.sum("n")).collect():  # at most one row per feature
         df[r[0]] = r[1]
-    return out.filter("f is null").select("features", "counts"), df
+    return out, df
+
+
+def _number_type(q: Queries) -> np.dtype:
+    return np.dtype(np.uint16 if len(q.features) < 1 << 16 else np.int32)
 
 
-def _basis(passages: DataFrame, q: Queries) -> np.ndarray:
-    """Latent directions by a randomised range finder with power steps; each step is one distributed product."""
+def _twice(idf: np.ndarray, f: np.ndarray, offsets: np.ndarray, side: np.ndarray, out: np.ndarray) -> None:
+    """Adds the transposed matrix times the matrix times `side` to `out`, for all windows of the rows with features `f`.
+
+    `side` has a row per feature and one of zeros for other words. The matrix holds TF-IDF, each window
+    of unit length; windows share blocks of STRIDE words, so sums are taken by block, and words that a window has
+    more than once are set right after.
+    """
+    row, first, last = _document_windows(offsets)
+    most = len(idf)
+    weight = np.append(idf, 0.0)
+    scaled = (weight[:, None] * side).astype(np.float32)
+    for at in range(0, len(row), 8192):
+        own = row[at : at + 8192]
+        begin, end = first[at : at + 8192], last[at : at + 8192]
+        # the blocks of the slice: up to three of a window, which the next window of the row shares
+        n = -(-(end - begin) // STRIDE)
+        fresh = np.append(True, own[1:] != own[:-1])
+        count = np.where(np.append(fresh[1:], True), n, 1)  # the last window of a row brings all of its blocks
+        block = np.cumsum(count) - count
+        blocks = int(count.sum())
+        start = np.repeat(begin - block * STRIDE, count) + np.arange(blocks) * STRIDE
+        place = start[:, None] + np.arange(STRIDE)
+        stop = np.repeat(end, count)[:, None]
+        p = np.full((blocks + 2, STRIDE), most)
+        p[:blocks] = np.where(place < stop, f[np.minimum(place, len(f) - 1)], most)
+        none = blocks + 1
+        at_block = [block, np.where(n > 1, block + 1, none), np.where(n > 2, block + 2, none)]
+
+        w = np.sort(np.concatenate([p[b] for b in at_block], axis=1), axis=1)
+        same = np.flatnonzero((w[:, 1:] == w[:, :-1]) & (w[:, 1:] < most))
+        width = w.shape[1] - 1
+        opens = np.flatnonzero(np.append(True, (np.diff(same) != 1) | (same[1:] % width == 0))) if len(same) else same
+        window, feature = same[opens] // width, w[same[opens] // width, same[opens] % width]
+        times = np.diff(np.append(opens, len(same))) + 1
+        more = 1 + np.log(times) - times
+
+        square = (weight * weight)[p].sum(axis=1)
+        norm = sum(square[b] for b in at_block)
+        norm += np.bincount(window, ((1 + np.log(times)) ** 2 - times) * idf[feature] ** 2, len(own))
+        sums = np.zeros((blocks + 2, side.shape[1]), dtype=np.float32)
+        rows = np.empty_like(sums)
+        for j in range(STRIDE):
+            sums += np.take(scaled, p[:, j], axis=0, out=rows, mode="clip")
+        y = sums[at_block[0]] + sums[at_block[1]] + sums[at_block[2]]
+        if len(window):
+            fresh = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+            y[window[fresh]] += np.add.reduceat(more[:, None].astype(np.float32) * scaled[feature], fresh, axis=0)
+        y /= np.maximum(norm, 1e-24)[:, None].astype(np.float32)
+
+        back = np.zeros((blocks + 2, side.shape[1]), dtype=np.float32)
+        for b, used in zip(at_block, (n > 0, n > 1, n > 2)):
+            back[b[used]] += y[used]
+        # one sum by feature, of the rows of its blocks and of what repeats in a window adds
+        rows = np.concatenate([back[:blocks], y[window] * more[:, None].astype(np.float32)])
+        number = np.concatenate([p[:blocks].ravel(), feature]).astype(f.dtype)  # short numbers are sorted by their digits
+        source = np.concatenate([np.repeat(np.arange(blocks), STRIDE), blocks + np.arange(len(feature))])
+        order = np.argsort(number, kind="stable")
+        order = order[: np.searchsorted(number[order], most)]
+        if len(order):
+            number, source = number[order], source[order]
+            fresh = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+            total = np.empty((side.shape[1], len(fresh)))
+            for j, column in enumerate(np.ascontiguousarray(rows.T)):  # sums along a short column, not across wide rows
+                total[j] = np.add.reduceat(column.take(source, mode="clip"), fresh)
+            out[number[fresh]] += total.T
+
+
+#: Features whose rows of a product travel together.
+FEATURE_ROWS = 1024
+
+
+def _basis(stored: DataFrame, q: Queries) -> np.ndarray:
+    """Latent directions by a randomised range finder with power steps; each step is one product over all passages."""
     wide = min(RANK + OVERSAMPLE, len(q.features))
-    item = _item_tf(q)
-    spark = passages.sparkSession
+    spark = stored.sparkSession
+    kind = _number_type(q)
+    idf = q.idf
+    n = np.array([len(i) for i in q.items])
+    flat = _lookup(q.features, np.concatenate([*q.items, np.zeros(0, np.uint64)]))
+    rows = stored.filter("numbers is not null").select("numbers")
 
     def product(side: np.ndarray) -> np.ndarray:
         """Transposed matrix times matrix times `side`, summed over the tasks' parts and the item windows."""
-        shared = spark.sparkContext.broadcast((q, side))
+        padded = np.concatenate([side, np.zeros((1, side.shape[1]))])
+        shared = spark.sparkContext.broadcast((idf, padded))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, s = shared.value
-            out = np.zeros(s.shape)
+            out = np.zeros((len(own), s.shape[1]))
             for b in batches:
-                n = b.column("features").value_lengths().to_numpy()
-                window = np.repeat(np.arange(b.num_rows), n)
-                feature, count = (b.column(c).flatten().to_numpy() for c in ("features", "counts"))
-                out += _twice(own, window, feature, count, b.num_rows, s)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([out.tobytes()], pa.binary())})
-
-        # the sample is bounded, so it needs few tasks; each returns one matrix of bounded size
-        parts = passages.coalesce(4).mapInArrow(run, "part binary").toLocalIterator()
-        total = _twice(q, *item, len(q.owner), side)
-        for r in parts:
-            total += np.frombuffer(r[0]).reshape(side.shape)
-        return total
+                raw, offsets = text_buffer(b.column("numbers"))
+                _twice(own, raw.view(kind), offsets // kind.itemsize, s, out)
+            for g in range(0, len(out), FEATURE_ROWS):
+                yield pa.RecordBatch.from_pydict(
+                    {"g": pa.array([g], pa.int32()), "part": pa.array([out[g : g + FEATURE_ROWS].tobytes()], pa.binary())}
+                )
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for g, part in zip(b.column("g").to_pylist(), b.column("part")):
+                    values = np.frombuffer(part.as_buffer())
+                    sums[g] = sums[g] + values if g in sums else values
+            yield pa.RecordBatch.from_pydict(
+                {"g": pa.array(list(sums), pa.int32()), "part": pa.array([v.tobytes() for v in sums.values()], pa.binary())}
+            )
+
+        # a task returns a matrix of bounded size, and there are as many as cores can work at
+        parts = rows.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, "g int, part binary")
+        total = np.zeros(side.shape)
+        _twice(idf, np.where(flat >= 0, flat, len(idf)), np.concatenate([[0], np.cumsum(n)]), padded, total)
+        for g, part in parts.repartition("g").mapInArrow(add, "g int, part binary").collect():  # one matrix
+            total[g : g + FEATURE_ROWS] += np.frombuffer(part).reshape(-1, side.shape[1])
+        shared.destroy()
+        return total * idf[:, None]
 
     side = np.random.default_rng(5).standard_normal((len(q.features), wide))
     for _ in range(POWER):
-        side, _ = np.linalg.qr(product(side))
-    small = side.T @ product(side)
+        side, _ = np.linalg.qr(side)
+        start, side = side, product(side)
+    # the product of the last step serves twice: its range holds the directions, and with its start it gives their order
+    small = start.T @ side
     value, vector = np.linalg.eigh((small + small.T) / 2)
-    return side @ vector[:, np.argsort(-value)[:RANK]]
-
-
-def _twice(q: Queries, window: np.ndarray, feature: np.ndarray, count: np.ndarray, n: int, side: np.ndarray) -> np.ndarray:
-    y = _matrix(q, window, feature, count, n, side)
-    value = (1 + np.log(count)) * q.idf[feature]
-    norm = np.sqrt(np.bincount(window, value * value, n))
-    out = np.zeros(side.shape)
-    np.add.at(out, feature, (value / np.maximum(norm[window], 1e-12))[:, None] * y[window])
-    return out
+    kept = value > 1e-9 * max(value[-1], 1e-300)
+    left, _, _ = np.linalg.svd(side @ (vector[:, kept] / np.sqrt(value[kept])), full_matrices=False)
+    return left[:, :RANK]
 
 
 def _item_tf(q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,12 +365,13 @@ def fit(docs: DataFrame, ids: list, texts: list[str]) -> Queries | None:
     if not len(q.features):
         return None
     n = docs.count()
-    passages, df = _frequencies(docs, q, min(1 << 20, (FIT_DOCUMENTS << 20) // max(n, 1)))
+    stored, df = _stored(docs, q)
     idf = np.log((1 + n) / (1 + df)) + 1
     lengths = np.array([len(i) for i in q.items])
     owner, _, _ = _document_windows(np.concatenate([[0], np.cumsum(lengths)]))
     q = replace(q, idf=idf, owner=owner)
-    basis = _basis(passages, q)
+    basis = _basis(stored, q)
+    release(stored)
     q = replace(q, basis=basis)
     latent = _matrix(q, *_item_tf(q), len(owner), basis)
     return replace(q, latent=latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12))

@@ -136,6 +136,25 @@ def test_nothing_to_search(spark, empty, odd):
     assert decontaminate.search(empty, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
 
 
+def test_latent_directions_come_from_all_passages(spark):
+    """Eigenvectors of the TF-IDF matrix of every window of every document, words with repeats included."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(50)]
+    weights = [1 / (i + 1) for i in range(50)]
+    texts = [" ".join(rng.choices([*vocabulary, "other"], [*weights, 1], k=rng.randint(0, 60))) for _ in range(6000)]
+    items = [" ".join(vocabulary[i : i + 10]) for i in range(0, 50, 10)]
+    q = decontaminate.fit(spark.createDataFrame(list(enumerate(texts)), "d long, t string"), list(range(5)), items)
+    h, offsets = decontaminate.words(pa.array([*texts, *items]))
+    _, first, last = decontaminate._document_windows(offsets)
+    window, feature, count = decontaminate._tf(decontaminate._lookup(q.features, h), first, last)
+    matrix = np.zeros((len(first), len(q.features)))
+    matrix[window, feature] = (1 + np.log(count)) * q.idf[feature]
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    gram = matrix.T @ matrix
+    value = np.einsum("ij,ij->j", q.basis, gram @ q.basis)
+    assert np.abs(gram @ q.basis - q.basis * value).max() < 1e-4 * value[0]
+
+
 def test_all_verbatim_items_are_found(spark, sf_dir):
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     texts = {r.doc_id: plain(r.text or "") for r in common.table(spark, sf_dir, "documents").collect()}
