@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmill import runtime
 from corpusmill.runtime import materialize, spread_join
 
 DELIMITER = "_"
 #: Bytes of phrases that a scan of the documents carries; more phrases take more scans.
 SCAN_BYTES = 32 << 20
+#: Numbered pairs that a task counts before it passes them on, and those that a task sums after the shuffle.
+TASK_PAIRS, SUM_PAIRS = 1 << 22, 1 << 22
 
 
 def adjacent_pairs(tokens: Column) -> Column:
@@ -42,15 +46,19 @@ def count_singles(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("w1").agg(F.sum("n").alias("n"))
 
 
-def score_pairs(pairs: DataFrame, singles: DataFrame, min_count: int = 20) -> DataFrame:
+def score_pairs(
+    pairs: DataFrame, singles: DataFrame, min_count: int = 20, n_pairs: Column | None = None
+) -> DataFrame:
     """Score every pair that occurs more than `min_count` times.
 
     score = (n_ab - min_count) / n_a / n_b * L, where L is the number of distinct
     tokens plus distinct pairs. Both inputs should be stored tables. Rarer pairs
     score zero or less, so they, and tokens too rare to be part of a scored pair,
-    are left out before the joins.
+    are left out before the joins. `n_pairs` is the number of distinct pairs where
+    `pairs` does not have them all.
     """
-    n_pairs = pairs.where("w2 is not null").agg(F.count(F.lit(1))).scalar()
+    if n_pairs is None:
+        n_pairs = pairs.where("w2 is not null").agg(F.count(F.lit(1))).scalar()
     n_singles = singles.agg(F.count(F.lit(1))).scalar()
     often = singles.where(F.col("n") > min_count)
     left = often.select("w1", F.col("n").alias("n1"))
@@ -66,12 +74,91 @@ def fit_phrases(
     docs: DataFrame, column: str = "tokens", min_count: int = 20, threshold: float = 10.0
 ) -> DataFrame:
     """Stored phrase table (w1, w2, n, score): pairs that score above the threshold."""
-    pairs = materialize(count_pairs(docs, column), "pairs")
-    singles = materialize(count_singles(pairs), "singles")
-    scored = score_pairs(pairs, singles, min_count)
+    words = docs.select(F.explode(column).alias("w1")).groupBy("w1").agg(F.count(F.lit(1)).alias("n"))
+    singles = materialize(words, "singles")
+    pairs, n_pairs = _frequent_pairs(docs, singles, column, min_count)
+    scored = score_pairs(pairs, singles, min_count, F.lit(n_pairs))
     return materialize(scored.where(F.col("score") > threshold), "phrases")
 
 
+def _frequent_pairs(docs: DataFrame, singles: DataFrame, column: str, min_count: int) -> tuple[DataFrame, int]:
+    """Stored pairs that occur more than `min_count` times, and the number of all distinct pairs.
+
+    Both words of such a pair occur as often. Pairs of words that do (the BROADCAST_ROWS most
+    frequent of them) are shuffled as one number; those with another word as two strings. Pairs that occur less often are
+    only counted, where they were summed.
+    """
+    spark = docs.sparkSession
+    often = singles.where((F.col("n") > min_count) & F.col("w1").isNotNull())
+    listed = often.orderBy(F.desc("n"), "w1").limit(runtime.BROADCAST_ROWS).select("w1").toArrow()
+    shared = spark.sparkContext.broadcast(pa.array(listed.column("w1").to_pylist(), pa.string()))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            _, first, second = _neighbours(batch.column(0), shared.value)
+            both = (first >= 0) & (second >= 0)
+            held.append(first[both] << 32 | second[both])
+            size += len(held[-1])
+            if size >= TASK_PAIRS:
+                yield from _counted(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield from _counted(np.concatenate(held))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, first, second = _neighbours(batch.column(0), shared.value)
+            at = at[(first < 0) | (second < 0)]
+            flat = batch.column(0).flatten()
+            yield pa.RecordBatch.from_arrays([flat.take(pa.array(at)), flat.take(pa.array(at + 1))], names=["w1", "w2"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            words = [shared.value.take(pa.array(x)) for x in (k >> 32, k & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([*words, batch.column(1)], names=["w1", "w2", "n"])
+
+    tokens = docs.select(column)
+    # the rows come combined from the tasks, so they are only combined again after the shuffle
+    total = singles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(math.ceil(total / SUM_PAIRS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    codes = tokens.mapInArrow(numbered, "k long, n long").repartition(parts, "k").groupBy("k").agg(F.sum("n").alias("n"))
+    plain = tokens.mapInArrow(others, "w1 string, w2 string").where("w2 is not null").groupBy("w1", "w2")
+    plain = plain.agg(F.count(F.lit(1)).alias("n"))
+    codes, plain = (
+        materialize(_folded(codes, F.col("n") > min_count, ["k"]), "pairs"),
+        materialize(_folded(plain, (F.col("n") > min_count) & F.col("w1").isNotNull(), ["w1", "w2"]), "pairs"),
+    )
+    n_pairs = sum(t.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] for t in (codes, plain))
+    found = codes.where("n is not null").select("k", "n").mapInArrow(spelled, "w1 string, w2 string, n long")
+    return materialize(found.unionByName(plain.where("n is not null").drop("pairs")), "frequent-pairs"), n_pairs
+
+
+def _folded(counts: DataFrame, keep: Column, keys: list[str]) -> DataFrame:
+    """Rows to keep, and one row of nulls for all others, with the number of rows each stands for in `pairs`."""
+    rows = counts.select(*[F.when(keep, F.col(c)).alias(c) for c in (*keys, "n")])
+    return rows.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _neighbours(tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the flat tokens that have a follower in their row, and the numbers of both tokens among `words` or -1."""
+    flat = tokens.flatten()
+    code = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    inside = np.ones(len(flat), dtype=bool)
+    inside[np.cumsum(sizes)[sizes > 0] - 1] = False
+    at = np.flatnonzero(inside)
+    return at, code[at], code[at + 1]
+
+
+def _counted(codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    k, n = np.unique(codes, return_counts=True)
+    for begin in range(0, len(k), 1 << 18):
+        own = slice(begin, begin + (1 << 18))
+        yield pa.RecordBatch.from_arrays([pa.array(k[own]), pa.array(n[own].astype(np.int64))], names=["k", "n"])
+
+
 # -- merging, inside the row ----------------------------------------------------
 
 

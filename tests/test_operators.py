@@ -422,3 +422,22 @@ def test_distances_of_a_hundred_topics(spark):
 def test_column_types_counts_values(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, `b.c` string")
     assert [tuple(r) for r in profile.column_types(df).collect()] == [(0, "a", "int", 2), (1, "b.c", "string", 1)]
+
+
+@pytest.mark.parametrize("numbered", [0, 5, 500_000])
+def test_rare_pairs_are_counted_but_not_stored(spark, monkeypatch, numbered):
+    """The phrases are those of all pairs, null tokens and null lists included, however many words are numbered."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    lists = [rng.choices([*words, None], [*[1 / (i + 1) for i in range(200)], 0.05], k=rng.randint(0, 60)) for _ in range(400)]
+    docs = docs_of(spark, lists).unionByName(spark.createDataFrame([(-1, None)], "doc_id long, tokens array<string>"))
+    pairs = materialize(phrases.count_pairs(docs), "test")
+    singles = materialize(phrases.count_singles(pairs), "test")
+    want = sorted(map(tuple, phrases.score_pairs(pairs, singles, 3).where("score > 0.5").collect()))
+    stored = []
+    monkeypatch.setattr(phrases, "materialize", lambda df, label: stored.append(materialize(df, label)) or stored[-1])
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", numbered)
+    assert sorted(map(tuple, phrases.fit_phrases(docs, min_count=3, threshold=0.5).collect())) == want and len(want) > 20
+    frequent = pairs.where("n > 3 and w1 is not null and w2 is not null").count()
+    assert pairs.count() > 2 * frequent
+    assert max(t.count() for t in stored) <= max(frequent + 1, singles.count())
