@@ -16,6 +16,8 @@ from corpusmill.runtime import materialize, spread_join
 DELIMITER = "_"
 #: Bytes of phrases that a scan of the documents carries; more phrases take more scans.
 SCAN_BYTES = 32 << 20
+#: Tokens that a task merges at a time.
+SLICE_TOKENS = 1 << 18
 #: Numbered pairs that a task counts before it passes them on, and those that a task sums after the shuffle.
 TASK_PAIRS, SUM_PAIRS = 1 << 22, 1 << 22
 
@@ -222,6 +224,18 @@ def _flat(lists: pa.Array, tokens: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, per_row)
 
 
+def _by_rows(tokens: pa.Array, work: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """`work` on rows with about SLICE_TOKENS tokens at a time, which bounds its memory; a longer row is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    out, row = [], 0
+    while row < len(tokens):
+        before = ends[row - 1] if row else 0
+        stop = max(int(np.searchsorted(ends, before + SLICE_TOKENS, "right")), row + 1)
+        out.append(work(tokens.slice(row, stop - row)))
+        row = stop
+    return pa.concat_arrays(out) if out else work(tokens)
+
+
 def _slices(phrases: DataFrame) -> int:
     """Number of slices of a stored phrase table that are small enough to go along with a scan."""
     size = F.octet_length("w1") + F.octet_length("w2") + 24
@@ -252,7 +266,7 @@ def _scan(docs: DataFrame, phrases: DataFrame, column: str, finish: Callable[[pa
 
         @F.arrow_udf(kind)
         def whole(tokens: pa.Array) -> pa.Array:
-            return finish(tokens, _taken(find(tokens)))
+            return _by_rows(tokens, lambda some: finish(some, _taken(find(some))))
 
         return docs.withColumn(output, whole(column))
     held = "_hits"

@@ -5,6 +5,8 @@ import random
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -441,3 +443,18 @@ def test_rare_pairs_are_counted_but_not_stored(spark, monkeypatch, numbered):
     frequent = pairs.where("n > 3 and w1 is not null and w2 is not null").count()
     assert pairs.count() > 2 * frequent
     assert max(t.count() for t in stored) <= max(frequent + 1, singles.count())
+
+
+def test_merging_takes_rows_in_slices(monkeypatch):
+    """Memory does not follow the rows of a batch; null, empty and long rows come back."""
+    monkeypatch.setattr(phrases, "SLICE_TOKENS", 10)
+    rows = [["a"] * 4, None, ["b"] * 25, [], *[["c", "d"]] * 20]
+    seen = []
+
+    def work(tokens):
+        seen.append(len(tokens.flatten()))
+        return phrases._merged(tokens, np.zeros(0, np.int64))
+
+    assert phrases._by_rows(pa.array(rows, pa.list_(pa.string())), work).to_pylist() == rows
+    assert sorted(seen)[-1] == 25 and sorted(seen)[-2] <= 10
+    assert phrases._by_rows(pa.array([], pa.list_(pa.string())), work).to_pylist() == []
