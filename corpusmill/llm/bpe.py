@@ -36,7 +36,7 @@ _SPACE = r"\t-\r\x20\x85\xa0" + "".join(
     map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
 PIECES_PER_QUERY = 50_000
-TOKENS_PER_BATCH = 1 << 20
+TOKENS_PER_BATCH = 1 << 18
 #: Pieces above this size are encoded in blocks of it, which overlap by a quarter.
 LONG_PIECE = 256
 OVERLAP = LONG_PIECE // 4
@@ -225,7 +225,9 @@ def encode(
             pool, start, length = encode_distinct(con, vocabulary.value, values.dictionary.cast(pa.binary()))
             codes = values.indices.to_numpy()
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-            tokens = np.concatenate([[0], np.cumsum(length[codes])])[ends]
+            tokens = np.zeros(len(codes) + 1, np.int64)
+            np.cumsum(length[codes], out=tokens[1:])
+            tokens = tokens[ends]
             row = 0
             while row < batch.num_rows:  # slices of bounded size; a longer text is one of its own
                 stop = max(int(np.searchsorted(tokens, tokens[row] + TOKENS_PER_BATCH, "right")) - 1, row + 1)
@@ -238,6 +240,8 @@ def encode(
                 kept = batch.slice(row, stop - row)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in carry), ids], names=[*carry, out])
                 row = stop
+        if con:
+            con.close()  # the worker lives on
 
     return df.select(*carry, pieces(F.col(text), pattern).alias(split)).mapInArrow(run, schema)
 
@@ -261,6 +265,8 @@ def decode(df: DataFrame, vocabulary: Broadcast, ids: str = "ids", out: str = "d
                     [*(batch.column(c) for c in kept), _decode(con, batch.column(ids), sizes[row:stop])], names=[*kept, out]
                 )
                 row = stop
+        if con:
+            con.close()
 
     return df.mapInArrow(run, schema)
 
