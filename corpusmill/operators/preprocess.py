@@ -93,10 +93,14 @@ class Preprocessor:
         return found
 
     def tokenize(self, df: DataFrame, column: str = "text", output: str = "tokens") -> DataFrame:
-        """Add raw tokens and keep documents of sufficient length, counted here."""
-        return df.withColumn(output, self.tokens(column)).where(
-            F.size(output) >= self.settings.min_doc_length
-        )
+        """Add raw tokens and keep documents of sufficient length, counted here.
+
+        The rows come from a generator: a filter on the size would be moved below the tokens
+        and make them a second time.
+        """
+        least = self.settings.min_doc_length
+        kept = F.filter(F.array(self.tokens(column)), lambda found: F.size(found) >= least)
+        return df.withColumn(output, F.explode(kept))
 
     def fit(self, docs: DataFrame, column: str = "tokens") -> "Preprocessor":
         """Learn phrases from tokenised documents."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -38,13 +40,23 @@ def _runs(ordered: Column) -> Column:
     return let(starts, pair_up)
 
 
+def occurrences(docs: DataFrame, column: str = "tokens", keep: Sequence[str] = ()) -> DataFrame:
+    """(*keep, term, df, n): a row with n = 1 per token, and one with df = 1 per distinct term of a document.
+
+    Their sums per term are its document frequency and its occurrences. Nothing is sorted inside
+    the row, and every row goes to the map-side sums as it is made.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    parts = F.array(
+        F.struct(none.alias("df"), one.alias("n"), F.col(column).alias("_terms")),
+        F.struct(one.alias("df"), none.alias("n"), F.array_distinct(column).alias("_terms")),
+    )
+    return docs.select(*keep, F.inline(parts)).select(*keep, F.explode("_terms").alias("term"), "df", "n")
+
+
 def document_frequencies(docs: DataFrame, column: str = "tokens") -> DataFrame:
     """Per term: documents that contain it (df) and occurrences (cf). One shuffle."""
-    return (
-        docs.select(F.inline(term_runs(F.col(column))))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
-    )
+    return occurrences(docs, column).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("cf"))
 
 
 def filter_extremes(

@@ -155,9 +155,32 @@ def test_term_runs_and_dictionary(spark):
     }
 
 
+def test_terms_are_counted_per_group_without_sorting_a_row(spark):
+    lists = [["b", "a", "b"], [], ["a"], None, ["c", "c", "c", "a"]]
+    docs = docs_of(spark, lists).withColumn("topic", F.when(F.col("doc_id") != 2, F.col("doc_id") % 2))
+    rows = vocabulary.occurrences(docs, keep=["topic"])
+    assert "sort_array" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = rows.groupBy("term", "topic").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [("a", 0, 2, 2), ("a", None, 1, 1), ("b", 0, 1, 2), ("c", 0, 1, 3)], key=str
+    )
+
+
 # -- preprocessing ------------------------------------------------------------
 
 
+def test_tokens_are_made_once(spark):
+    """A filter on their number, moved below them, would make them again."""
+    words = ["alpha beta", "Alpha beta2 <b>gamma</b> delta", "", None, "one two three four"]
+    df = spark.createDataFrame([(i, w, "old") for i, w in enumerate(words)], "doc_id long, text string, tokens string")
+    found = Preprocessor(Settings().with_(min_doc_length=3), []).tokenize(df)
+    assert found.columns == df.columns
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[^a-z]+") == 1
+    assert {r["doc_id"]: r["tokens"] for r in found.collect()} == {
+        1: ["alpha", "beta", "gamma", "delta"], 4: ["one", "two", "three", "four"]
+    }
+
+
 def test_length_is_checked_before_merging(spark):
     text_of = "alpha beta " * 15 + "gamma"
     df = spark.createDataFrame([(i, text_of) for i in range(40)] + [(99, "too short")], "doc_id long, text string")
