@@ -208,6 +208,19 @@ def test_tasks_of_an_update_do_not_grow_with_the_documents(planted):
     assert topics.features(planted, stage, 2_000_001).rdd.getNumPartitions() == 11
 
 
+def test_models_of_a_search_have_fewer_tasks_each(planted, monkeypatch):
+    used, fit = [], topics.fit_lda
+
+    def counted(bow, *rest):
+        used.append(bow.rdd.getNumPartitions())
+        return fit(bow, *rest)
+
+    monkeypatch.setattr(topics, "fit_lda", counted)
+    topics.train(planted, 2, PLANTED.with_(passes=1), with_coherence=False)
+    best, scores = topics.search_topic_counts(planted, (2, 4), PLANTED)
+    assert used == [8, 4, 4] and best == 4 and scores.count() == 2
+
+
 def test_models_fitted_together_equal_those_fitted_alone(spark, planted):
     short = PLANTED.with_(passes=5)
     together = topics.train_priors(planted, 4, ["asymmetric", "auto"], short)
