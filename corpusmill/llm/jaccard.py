@@ -19,11 +19,12 @@ Exact copies of a set count once. In the first round each set is compared with o
 sets that share one of its SKETCH smallest signatures, the most connected one. That joins most near
 copies, with one comparison per member. In the second round all signatures go to buckets, with the
 set and its component so far, and only those that sets of several components carry are looked at
-further. Candidates are named by a set's rarest signatures alone: where a partner must share t
-of its n signatures, by n - t + 1 of them, since any t of them include one of those.
-Components are pruned first, as the unions of their members' signatures, then pairs; so
-no group emits all its pairs, and what near copies share costs nothing more.
-Comparisons are exact on the shingles' 64-bit hashes.
+further. Pairs are counted by the signatures that at most HOT sets carry. Sets that may share hot ones
+alone are compared in blocks, named by their rarest hot signatures: where a partner must share t
+of n, by n - t + 1 of them, since any t of them include one of those. Both kinds of pairs are
+tested by the parities of their shingles in some hundred bits, which differ in no more
+places than the sets do; so no group emits all its pairs, and the near misses of
+a large group are not compared shingle by shingle. Final comparisons are exact on the shingles' 64-bit hashes.
 
 Defined results: a text without words has no shingles, links with nothing and is its
 own component; so is a null text. Fewer than five words are one shingle. Rows that
@@ -52,6 +53,10 @@ CHUNK = 1 << 20
 SIGN_BYTES = 6
 PAIRS_PER_FLUSH = 1_000_000
 PAIRS_PER_PARTITION = 2_000_000
+#: 64-bit words of parities: one per so many shingles (four bits for each), but at most PARITY_WORDS.
+PARITY_SHARE, PARITY_WORDS = 16, 1 << 14
+#: Words, and sets, of a block that is compared with another one in a task.
+PARITY_BLOCK, PARITY_ROWS = 1 << 20, 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -354,41 +359,92 @@ def _first_pairs(sets: DataFrame) -> DataFrame:
     return first
 
 
-def _components_apart(unsettled: DataFrame) -> DataFrame:
-    """(ka, kb, odd): components that may still hold a linked pair.
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per set and parity of a scheme: its size, and its shingles hashed to bits, of which each holds the parity of their number.
 
-    Two linked sets share as many signatures as either needs at least, so their
-    components, taken as the unions of their members' signatures, share as many. A component is one row
-    per signature here, however many near copies it has.
+    A shingle that one of two sets has alone turns one bit, so bits that differ are at most the distance of the sets.
     """
-    shared = materialize(unsettled.select("g", "odd", "k").distinct(), "jaccard-shared")
-    # hot signatures are shared by sets that keep theirs, and those share as many as they may do without, hot or not;
-    # with all other sets they share usual ones alone
-    own = Window.partitionBy("c", "odd")
-    have, usual = F.count("*").over(own), F.sum((F.col("m") <= HOT).cast("int")).over(own)
-    hot_too = (F.col("hot") > 0) & (F.col("hot") >= F.col("spare"))
-    naming = F.when(hot_too, F.greatest(usual, have - F.greatest("spare", F.lit(1)) + 1)).otherwise(have - F.col("need") + 1)
-    ranked = unsettled.withColumns({"rank": F.row_number().over(own.orderBy("m", "g")), "naming": naming})
-    rare = ranked.filter("rank <= naming").select("g", "odd", "k").distinct()
-    named = materialize(
-        rare.withColumnRenamed("k", "ka").join(rare.withColumnRenamed("k", "kb"), ["g", "odd"]).filter("ka < kb").select("ka", "kb", "odd").distinct(),
-        "jaccard-candidates",
-    )
-    needs = unsettled.groupBy("k", "odd").agg(
-        F.min("need").alias("need"), F.min("spare").alias("spare"), F.min("whole").alias("whole"), F.min("n").alias("lo"), F.max("n").alias("hi")
+    for batch in chunks(batches, "t", CHUNK):
+        shingles, sizes = shingle_sets(batch.column("t"))
+        own = np.searchsorted(BANDS, np.maximum(sizes, 1))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        spot = mix(shingles ^ np.uint64(0xB175)) >> np.uint64(32)
+        for step in (0, 1):
+            words = np.clip(BANDS[own + step] // PARITY_SHARE, 8, PARITY_WORDS)
+            begin = np.concatenate([[0], np.cumsum(words)])
+            at = np.sort(begin[owner] * 64 + (spot * (words[owner] * 64).astype(np.uint64) >> np.uint64(32)).astype(np.int64))
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+            bits = np.zeros(begin[-1] * 64, dtype=bool)
+            bits[at[first][np.diff(np.append(first, len(at))) & 1 == 1]] = True
+            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(np.packbits(bits).view(np.int64)))
+            odd = (own + step & 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(odd), pa.array(sizes), lists], names=["c", "odd", "n", "bits"])
+
+
+def _close(cell: pa.Table) -> pa.Table:
+    """(a, b) of one cell: sets of two blocks, or of one, whose bits differ no more than linked sets may."""
+    c, k, n, block, i, j = (cell.column(x).to_numpy() for x in ("c", "k", "n", "block", "i", "j"))
+    bits = cell.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(c), -1)  # counts bits of unsigned numbers
+    left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+    c2, k2, n2, bits2 = c[right], k[right], n[right], bits[right]
+    a, b = [], []
+    for x in left:
+        maybe = np.flatnonzero((k2 != k[x]) & (4 * np.minimum(n2, n[x]) >= 3 * np.maximum(n2, n[x])) & ((c2 > c[x]) | (i[0] != j[0])))
+        for some in np.array_split(maybe, len(maybe) * bits.shape[1] // PARITY_BLOCK + 1):
+            apart = np.bitwise_count(bits2[some] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            found = c2[some[apart <= (n2[some] + n[x]) // 7]]
+            a.append(np.minimum(found, c[x]))
+            b.append(np.maximum(found, c[x]))
+    empty = np.zeros(0, np.int64)
+    return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+
+def _usual_pairs(unsettled: DataFrame, parities: DataFrame) -> DataFrame:
+    """(a, b) that share usual signatures, as many as linked sets must beside their hot ones, and whose bits are close.
+
+    At most HOT sets carry a usual signature, so a row meets fewer than HOT others.
+    """
+    sides = unsettled.filter(F.col("m") <= HOT).select("g", "odd", "c", "n", "k", "spare", "hot")
+    x, y = (sides.toDF("g", "odd", e, f"n{e}", f"k{e}", f"spare{e}", f"hot{e}") for e in "ab")
+    need = F.greatest(F.lit(1), F.greatest("sparea", "spareb") - F.least("hota", "hotb"))
+    named = (
+        x.join(y, ["g", "odd"])
+        .filter((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & _near(F.col("na"), F.col("nb")))
+        .groupBy("a", "b", "odd")
+        .agg(F.count("*").alias("have"), F.max(need).alias("need"))
+        .filter("have >= need")
+        .select("a", "b", "odd")
     )
-    needs = materialize(needs, "jaccard-needs")
-    a, b = (needs.toDF(f"k{e}", "odd", f"need{e}", f"spare{e}", f"whole{e}", f"lo{e}", f"hi{e}") for e in "ab")
-    common = (
-        shared.withColumnRenamed("k", "ka").join(named, ["ka", "odd"]).join(shared.withColumnRenamed("k", "kb"), ["g", "odd", "kb"])
-        .groupBy("ka", "kb", "odd").agg(F.count("*").alias("have"))
+    one, other = (parities.toDF(e, "odd", f"n{e}", f"bits{e}") for e in "ab")
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, p: s + p)
+    return named.join(one, ["a", "odd"]).join(other, ["b", "odd"]).filter(differ <= F.floor((F.col("na") + F.col("nb")) / 7)).select("a", "b")
+
+
+def _hot_pairs(unsettled: DataFrame, parities: DataFrame) -> DataFrame:
+    """(a, b) that may share hot signatures alone, and whose bits are close.
+
+    Such sets share as many hot ones as either needs, so one of each set's rarest, as far as
+    these can be missing from the rest. Sets with such a signature are cut into blocks, and each two blocks
+    are compared by their bits in a task, so memory is bounded and only pairs that are close become rows.
+    """
+    own = Window.partitionBy("c", "odd")
+    least = F.greatest(F.lit(1), F.col("spare"))
+    rare = (
+        unsettled.filter(F.col("m") > HOT)
+        .withColumns({"rank": F.row_number().over(own.orderBy("m", "g")), "kept": F.count("*").over(own)})
+        .filter(F.col("rank") <= F.col("kept") - least + 1)
+        .select("g", "odd", "c", "k")
     )
-    least = F.when(F.col("wholea") & F.col("wholeb"), F.greatest("sparea", "spareb")).otherwise(F.greatest("needa", "needb"))
-    return (
-        common.join(a, ["ka", "odd"]).join(b, ["kb", "odd"])
-        .filter((F.col("have") >= least) & (4 * F.col("hia") >= 3 * F.col("lob")) & (4 * F.col("hib") >= 3 * F.col("loa")))
-        .select("ka", "kb", "odd")
+    rows = materialize(rare.join(parities, ["c", "odd"]).withColumn("words", F.size("bits")), "jaccard-hot")
+    total = F.greatest(F.sum("words") / PARITY_BLOCK, F.count("*") / PARITY_ROWS)
+    blocks = rows.groupBy("g", "words").agg(F.ceil(total).alias("blocks"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    placed = rows.join(blocks.filter("lo < hi").drop("lo", "hi"), ["g", "words"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))
+    cells = placed.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "g", "words", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "c", "k", "n", "bits"
     )
+    found = materialize(cells.groupBy("g", "words", "i", "j").applyInArrow(_close, "a long, b long").distinct(), "jaccard-hot-pairs")
+    release(rows)
+    return found
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -449,25 +505,15 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     release(supported)
     unsettled = materialize(_open(again), "jaccard-unsettled")
     release(again)
-    apart = materialize(_components_apart(unsettled), "jaccard-apart")
-    sides = unsettled.select("g", "odd", "c", "n", "k", "spare", "hot", "whole")
-    x, y = (sides.toDF("g", "odd", e, f"n{e}", f"k{e}", f"spare{e}", f"hot{e}", f"whole{e}") for e in "ab")
-    # common signatures that either side leaves out are hot ones of both
-    lost = F.when(F.col("wholea") & F.col("wholeb"), 0).otherwise(F.least("hota", "hotb"))
-    need = F.greatest(F.lit(1), F.greatest("sparea", "spareb") - lost)
-    rest = (
-        x.join(small_side(apart), ["ka", "odd"])
-        .join(y, ["g", "odd", "kb"])
-        .filter(_near(F.col("na"), F.col("nb")))
-        .groupBy("a", "b", "odd")
-        .agg(F.count("*").alias("have"), F.max(need).alias("need"))
-        .filter("have >= need")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    still = materialize(unsettled.select(F.col("c").alias("d")).distinct(), "jaccard-open")
+    parities = materialize(
+        texts.join(small_side(still), "d", "left_semi").mapInArrow(_parities, "c long, odd long, n long, bits array<long>"), "jaccard-parities"
     )
+    hot = _hot_pairs(unsettled, parities)
+    rest = _usual_pairs(unsettled, parities).union(hot).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(rest.join(done, ["a", "b"], "left_anti"), "jaccard-second")
-    release(unsettled, first, apart, named)
+    release(unsettled, still, parities, hot, first, named)
     more = linked(second, texts, "jaccard-more")
     whole = components(links.union(more), "jaccard-whole")
     out = classes.join(whole, "c", "left").select(

@@ -495,6 +495,43 @@ def test_signatures_lose_no_pair():
         assert len(np.intersect1d(sign[row == 0], sign[row == 1]))
 
 
+def test_near_misses_of_a_large_group_are_not_compared_in_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base, rows = sentence(rng, 200).split(), []
+    for i in range(240):
+        w = list(base)
+        for at in rng.sample(range(0, 200, 6), rng.choice([3, 6, 7, 8])):
+            w[at] = "new" + str(rng.random())
+        rows.append((i, " ".join(w)))
+    compared, linked = {}, jaccard.linked
+
+    def counted(pairs, texts, label):
+        compared[label] = pairs.count()
+        return linked(pairs, texts, label)
+
+    monkeypatch.setattr(jaccard, "linked", counted)
+    monkeypatch.setattr(jaccard, "PARITY_ROWS", 50, raising=False)  # several blocks
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.join(df).collect()) == brute.components(rows)
+    assert compared["jaccard-more"] < 10 * len(rows)
+
+
+def test_parities_differ_no_more_than_the_sets():
+    rng = random.Random(12)
+    texts = [sentence(rng, n) for n in (4, 30, 31, 200, 200)]
+    w = texts[-1].split()
+    texts.append(" ".join([*w[:90], "other", *w[91:]]))
+    batch = pa.RecordBatch.from_pydict({"d": pa.array(range(len(texts))), "t": texts})
+    sketches = [r for b in jaccard._parities(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["c"], r["n"]) for r in sketches if r["odd"]) == [(i, len(brute.shingles(t))) for i, t in enumerate(texts)]
+    for x in sketches:
+        for y in sketches:
+            if x["odd"] == y["odd"] and len(x["bits"]) == len(y["bits"]):
+                differ = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x["bits"], y["bits"]))
+                distance = len(brute.shingles(texts[x["c"]]) ^ brute.shingles(texts[y["c"]]))
+                assert differ <= distance and differ % 2 == distance % 2
+
+
 def test_keeps_one_of_each_group(spark, empty, odd):
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
