@@ -23,7 +23,8 @@ further. Pairs are counted by the signatures that at most HOT sets carry. Sets t
 alone are compared in blocks, named by their rarest hot signatures: where a partner must share t
 of n, by n - t + 1 of them, since any t of them include one of those. Both kinds of pairs are
 tested by the parities of their shingles in some hundred bits, which differ in no more
-places than the sets do; so no group emits all its pairs, and the near misses of
+places than the sets do. Of the blocks' pairs those that would join all components, closest first, are compared
+before all that are still apart; so no group emits all its pairs, and the near misses of
 a large group are not compared shingle by shingle. Final comparisons are exact on the shingles' 64-bit hashes.
 
 Defined results: a text without words has no shingles, links with nothing and is its
@@ -381,22 +382,62 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(odd), pa.array(sizes), lists], names=["c", "odd", "n", "bits"])
 
 
-def _close(cell: pa.Table) -> pa.Table:
-    """(a, b) of one cell: sets of two blocks, or of one, whose bits differ no more than linked sets may."""
+def _close(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one cell, of sets of two blocks or of one, whose bits differ no more than linked sets may: sets, components, difference."""
     c, k, n, block, i, j = (cell.column(x).to_numpy() for x in ("c", "k", "n", "block", "i", "j"))
     bits = cell.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(c), -1)  # counts bits of unsigned numbers
     left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
     c2, k2, n2, bits2 = c[right], k[right], n[right], bits[right]
-    a, b = [], []
+    empty = np.zeros(0, np.int64)
+    out = [(empty,) * 5]
     for x in left:
         maybe = np.flatnonzero((k2 != k[x]) & (4 * np.minimum(n2, n[x]) >= 3 * np.maximum(n2, n[x])) & ((c2 > c[x]) | (i[0] != j[0])))
         for some in np.array_split(maybe, len(maybe) * bits.shape[1] // PARITY_BLOCK + 1):
             apart = np.bitwise_count(bits2[some] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            found = c2[some[apart <= (n2[some] + n[x]) // 7]]
-            a.append(np.minimum(found, c[x]))
-            b.append(np.maximum(found, c[x]))
-    empty = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+            near = apart <= (n2[some] + n[x]) // 7
+            some = some[near]
+            if len(some):
+                out.append((np.full(len(some), c[x]), c2[some], np.full(len(some), k[x]), k2[some], apart[near]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _all_close(cell: pa.Table) -> pa.Table:
+    """(a, b) of all close pairs of one cell."""
+    return _pairs(*_close(cell)[:2])
+
+
+def _closest(cell: pa.Table) -> pa.Table:
+    """(a, b) of close pairs that join the components of one cell as all of them do, the closest first: fewer than components."""
+    a, b, k, l, apart = _close(cell)
+    names, at = np.unique(np.concatenate([k, l]), return_inverse=True)
+    k, l = at[: len(a)], at[len(a) :]
+    order = np.lexsort((b, a, apart))
+    a, b, k, l = a[order], b[order], k[order], l[order]
+    taken = np.zeros(len(a), dtype=bool)
+    open_, label = np.arange(len(a)), np.arange(len(names))
+    while len(open_):
+        ends = np.stack([k[open_], l[open_]], axis=1).ravel()
+        found, first = np.unique(ends, return_index=True)  # the closest pair of each component
+        best = open_[first // 2]
+        taken[best] = True
+        # each component takes its neighbour's label where that is smaller, until nothing changes
+        label = np.arange(len(names))
+        while True:
+            low = np.minimum(label[k[best]], label[l[best]])
+            after = label.copy()
+            np.minimum.at(after, k[best], low)
+            np.minimum.at(after, l[best], low)
+            after = after[after]
+            if np.array_equal(after, label):
+                break
+            label = after
+        k, l = label[k], label[l]
+        open_ = open_[k[open_] != l[open_]]
+    return _pairs(a[taken], b[taken])
 
 
 def _usual_pairs(unsettled: DataFrame, parities: DataFrame) -> DataFrame:
@@ -420,12 +461,11 @@ def _usual_pairs(unsettled: DataFrame, parities: DataFrame) -> DataFrame:
     return named.join(one, ["a", "odd"]).join(other, ["b", "odd"]).filter(differ <= F.floor((F.col("na") + F.col("nb")) / 7)).select("a", "b")
 
 
-def _hot_pairs(unsettled: DataFrame, parities: DataFrame) -> DataFrame:
-    """(a, b) that may share hot signatures alone, and whose bits are close.
+def _hot_rows(unsettled: DataFrame, parities: DataFrame) -> DataFrame:
+    """Sets that may be linked to one with which they share hot signatures alone, with their bits, by signature.
 
     Such sets share as many hot ones as either needs, so one of each set's rarest, as far as
-    these can be missing from the rest. Sets with such a signature are cut into blocks, and each two blocks
-    are compared by their bits in a task, so memory is bounded and only pairs that are close become rows.
+    these can be missing from the rest.
     """
     own = Window.partitionBy("c", "odd")
     least = F.greatest(F.lit(1), F.col("spare"))
@@ -435,16 +475,21 @@ def _hot_pairs(unsettled: DataFrame, parities: DataFrame) -> DataFrame:
         .filter(F.col("rank") <= F.col("kept") - least + 1)
         .select("g", "odd", "c", "k")
     )
-    rows = materialize(rare.join(parities, ["c", "odd"]).withColumn("words", F.size("bits")), "jaccard-hot")
+    return materialize(rare.join(parities, ["c", "odd"]).withColumn("words", F.size("bits")), "jaccard-hot")
+
+
+def _in_blocks(rows: DataFrame, compare, label: str) -> DataFrame:
+    """Distinct (a, b) that `compare` finds among the sets of each signature.
+
+    They are cut into blocks, and each two blocks are compared by their bits in a task, so its memory is bounded.
+    """
     total = F.greatest(F.sum("words") / PARITY_BLOCK, F.count("*") / PARITY_ROWS)
     blocks = rows.groupBy("g", "words").agg(F.ceil(total).alias("blocks"), F.min("k").alias("lo"), F.max("k").alias("hi"))
     placed = rows.join(blocks.filter("lo < hi").drop("lo", "hi"), ["g", "words"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))
     cells = placed.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "g", "words", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "c", "k", "n", "bits"
     )
-    found = materialize(cells.groupBy("g", "words", "i", "j").applyInArrow(_close, "a long, b long").distinct(), "jaccard-hot-pairs")
-    release(rows)
-    return found
+    return materialize(cells.groupBy("g", "words", "i", "j").applyInArrow(compare, "a long, b long").distinct(), label)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -509,11 +554,20 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     parities = materialize(
         texts.join(small_side(still), "d", "left_semi").mapInArrow(_parities, "c long, odd long, n long, bits array<long>"), "jaccard-parities"
     )
-    hot = _hot_pairs(unsettled, parities)
-    rest = _usual_pairs(unsettled, parities).union(hot).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # near copies by hot signatures: few pairs join most of them, so that few are left to be compared
+    hot = _hot_rows(unsettled, parities)
+    closest = _in_blocks(hot, _closest, "jaccard-closest")
+    near = linked(materialize(closest.join(done, ["a", "b"], "left_anti"), "jaccard-near-pairs"), texts, "jaccard-near")
+    links, done = links.union(near), done.union(closest)
+    merged = components(links, "jaccard-merged").withColumnRenamed("component", "now")
+    hot_now, unsettled_now = (
+        x.join(merged, "c", "left").withColumn("k", F.coalesce("now", "k")).drop("now") for x in (hot, unsettled)
+    )
+    left = _in_blocks(hot_now, _all_close, "jaccard-hot-pairs")
+    rest = _usual_pairs(unsettled_now, parities).union(left).distinct()
     second = materialize(rest.join(done, ["a", "b"], "left_anti"), "jaccard-second")
-    release(unsettled, still, parities, hot, first, named)
+    release(unsettled, still, parities, hot, closest, left, first, named)
     more = linked(second, texts, "jaccard-more")
     whole = components(links.union(more), "jaccard-whole")
     out = classes.join(whole, "c", "left").select(
