@@ -115,3 +115,16 @@ def vectorizer(terms: list[str], column: str = "tokens", output: str = "features
     return CountVectorizerModel.from_vocabulary(
         terms, inputCol=column, outputCol=output, minTF=1.0
     )
+
+
+def sizes_of_vectors(vectors: DataFrame, column: str = "features", key: str = "doc_id") -> DataFrame:
+    """(key, terms, tokens): distinct terms and tokens of each bag of words.
+
+    Reads the numbers that a sparse vector stores, not one for every term of the dictionary.
+    """
+    counts = vectors.select(key, F.unwrap_udt(column)["values"].alias("v"))
+    return counts.select(
+        key,
+        F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("terms"),
+        F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long").alias("tokens"),
+    )

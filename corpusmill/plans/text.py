@@ -471,18 +471,11 @@ def j6(spark, sf_dir) -> DataFrame:
 )
 def m14_ml(spark, sf_dir) -> DataFrame:
     """The vectors that the topic model is trained on."""
-    from pyspark.ml.functions import vector_to_array
     from corpusmill.operators import topics
 
     docs = fx.tokenized(spark, sf_dir)
-    counts = topics.fit_vectorizer(docs).transform(docs).select("doc_id", vector_to_array("features").alias("v"))
-    return (
-        counts.select(
-            "doc_id",
-            F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("terms"),
-            F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long").alias("tokens"),
-        ).where("terms > 0")
-    )
+    vectors = topics.fit_vectorizer(docs).transform(docs)
+    return vocabulary.sizes_of_vectors(vectors).where("terms > 0")
 
 
 # -- user-supplied parts ------------------------------------------------------

@@ -8,6 +8,7 @@ from datetime import datetime
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from corpusmill import fixed_values as fixed, runtime
@@ -166,6 +167,14 @@ def test_terms_are_counted_per_group_without_sorting_a_row(spark):
     )
 
 
+def test_sizes_of_vectors_do_not_need_a_number_for_every_term(spark):
+    """A dictionary of 2,000 million terms: dense, a vector would take 16 GB."""
+    size = 2_000_000_000
+    rows = [(1, Vectors.sparse(size, {3: 2.0, size - 1: 5.0})), (2, Vectors.sparse(size, {})), (3, Vectors.dense(0.0, 4.0))]
+    got = vocabulary.sizes_of_vectors(spark.createDataFrame(rows, ["doc_id", "features"]))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 7), (2, 0, 0), (3, 1, 4)]
+
+
 # -- preprocessing ------------------------------------------------------------
 
 
