@@ -6,10 +6,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.clustering import LDA
 from pyspark.sql import functions as F
 
-from corpusmill.operators import alignment, coherence, topics
+from corpusmill.operators import alignment, coherence, online_lda, topics
 from corpusmill.operators.preprocess import Preprocessor
 from corpusmill.runtime import materialize, scratch_path
 from corpusmill.settings import Settings
@@ -231,6 +233,92 @@ def test_models_fitted_together_equal_those_fitted_alone(spark, planted):
         assert got == pytest.approx(want)
 
 
+# -- all updates in one stage ---------------------------------------------------
+
+
+def _mixed(spark):
+    """1,500 documents of 0 to 80 words over four groups."""
+    rng = random.Random(1)
+    rows = []
+    for d in range(1500):
+        group = rng.randrange(4)
+        words = [f"g{group if rng.random() < 0.8 else rng.randrange(4)}w{int(rng.random() ** 2 * 40)}" for _ in range(rng.choice([0, 5, 40, 80]))]
+        rows.append((d, words))
+    return materialize(spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(4, "doc_id"), "mixed")
+
+
+@pytest.mark.parametrize("chunk,alpha,parts", [(100, None, 8), (500, "auto", 4), (100, "auto", 11)])
+def test_updates_in_one_stage_give_the_model_of_spark_ml(spark, chunk, alpha, parts):
+    docs, settings = _mixed(spark), Settings().with_(passes=2, no_below=1, no_above=1.0, chunk_size=chunk)
+    stage = topics.fit_vectorizer(docs, settings=settings)
+    bow = topics.features(docs, stage, 1500, "tokens", parts)
+    share, updates = topics.update_plan(1500, settings)
+    lda = LDA(
+        k=5, optimizer="online", maxIter=updates, subsamplingRate=share, docConcentration=[0.2] * 5, topicConcentration=0.2,
+        optimizeDocConcentration=alpha == "auto", learningDecay=0.5, learningOffset=1.0, seed=42,
+    )
+    want = lda.fit(bow)
+    got, made = topics.fit_lda(bow, 1500, 5, settings, alpha, None, parts)
+    assert made == updates and got.vocabSize() == want.vocabSize() and not got.isDistributed()
+    np.testing.assert_allclose(got.topicsMatrix().toArray(), want.topicsMatrix().toArray(), rtol=1e-5)
+    np.testing.assert_allclose(got.estimatedDocConcentration().toArray(), want.estimatedDocConcentration().toArray(), rtol=1e-6)
+    a, b = ({r["doc_id"]: r["topicDistribution"].toArray() for r in m.transform(bow).collect()} for m in (got, want))
+    assert len(a) == 1500 and all(np.allclose(a[d], b[d], atol=1e-3) for d in a)
+
+
+def test_an_update_needs_no_job_of_its_own(spark):
+    docs = _mixed(spark)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(passes):
+        group = f"updates-{passes}"
+        spark.sparkContext.setJobGroup(group, group)
+        settings = Settings().with_(passes=passes, no_below=1, no_above=1.0, chunk_size=100)
+        stage = topics.fit_vectorizer(docs, settings=settings)
+        topics.fit_lda(topics.features(docs, stage, 1500), 1500, 3, settings)
+        return len(tracker.getJobIdsForGroup(group))
+
+    try:
+        assert jobs(1) == jobs(4)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_document_is_iterated_alike_in_every_block(monkeypatch):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 30, 200)
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "part": pa.array([d * 3 // 200 for d in range(200)], pa.int32()),
+            "terms": pa.array([rng.choice(50, n, replace=False).tolist() for n in lengths], pa.list_(pa.int32())),
+            "counts": pa.array([rng.integers(1, 9, n).astype(float).tolist() for n in lengths], pa.list_(pa.float64())),
+        }
+    )
+    start = rng.gamma(100, 0.01, (50, 4))
+
+    def fitted():
+        return online_lda.run(iter([batch]), 0, 1, lambda number, message: [message], 3, start, np.full(4, 0.25), 0.25, True, 200, 0.3, 8, 1.0, 0.5, 7)
+
+    whole = fitted()
+    monkeypatch.setattr(online_lda, "_BLOCK", 300)
+    for a, b in zip(whole, fitted(), strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_random_numbers_are_those_of_spark(spark):
+    jvm, seed = spark._jvm, -123456789012345
+    ours, java = online_lda.JavaRandom(42), jvm.java.util.Random(42)
+    assert [ours.next_long() for _ in range(4)] == [java.nextLong() for _ in range(4)]
+    basis = jvm.breeze.stats.distributions.RandBasis(jvm.org.apache.commons.math3.random.MersenneTwister(seed))
+    gamma = jvm.breeze.stats.distributions.Gamma(100.0, 0.01, basis)
+    assert online_lda.gamma_start(seed, 90).tolist() == pytest.approx([gamma.draw() for _ in range(90)])
+    for share in (0.02, 0.39):
+        drawn = spark.range(0, 400, 1, 4)._jdf.toJavaRDD().rdd().sample(True, share, 99).toJavaRDD().collect()
+        ours = online_lda.JavaRandom(99)
+        places = [100 * p + int(i) for p in range(4) for i in online_lda.sample(100, share, ours.next_long())]
+        assert places == [int(str(row)) for row in drawn]
+
+
 def test_given_concentrations_are_in_the_metadata(spark, planted):
     fitted = topics.train(planted, 2, PLANTED.with_(passes=2), alpha=[0.2, 0.7], eta=0.3, with_coherence=False)
     assert fitted.metadata.alpha == pytest.approx([0.2, 0.7]) and fitted.metadata.eta == 0.3
